@@ -1,4 +1,4 @@
-"""Standard normal distribution as native expressions.
+"""Standard normal distribution in native expressions.
 
 Spark has no error function, so the two curves are written as published
 rational approximations with double precision: Hart's for the distribution
@@ -10,7 +10,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Coefficients, highest power first.
@@ -55,28 +55,37 @@ def _polynomial(coefficients: Sequence[float], x: Column) -> Column:
     return out
 
 
-def normal_cdf(x: Column) -> Column:
-    """P(Z <= x)."""
-    size = F.abs(x)
-    density = F.exp(-size * size / 2.0)
+def add_normal_cdf(df: DataFrame, x: str, out: str) -> DataFrame:
+    """Adds P(Z <= x).
+
+    The argument is used many times, so it gets a column of its own in an
+    earlier projection; nested in one expression the tree would explode.
+    """
+    df = df.withColumn("_size", F.abs(x)).withColumn("_density", F.exp(-F.col("_size") * F.col("_size") / 2.0))
+    size, density = F.col("_size"), F.col("_density")
     near = density * _polynomial(HART_NUMERATOR, size) / _polynomial(HART_DENOMINATOR, size)
     tail = size + 0.65
     for k in (4.0, 3.0, 2.0, 1.0):
         tail = size + F.lit(k) / tail
     far = density / (tail * math.sqrt(2 * math.pi))
     upper = F.when(size > 37.0, F.lit(0.0)).when(size < 7.07106781186547, near).otherwise(far)
-    return F.when(x > 0, F.lit(1.0) - upper).otherwise(upper)
+    df = df.withColumn("_upper", upper)
+    value = F.when(F.col(x) > 0, F.lit(1.0) - F.col("_upper")).otherwise(F.col("_upper"))
+    return df.withColumn(out, value).drop("_size", "_density", "_upper")
 
 
-def normal_quantile(p: Column) -> Column:
-    """Inverse of :func:`normal_cdf`; 0 where it would be infinite (p of 0 or 1)."""
-    q = p - 0.5
-    r = F.lit(0.180625) - q * q
+def add_normal_quantile(df: DataFrame, p: str, out: str) -> DataFrame:
+    """Adds the inverse of the distribution function; 0 where it would be infinite (p of 0 or 1)."""
+    chance = F.col(p)
+    inside = F.when((chance > 0) & (chance < 1), F.least(chance, F.lit(1.0) - chance)).otherwise(F.lit(0.5))
+    df = df.withColumns({"_q": chance - 0.5, "_t": F.sqrt(-F.log(inside))})
+    df = df.withColumns(
+        {"_r": F.lit(0.180625) - F.col("_q") * F.col("_q"), "_near": F.col("_t") - 1.6, "_far": F.col("_t") - 5.0}
+    )
+    q, t, r, near, far = (F.col(c) for c in ("_q", "_t", "_r", "_near", "_far"))
     centre = q * _polynomial(AS241_CENTRE_NUMERATOR, r) / _polynomial(AS241_CENTRE_DENOMINATOR, r)
-    inside = F.when((p > 0) & (p < 1), F.least(p, F.lit(1.0) - p)).otherwise(F.lit(0.5))
-    t = F.sqrt(-F.log(inside))
-    near = _polynomial(AS241_NEAR_NUMERATOR, t - 1.6) / _polynomial(AS241_NEAR_DENOMINATOR, t - 1.6)
-    far = _polynomial(AS241_FAR_NUMERATOR, t - 5.0) / _polynomial(AS241_FAR_DENOMINATOR, t - 5.0)
-    outer = F.signum(q) * F.when(t <= 5.0, near).otherwise(far)
-    value = F.when(F.abs(q) <= 0.425, centre).otherwise(outer)
-    return F.when(p.isNull(), F.lit(None)).when((p > 0) & (p < 1), value).otherwise(F.lit(0.0))
+    middle = _polynomial(AS241_NEAR_NUMERATOR, near) / _polynomial(AS241_NEAR_DENOMINATOR, near)
+    outer = _polynomial(AS241_FAR_NUMERATOR, far) / _polynomial(AS241_FAR_DENOMINATOR, far)
+    value = F.when(F.abs(q) <= 0.425, centre).otherwise(F.signum(q) * F.when(t <= 5.0, middle).otherwise(outer))
+    value = F.when(chance.isNull(), F.lit(None)).when((chance > 0) & (chance < 1), value).otherwise(F.lit(0.0))
+    return df.withColumn(out, value).drop("_q", "_t", "_r", "_near", "_far")

@@ -9,6 +9,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def attach(left: DataFrame, grouped: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join per-group columns back on keys where NULL is a group of its own."""
+    side = grouped.withColumnsRenamed({k: f"_group_{k}" for k in keys})
+    condition = None
+    for k in keys:
+        test = F.col(k).eqNullSafe(F.col(f"_group_{k}"))
+        condition = test if condition is None else condition & test
+    return left.join(side, condition, how).drop(*[f"_group_{k}" for k in keys])
+
+
 def group_means(
     df: DataFrame, keys: Sequence[str], columns: Sequence[str], *, digits: int | None = None, complete: bool = True
 ) -> DataFrame:
@@ -64,15 +74,9 @@ def conditional_distribution(
     value of its own on both sides.
     """
     counts = df.groupBy(*given, *outcome).agg(F.count(F.lit(1)).alias(count))
-    totals = counts.groupBy(*given).agg(F.sum(count).alias("_total")).withColumnsRenamed(
-        {g: f"_given_{g}" for g in given}
-    )
-    condition = None
-    for g in given:
-        test = F.col(g).eqNullSafe(F.col(f"_given_{g}"))
-        condition = test if condition is None else condition & test
+    totals = counts.groupBy(*given).agg(F.sum(count).alias("_total"))
     return (
-        counts.join(totals, condition)
+        attach(counts, totals, given)
         .withColumn(share, F.col(count).cast("double") / F.col("_total"))
         .select(*given, *outcome, count, share)
     )

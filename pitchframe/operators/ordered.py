@@ -52,8 +52,12 @@ def _position(df: DataFrame, item: str) -> Column:
         value = F.datediff(column, F.lit("1970-01-01").cast("date")).cast("double")
     elif isinstance(kind, T.NumericType):
         value = column.cast("double")
+    elif isinstance(kind, T.StringType):
+        # The first six bytes as one number; strings sort by their bytes.
+        head = F.hex(F.substring(F.encode(column, "UTF-8"), 1, 6))
+        value = F.conv(F.rpad(head, 12, "0"), 16, 10).cast("double")
     else:
-        raise TypeError(f"the first order column must be numeric, date or timestamp, not {kind}")
+        raise TypeError(f"the first order column must be numeric, text, date or timestamp, not {kind}")
     return -value if item.startswith("-") else value
 
 

@@ -46,6 +46,8 @@ def exact_quantiles(
     wanted = wanted.withColumns({"_low": F.floor(place), "_high": F.ceil(place), "_part": place - F.floor(place)})
     # One struct per group, as long as the probability list, instead of one join row per value and p.
     plan = wanted.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("p", "_low", "_high", "_part"))).alias("_plan"))
+    if not within:
+        plan = F.broadcast(plan)  # one row per listed column
     hit = F.filter(
         "_plan",
         lambda w: ((w["_low"] >= F.col("first")) & (w["_low"] <= F.col("last")))
@@ -95,7 +97,8 @@ def quantiles_at(df: DataFrame, columns: Sequence[str], draws: DataFrame, u: str
     sizes = placed.groupBy("column").agg(F.sum("ties").alias("_n"))
     laid = placed.select("column", "value", F.explode(F.sequence("first", "last")).alias("_at"))
     place = F.col(u) * (F.col("_n") - 1)
-    wanted = draws.join(sizes, "column").withColumns(
+    # One row per listed column.
+    wanted = draws.join(F.broadcast(sizes), "column").withColumns(
         {"_low": F.floor(place), "_high": F.ceil(place), "_part": place - F.floor(place)}
     )
     low = laid.select("column", F.col("_at").alias("_low"), F.col("value").alias("_a"))

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pitchframe.operators.aggregate import attach
 from pitchframe.operators.ordered import Ordered
 
 
@@ -65,10 +66,13 @@ def _scale(df, stats, columns, suffix, low, spread):
     return df.withColumns(out).drop("_stats")
 
 
-def fill_with_mean(df: DataFrame, column: str) -> DataFrame:
-    """Replace NULL by the mean over the rows of ``df`` (so weighted by row)."""
-    mean = df.agg(F.avg(column)).scalar()
-    return df.withColumn(column, F.coalesce(F.col(column), mean))
+def fill_with_mean(df: DataFrame, column: str, within: Sequence[str] = ()) -> DataFrame:
+    """Replace NULL by the mean over the rows of ``df`` or of the group, so weighted by row."""
+    if not within:
+        return df.withColumn(column, F.coalesce(F.col(column), df.agg(F.avg(column)).scalar()))
+    means = df.groupBy(*within).agg(F.avg(column).alias("_mean"))
+    filled = attach(df, means, within, "left")
+    return filled.withColumn(column, F.coalesce(F.col(column), F.col("_mean"))).drop("_mean")
 
 
 def value_ranks(df: DataFrame, column: str, within: Sequence[str] = ()) -> DataFrame:
