@@ -5,10 +5,10 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pitchframe.functions.normal import add_normal_cdf
 from pitchframe.operators.aggregate import frequencies
 from pitchframe.operators.joins import lookup
 
@@ -33,41 +33,32 @@ def with_baseline_probability(
     return lookup(test, shares, {label: label}, [out])
 
 
-@F.pandas_udf("double")
-def _chi_square_tail(statistic: pd.Series, dof: pd.Series) -> pd.Series:
-    return pd.Series([chi_square_tail(s, d) for s, d in zip(statistic, dof)])
-
-
-def chi_square_tail(statistic: float, dof: float) -> float | None:
-    """P(X >= statistic): the regularised upper incomplete gamma function."""
-    if statistic is None or dof is None or math.isnan(statistic) or dof < 1:
-        return None
-    a, x = dof / 2.0, statistic / 2.0
-    if x <= 0:
-        return 1.0
-    scale = math.exp(a * math.log(x) - x - math.lgamma(a))
-    if x < a + 1:
-        term = total = 1.0 / a
-        n = a
-        while term > total * 1e-16:
-            n += 1
-            term *= x / n
-            total += term
-        return 1.0 - scale * total
-    tiny = 1e-300
-    b = x + 1 - a
-    c, d = 1 / tiny, 1 / b
-    h = d
-    for i in range(1, 10_000):
-        k = -i * (i - a)
-        b += 2
-        d = 1 / (k * d + b or tiny)
-        c = b + k / c or tiny
-        step = c * d
-        h *= step
-        if abs(step - 1) < 1e-15:
-            break
-    return scale * h
+def add_chi_square_tail(df: DataFrame, statistic: str, dof: str, out: str = "p_value") -> DataFrame:
+    """Adds P(X >= statistic) of the chi-square distribution, in native expressions.
+
+    For whole degrees of freedom the upper incomplete gamma function is a finite
+    sum, plus a normal tail when they are odd. Terms are summed from their
+    logarithms, so large statistics do not overflow.
+    """
+    x, k = F.col(statistic) / 2.0, F.col(dof)
+    odd = k % 2 == 1
+    first = F.when(odd, F.lit(0.5) * F.log(x) - math.lgamma(1.5)).otherwise(F.lit(0.0)) - x
+    shift = F.when(odd, F.lit(0.5)).otherwise(F.lit(0.0))
+    terms = F.floor(k / 2).cast("int")
+    steps = F.when(terms > 1, F.sequence(F.lit(1), terms - 1)).otherwise(F.array().cast("array<int>"))
+    total = F.aggregate(
+        steps,
+        F.struct(first.alias("log"), F.exp(first).alias("sum")),
+        lambda acc, i: F.struct(
+            (acc["log"] + F.log(x) - F.log(i + shift)).alias("log"),
+            (acc["sum"] + F.exp(acc["log"] + F.log(x) - F.log(i + shift))).alias("sum"),
+        ),
+    )["sum"]
+    df = add_normal_cdf(df.withColumn("_root", -F.sqrt(F.greatest(F.col(statistic), F.lit(0.0)))), "_root", "_half")
+    series = F.when(terms > 0, total).otherwise(0.0)
+    tail = F.when(odd, F.col("_half") * 2.0 + series).otherwise(series)
+    value = F.when(F.col(statistic).isNull() | (k < 1), F.lit(None)).when(F.col(statistic) <= 0, F.lit(1.0)).otherwise(tail)
+    return df.withColumn(out, value).drop("_root", "_half")
 
 
 def goodness_of_fit(
@@ -85,7 +76,7 @@ def goodness_of_fit(
     term = F.try_divide((F.col("_o") - F.col("_e")) ** 2, F.col("_e"))
     total = F.when(F.count_if(F.col("_e") == 0) == 0, F.sum(term))
     tests = both.groupBy(*by).agg(total.alias("statistic"), (F.count(F.lit(1)) - 1).alias("dof"))
-    return tests.withColumn("p_value", _chi_square_tail("statistic", F.col("dof").cast("double")))
+    return add_chi_square_tail(tests, "statistic", "dof")
 
 
 def contingency(df: DataFrame, sample: str, category: str) -> DataFrame:
@@ -122,7 +113,7 @@ def contingency(df: DataFrame, sample: str, category: str) -> DataFrame:
     corrected = F.max("_gap") - F.least(F.max("_gap"), F.lit(0.5))
     statistic = F.when(F.max("dof") == 1, corrected * corrected * F.max("_n") * inverse).otherwise(full)
     tests = measured.agg(statistic.alias("statistic"), F.max("dof").alias("dof"))
-    return tests.withColumn("p_value", _chi_square_tail("statistic", F.col("dof").cast("double")))
+    return add_chi_square_tail(tests, "statistic", "dof")
 
 
 def confusion(df: DataFrame, label: str, predicted: str) -> DataFrame:

@@ -59,28 +59,77 @@ def entity_rates(
     return joined.withColumns(rates).drop("_n", "_all", *[f"_c_{c}" for c in classes])
 
 
+def feature_columns(df: DataFrame, exclude: Sequence[str]) -> tuple[list[str], list[str]]:
+    """Numeric and text feature names; a column of any other type raises."""
+    kinds = columns_by_type(df.drop(*exclude))
+    if kinds["other"]:
+        raise TypeError(f"not usable as features: {kinds['other']}")
+    return kinds["numeric"], kinds["text"]
+
+
 @dataclass
-class Classifier:
-    """A fitted pipeline with its class names in code order."""
+class Encoder:
+    """Fitted label codes (alphabetical) and feature vectors."""
 
     model: PipelineModel
     classes: list[str]
     features: list[str]
     target: str
 
-    def probabilities(self, df: DataFrame) -> DataFrame:
-        """Adds the class probability array and the most likely class."""
-        scored = self.model.transform(df)
+    def vectors(self, df: DataFrame) -> DataFrame:
+        return self.model.transform(df)
+
+    def labelled(self, df: DataFrame) -> DataFrame:
+        """Feature vectors with the numeric label; a class outside the codes has NULL."""
         names = F.array(*[F.lit(c) for c in self.classes])
-        return (
-            scored.withColumns(
-                {
-                    "probabilities": vector_to_array("probability"),
-                    "predicted": F.element_at(names, F.col("prediction").cast("int") + 1),
-                }
-            )
-            .select(*df.columns, "probabilities", "predicted")
+        place = F.array_position(names, F.col(self.target))
+        return self.vectors(df).withColumn("_label", F.when(place > 0, (place - 1).cast("double")))
+
+
+def fit_encoder(train: DataFrame, target: str, numeric: Sequence[str], text: Sequence[str] = ()) -> Encoder:
+    """Min-max scaled numbers and alphabetical codes; an unseen text value keeps a code of its own."""
+    stages, inputs = [], []
+    if numeric:
+        stages += [
+            VectorAssembler(inputCols=list(numeric), outputCol="_numbers", handleInvalid="error"),
+            MinMaxScaler(inputCol="_numbers", outputCol="_scaled"),
+        ]
+        inputs.append("_scaled")
+    if text:
+        codes = [f"_code_{c}" for c in text]
+        stages.append(
+            StringIndexer(inputCols=list(text), outputCols=codes, stringOrderType="alphabetAsc", handleInvalid="keep")
         )
+        inputs += codes
+    stages.append(VectorAssembler(inputCols=inputs, outputCol="_features"))
+    labels = StringIndexer(inputCol=target, outputCol="_label", stringOrderType="alphabetAsc").fit(train).labels
+    return Encoder(Pipeline(stages=stages).fit(train), list(labels), [*numeric, *text], target)
+
+
+@dataclass
+class Classifier:
+    """A fitted encoder and estimator."""
+
+    encoder: Encoder
+    model: object
+
+    @property
+    def classes(self) -> list[str]:
+        return self.encoder.classes
+
+    def score(self, vectors: DataFrame, keep: Sequence[str]) -> DataFrame:
+        """Class probability array (in code order) and most likely class of encoded rows."""
+        names = F.array(*[F.lit(c) for c in self.classes])
+        scored = self.model.transform(vectors)
+        return scored.withColumns(
+            {
+                "probabilities": vector_to_array("probability"),
+                "predicted": F.element_at(names, F.col("prediction").cast("int") + 1),
+            }
+        ).select(*keep, "probabilities", "predicted")
+
+    def probabilities(self, df: DataFrame) -> DataFrame:
+        return self.score(self.encoder.vectors(df), df.columns)
 
     def long_probabilities(self, df: DataFrame, keep: Sequence[str]) -> DataFrame:
         """One row per input row and class."""
@@ -88,50 +137,27 @@ class Classifier:
         pairs = F.arrays_zip(names.alias("class"), F.col("probabilities").alias("probability"))
         return self.probabilities(df).select(*keep, F.inline(pairs).alias("class", "probability"))
 
-    def with_true_probability(self, df: DataFrame, out: str = "p_true") -> DataFrame:
-        """Adds the probability given to the row's own class; 0 for a class never fitted."""
+    def true_probability(self):
+        """Probability of the row's own class after :meth:`score`; 0 for a class never fitted."""
         names = F.array(*[F.lit(c) for c in self.classes])
-        place = F.array_position(names, F.col(self.target)).cast("int")
-        value = F.when(place > 0, F.try_element_at("probabilities", F.greatest(place, F.lit(1)))).otherwise(0.0)
-        return self.probabilities(df).withColumn(out, value)
+        place = F.array_position(names, F.col(self.encoder.target)).cast("int")
+        return F.when(place > 0, F.try_element_at("probabilities", F.greatest(place, F.lit(1)))).otherwise(0.0)
+
+    def with_true_probability(self, df: DataFrame, out: str = "p_true") -> DataFrame:
+        return self.probabilities(df).withColumn(out, self.true_probability())
 
     def importances(self, spark) -> DataFrame:
         """Feature importances, or mean absolute coefficients of a linear model, largest first."""
-        stage = self.model.stages[-1]
-        if hasattr(stage, "featureImportances"):
-            weights = stage.featureImportances.toArray()
+        if hasattr(self.model, "featureImportances"):
+            weights = self.model.featureImportances.toArray()
         else:
-            weights = abs(stage.coefficientMatrix.toArray()).mean(axis=0)
-        rows = [(name, float(w)) for name, w in zip(self.features, weights)]
+            weights = abs(self.model.coefficientMatrix.toArray()).mean(axis=0)
+        rows = [(name, float(w)) for name, w in zip(self.encoder.features, weights)]
         return spark.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature")
 
 
-def feature_columns(df: DataFrame, exclude: Sequence[str]) -> tuple[list[str], list[str]]:
-    """Numeric and text feature names; a column of any other type raises."""
-    kinds = columns_by_type(df.drop(*exclude))
-    if kinds["other"]:
-        raise TypeError(f"not usable as features: {kinds['other']}")
-    return kinds["numeric"], kinds["text"]
-
-
-def build_pipeline(target: str, numeric: Sequence[str], text: Sequence[str], estimator) -> tuple[Pipeline, list[str]]:
-    """Alphabetical labels, min-max scaled numbers, ordinal codes (unseen values keep a code of their own)."""
-    stages = [StringIndexer(inputCol=target, outputCol="_label", stringOrderType="alphabetAsc", handleInvalid="keep")]
-    inputs, names = [], []
-    if numeric:
-        stages += [
-            VectorAssembler(inputCols=list(numeric), outputCol="_numbers", handleInvalid="error"),
-            MinMaxScaler(inputCol="_numbers", outputCol="_scaled"),
-        ]
-        inputs.append("_scaled")
-        names += list(numeric)
-    for c in text:
-        stages.append(StringIndexer(inputCol=c, outputCol=f"_code_{c}", stringOrderType="alphabetAsc", handleInvalid="keep"))
-        inputs.append(f"_code_{c}")
-        names.append(c)
-    stages.append(VectorAssembler(inputCols=inputs, outputCol="_features"))
-    estimator = estimator.copy().setFeaturesCol("_features").setLabelCol("_label")
-    return Pipeline(stages=[*stages, estimator]), names
+def _bind(estimator):
+    return estimator.copy().setFeaturesCol("_features").setLabelCol("_label")
 
 
 def forest(**parameters) -> RandomForestClassifier:
@@ -145,14 +171,10 @@ def softmax(**parameters) -> LogisticRegression:
 def fit_classifier(
     train: DataFrame, target: str, numeric: Sequence[str], text: Sequence[str] = (), estimator=None
 ) -> Classifier:
-    pipeline, names = build_pipeline(target, numeric, text, estimator or forest())
-    model = pipeline.fit(train)
-    return Classifier(model, list(model.stages[0].labels), names, target)
-
-
-def held_out_log_loss(classifier: Classifier, test: DataFrame) -> float:
-    scored = classifier.with_true_probability(test)
-    return log_loss(scored, F.col("p_true")).first()["log_loss"]
+    """Encoder and multiclass probability model of the complete training rows."""
+    encoder = fit_encoder(train, target, numeric, text)
+    model = _bind(estimator or forest()).fit(encoder.labelled(train).select("_features", "_label"))
+    return Classifier(encoder, model)
 
 
 # Fixed shape of the greedy search: three groups of two parameters, three values each.
@@ -173,10 +195,13 @@ def greedy_search(
 ) -> tuple[dict[str, object], list[tuple[int, dict, float]]]:
     """Grid search group by group; the best setting of a group is kept for the next ones.
 
-    Returns the best parameters and every trial. The first setting wins ties.
-    Both inputs are read once per fit, so they are cached for the search.
+    Returns the best parameters and every trial with its log loss on the test
+    rows. The first setting wins ties. Rows are encoded once and cached for all
+    fits; a lost cached part is recomputed from its source.
     """
-    train, test = train.cache(), test.cache()
+    encoder = fit_encoder(train, target, numeric, text)
+    fit_rows = encoder.labelled(train).select("_features", "_label").cache()
+    test_rows = encoder.labelled(test).select(target, "_features").cache()
     best: dict[str, object] = {}
     trials = []
     try:
@@ -184,15 +209,15 @@ def greedy_search(
             chosen, lowest = {}, float("inf")
             for values in product(*group.values()):
                 setting = dict(zip(group, values))
-                fitted = fit_classifier(train, target, numeric, text, forest(**{**best, **setting}))
-                loss = held_out_log_loss(fitted, test)
+                fitted = Classifier(encoder, _bind(forest(**{**best, **setting})).fit(fit_rows))
+                loss = log_loss(fitted.score(test_rows, [target]), fitted.true_probability()).first()["log_loss"]
                 trials.append((number, {**best, **setting}, loss))
                 if loss < lowest:
                     chosen, lowest = setting, loss
             best |= chosen
     finally:
-        train.unpersist()
-        test.unpersist()
+        fit_rows.unpersist()
+        test_rows.unpersist()
     return best, trials
 
 
@@ -208,21 +233,21 @@ def cross_validate(
     metric: str = "logLoss",
     parallelism: int = 4,
     seed: int = 0,
-):
-    """Full grid search with k folds; returns the fitted validator model and rows (setting, metric)."""
-    pipeline, _ = build_pipeline(target, numeric, text, estimator)
-    last = pipeline.getStages()[-1]
+) -> tuple[Classifier, list[tuple[dict, float]]]:
+    """Full grid search with k folds; returns the best model and every setting with its mean metric."""
+    encoder = fit_encoder(df, target, numeric, text)
+    bound = _bind(estimator)
     builder = ParamGridBuilder()
     for name, values in grid.items():
-        builder = builder.addGrid(last.getParam(name), list(values))
+        builder = builder.addGrid(bound.getParam(name), list(values))
     maps = builder.build()
     evaluator = MulticlassClassificationEvaluator(labelCol="_label", metricName=metric)
     validator = CrossValidator(
-        estimator=pipeline, estimatorParamMaps=maps, evaluator=evaluator, numFolds=folds, parallelism=parallelism, seed=seed
+        estimator=bound, estimatorParamMaps=maps, evaluator=evaluator, numFolds=folds, parallelism=parallelism, seed=seed
     )
-    model = validator.fit(df)
-    results = [({p.name: v for p, v in m.items()}, float(score)) for m, score in zip(maps, model.avgMetrics)]
-    return model, results
+    found = validator.fit(encoder.labelled(df).select("_features", "_label"))
+    results = [({p.name: v for p, v in m.items()}, float(score)) for m, score in zip(maps, found.avgMetrics)]
+    return Classifier(encoder, found.bestModel), results
 
 
 def fit_regressors(

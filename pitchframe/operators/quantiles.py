@@ -127,25 +127,27 @@ def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("n"), F.max("_w").alias("_w"), F.max("_lo").alias("_lo"))
     )
     total = counts.agg(F.sum("n")).scalar()
-    share = F.col("n").cast("double") / total
-    shaped = counts.withColumns(
-        {
-            "low": F.col("_lo") + F.col("bin") * F.col("_w"),
-            "high": F.col("_lo") + (F.col("bin") + 1) * F.col("_w"),
-            "density": F.try_divide(share, F.col("_w")),
-            "_share": share,
-        }
+    run = Ordered(counts, [], ["bin"]).running_sum("_upto", "n").build()
+    return run.select(
+        "bin",
+        (F.col("_lo") + F.col("bin") * F.col("_w")).alias("low"),
+        (F.col("_lo") + (F.col("bin") + 1) * F.col("_w")).alias("high"),
+        "n",
+        F.try_divide(F.col("n") / total, F.col("_w")).alias("density"),
+        ((F.col("_upto") - F.col("n")) / total).alias("cdf_before"),
+        (F.col("_upto") / total).alias("cdf"),
     )
-    out = Ordered(shaped, [], ["bin"]).running_sum("cdf", "_share").build()
-    return out.select("bin", "low", "high", "n", "density", "cdf")
 
 
-def histogram_quantile(hist: DataFrame, draws: DataFrame, u: str = "u") -> DataFrame:
+def histogram_quantile(hist: DataFrame, draws: DataFrame, u: str = "u", *, cells: int = 1024) -> DataFrame:
     """For each draw the low edge of the first bin whose cumulative probability exceeds ``u``.
 
-    The bins are bounded by the histogram's ``bins``, so the search runs over
-    one array that is read as a scalar.
+    The unit interval is cut into cells and every bin is listed under the cells
+    it touches, so a draw finds its bin by an equi-join on its cell. The listed
+    side has at most ``bins + cells`` rows and is broadcast.
     """
-    bins = hist.agg(F.sort_array(F.collect_list(F.struct("bin", "cdf", "low", "high")))).scalar()
-    found = F.try_element_at(F.filter(F.col("_bins"), lambda b: b["cdf"] > F.col(u)), F.lit(1))
-    return draws.withColumn("_bins", bins).withColumn("value", found["low"]).drop("_bins")
+    touched = F.sequence(F.floor(F.col("cdf_before") * cells), F.floor(F.col("cdf") * cells))
+    listed = hist.select("cdf_before", "cdf", F.col("low").alias("value"), F.explode(touched).alias("_cell"))
+    cell = F.floor(F.col(u) * cells)
+    inside = (F.col(u) >= F.col("cdf_before")) & (F.col(u) < F.col("cdf"))
+    return draws.join(F.broadcast(listed), (cell == F.col("_cell")) & inside, "left").drop("_cell", "cdf_before", "cdf")

@@ -97,7 +97,8 @@ def pseudo_observations(
     df: DataFrame, columns: Sequence[str], within: Sequence[str] = (), suffix: str = "_u"
 ) -> DataFrame:
     """Average rank divided by group size plus one, per column."""
+    base = df
     for c in columns:
-        ranks = value_ranks(df, c, within).withColumn(f"{c}{suffix}", F.col("rank") / (F.col("size") + 1.0))
+        ranks = value_ranks(base, c, within).withColumn(f"{c}{suffix}", F.col("rank") / (F.col("size") + 1.0))
         df = df.join(ranks.select(*within, c, f"{c}{suffix}"), [*within, c], "left")
     return df

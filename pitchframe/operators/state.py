@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pitchframe.operators.aggregate import conditional_distribution
+from pitchframe.operators.aggregate import attach, conditional_distribution
 from pitchframe.operators.ordered import Ordered
 from pitchframe.operators.sampling import draw
 from pitchframe.operators.shape import domain_product
@@ -16,39 +16,59 @@ BASES = ("on_1b", "on_2b", "on_3b")
 AFTER = ("after_outs", "after_1b", "after_2b", "after_3b", "runs_scored")
 
 
-def running_count(df: DataFrame, at_bat: Sequence[str], order: Sequence[str], outcome: str) -> DataFrame:
-    """Balls and strikes after each pitch, and the event that ends the at-bat.
+COUNT_SUMS = ("_swings", "_balls", "_lates", "_reset")
 
-    The clamped fold has a closed form in running sums, so it splits like any
-    other ordered operator: the first two strikes-or-fouls always add a strike,
-    after them only strikes do; a hit-by-pitch sets the balls to four. ``event``
-    is ``walk`` above three balls, else ``K`` above two strikes.
-    """
+
+def count_sums(
+    df: DataFrame, at_bat: Sequence[str], order: Sequence[str], outcome: str, carry: DataFrame | None = None
+) -> DataFrame:
+    """Running sums behind the ball/strike count, on top of the sums carried over per at-bat."""
     kind = F.col(outcome)
-    swing = kind.isin("strike", "foul").cast("int")
-    ball = F.coalesce((kind == "ball").cast("int"), F.lit(0))
+    if carry is None:
+        start = {f"{c}0": F.lit(None).cast("long") for c in COUNT_SUMS}
+        rows = df.withColumns(start)
+    else:
+        rows = attach(df, carry.withColumnsRenamed({c: f"{c}0" for c in COUNT_SUMS}), at_bat, "left")
+    given = lambda c: F.coalesce(F.col(f"{c}0"), F.lit(0))
+    flag = lambda test: F.coalesce(test.cast("long"), F.lit(0))
     first = (
-        Ordered(df, at_bat, order)
-        .running_sum("_swings", F.coalesce(swing, F.lit(0)))
-        .running_sum("_balls", ball)
+        Ordered(rows, at_bat, order)
+        .running_sum("_swings", flag(kind.isin("strike", "foul")))
+        .running_sum("_balls", flag(kind == "ball"))
         .build()
     )
-    late_strike = (kind == "strike") & (F.col("_swings") > 2)
+    first = first.withColumns({c: F.col(c) + given(c) for c in ("_swings", "_balls")})
     first = first.withColumns(
         {
-            "_late": F.coalesce(late_strike.cast("int"), F.lit(0)),
+            "_late": flag((kind == "strike") & (F.col("_swings") > 2)),
             "_mark": F.when(kind == "hit_by_pitch", F.col("_balls")),
         }
     )
     second = Ordered(first, at_bat, order).running_sum("_lates", "_late").running_max("_reset", "_mark").build()
-    balls = F.when(F.col("_reset").isNull(), F.col("_balls")).otherwise(F.col("_balls") - F.col("_reset") + 4)
+    return second.withColumns(
+        {"_lates": F.col("_lates") + given("_lates"), "_reset": F.greatest("_reset", "_reset0")}
+    ).drop("_late", "_mark", *[f"{c}0" for c in COUNT_SUMS])
+
+
+def running_count(
+    df: DataFrame, at_bat: Sequence[str], order: Sequence[str], outcome: str, carry: DataFrame | None = None
+) -> DataFrame:
+    """Balls and strikes after each pitch, and the event that ends the at-bat.
+
+    The clamped fold has a closed form in running sums, so it splits like any
+    other ordered operator: the first two strikes-or-fouls always add a strike,
+    after them only strikes do; a hit-by-pitch sets the balls to four. ``event``
+    is ``walk`` above three balls, else ``K`` above two strikes.
+    """
+    return finish_count(count_sums(df, at_bat, order, outcome, carry)).drop(*COUNT_SUMS)
+
+
+def finish_count(sums: DataFrame) -> DataFrame:
+    reset = F.col("_reset")
+    balls = F.when(reset.isNull(), F.col("_balls")).otherwise(F.col("_balls") - reset + 4)
     strikes = F.least(F.col("_swings"), F.lit(2)) + F.col("_lates")
-    return (
-        second.withColumns({"balls_after": balls.cast("long"), "strikes_after": strikes.cast("long")})
-        .withColumn(
-            "event", F.when(F.col("balls_after") > 3, "walk").when(F.col("strikes_after") > 2, "K")
-        )
-        .drop("_swings", "_balls", "_late", "_mark", "_lates", "_reset")
+    return sums.withColumns({"balls_after": balls.cast("long"), "strikes_after": strikes.cast("long")}).withColumn(
+        "event", F.when(F.col("balls_after") > 3, "walk").when(F.col("strikes_after") > 2, "K")
     )
 
 

@@ -41,7 +41,7 @@ _COLUMNS = """
     CASE WHEN k % 4 < 2 THEN CAST(user_id % 6 AS BIGINT) END AS on_1b,
     CASE WHEN k % 5 < 2 THEN CAST(user_id % 9 AS BIGINT) END AS on_2b,
     CASE WHEN k % 7 < 2 THEN CAST(user_id % 5 AS BIGINT) END AS on_3b,
-    CASE WHEN k <> 3 THEN 70.0E0 + k / 4.0E0 END AS release_speed,
+    CASE WHEN k <> 3 THEN 70.0E0 + k / 4.0E0 + 3.0E0 * (event_id % 7) END AS release_speed,
     CASE WHEN k <> 5 THEN CAST(2000 + user_id AS BIGINT) END AS release_spin_rate,
     (k - 50) / 25.0E0 AS plate_x,
     value / 20.0E0 AS plate_z,
@@ -67,8 +67,12 @@ pitches AS (
 
 
 def pitches(spark: SparkSession, folder: str) -> DataFrame:
-    events = read_table(spark, folder, "events")
+    return as_pitches(read_table(spark, folder, "events"))
+
+
+def as_pitches(events: DataFrame) -> DataFrame:
+    """Pitch columns of a batch or streaming events frame."""
     text = f"""
       SELECT {_COLUMNS.format(day="datediff(CAST(ts AS DATE), DATE '1970-01-01')")}
       FROM (SELECT *, CAST(get_json_object(props, '$.k') AS BIGINT) AS k FROM {{events}}) e"""
-    return spark.sql(text, events=events)
+    return events.sparkSession.sql(text, events=events)
