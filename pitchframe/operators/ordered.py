@@ -8,8 +8,10 @@ with one row per segment.
 
 Both side tables are bounded by construction: fewer than ``1 / max_share``
 groups can exceed that share, and they get at most ``2 * oversplit / max_share``
-segments in total. That is why they may be broadcast. Segment borders follow
-from exact counts, minima and maxima, so a recomputed task sees the same ones.
+segments in total. That is why they may be broadcast. Segments have equal width
+in the order column; one that still holds more than the share is cut again.
+Borders are exact minima and maxima fixed before the operator runs, so a
+recomputed task sees the same ones. Rows with equal positions stay together.
 The counting pass runs when the operator is built. Without a hot group the
 result is the plain window.
 """
@@ -26,6 +28,9 @@ from pyspark.sql import types as T
 MAX_SHARE = 1.0 / 512
 MIN_ROWS = 1_000_000
 OVERSPLIT = 8
+# Segment numbers gain a factor of BASE per refinement and stay within a long.
+BASE = 2**16
+REFINEMENTS = 2
 
 
 def sort_columns(order: Sequence[str], *, reverse: bool = False) -> list[Column]:
@@ -45,9 +50,10 @@ def _position(df: DataFrame, item: str) -> Column:
     column = F.col(name)
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
         day = F.datediff(column.cast("date"), F.lit("1970-01-01").cast("date")).cast("double")
-        value = day * 86400.0 + F.hour(column) * 3600.0 + F.minute(column) * 60.0 + F.second(column)
+        seconds = F.date_part(F.lit("SECOND"), column).cast("double")
+        value = day * 86400.0 + F.hour(column) * 3600.0 + F.minute(column) * 60.0 + seconds
         if isinstance(kind, T.TimestampType):
-            value = F.unix_seconds(column).cast("double")
+            value = F.unix_micros(column).cast("double")
     elif isinstance(kind, T.DateType):
         value = F.datediff(column, F.lit("1970-01-01").cast("date")).cast("double")
     elif isinstance(kind, T.NumericType):
@@ -61,6 +67,13 @@ def _position(df: DataFrame, item: str) -> Column:
     return -value if item.startswith("-") else value
 
 
+def _piece(low: str, high: str, pieces: str) -> Column:
+    """Number of the equal-width piece of a span that holds the position."""
+    width = (F.col(high) - F.col(low)) / F.col(pieces)
+    piece = F.floor(F.try_divide(F.col("_pos") - F.col(low), width))
+    return F.coalesce(F.least(piece, F.col(pieces).cast("long") - 1), F.lit(0).cast("long"))
+
+
 class Ordered:
     """Collects ordered expressions over one ``(keys, order)`` and builds them in one pass."""
 
@@ -70,18 +83,32 @@ class Ordered:
         keys: Sequence[str],
         order: Sequence[str],
         *,
-        max_share: float = MAX_SHARE,
-        min_rows: int = MIN_ROWS,
+        max_share: float | None = None,
+        min_rows: int | None = None,
         oversplit: int = OVERSPLIT,
     ):
         self.df, self.keys, self.order = df, list(keys), list(order)
-        self.max_share, self.min_rows, self.oversplit = max_share, min_rows, oversplit
+        self.max_share = MAX_SHARE if max_share is None else max_share
+        self.min_rows = MIN_ROWS if min_rows is None else min_rows
+        self.oversplit = oversplit
+        self._known: tuple[DataFrame | None, float] | None = None
         self._numbers: list[str] = []
         self._sizes: list[str] = []
         self._shifts: list[tuple[str, str, int, object]] = []
         self._running: list[tuple[str, str, str]] = []
         self._values: dict[str, Column] = {}
 
+    def again(self, df: DataFrame) -> Ordered:
+        """The same keys and order over the same rows with more columns, after :meth:`build`.
+
+        The hot groups are known by then and are not counted again.
+        """
+        other = Ordered(
+            df, self.keys, self.order, max_share=self.max_share, min_rows=self.min_rows, oversplit=self.oversplit
+        )
+        other._known = self._known
+        return other
+
     def _value(self, column: Column | str) -> str:
         name = f"_v{len(self._values)}"
         self._values[name] = F.col(column) if isinstance(column, str) else column
@@ -131,6 +158,7 @@ class Ordered:
         if not found:
             return None
         share = rows.count() * self.max_share
+        self._limit = max(share, self.min_rows)
         hot = [(*row, float(math.ceil(row["_n"] / share) * self.oversplit)) for row in found if row["_n"] > share]
         if not hot:
             return None
@@ -138,23 +166,49 @@ class Ordered:
         return self.df.sparkSession.createDataFrame(hot, schema)
 
     def _segmented(self, rows: DataFrame, hot: DataFrame) -> DataFrame:
+        """Adds the segment number; it never decreases along the order."""
         if self.keys:
             rows = _left_join_small(rows, hot, self.keys)
         else:
             whole = hot.first()
             rows = rows.withColumns({name: F.lit(whole[name]) for name in hot.columns})
-        width = (F.col("_hi") - F.col("_lo")) / F.col("_pieces")
-        piece = F.least(
-            F.floor(F.try_divide(F.col("_pos") - F.col("_lo"), width)),
-            F.col("_pieces").cast("long") - 1,
-        )
-        unplaced = F.lit(2**40 if self.order[0].startswith("-") else -1).cast("long")
+        unplaced = F.lit(BASE - 1 if self.order[0].startswith("-") else -1).cast("long")
         segment = (
             F.when(F.col("_pieces").isNull(), F.lit(0).cast("long"))
             .when(F.col("_pos").isNull(), unplaced)
-            .otherwise(F.coalesce(piece, F.lit(0).cast("long")))
+            .otherwise(_piece("_lo", "_hi", "_pieces"))
         )
-        return rows.withColumn("_seg", segment).drop("_pos", "_lo", "_hi")
+        rows = rows.withColumn("_seg", segment).drop("_lo", "_hi")
+        for _ in range(REFINEMENTS):
+            crowded = self._crowded(rows)
+            if crowded is None:
+                break
+            rows = _left_join_small(rows, crowded, [*self.keys, "_seg"])
+            finer = F.when(F.col("_part").isNull(), 0).otherwise(_piece("_from", "_to", "_part"))
+            rows = rows.withColumn("_seg", F.col("_seg") * BASE + finer).drop("_from", "_to", "_part")
+        return rows.drop("_pos")
+
+    def _crowded(self, rows: DataFrame) -> DataFrame | None:
+        """Segments that still exceed the share, because values bunch inside the span.
+
+        At most ``1 / max_share`` segments reach the driver.
+        """
+        place = [*self.keys, "_seg"]
+        spans = (
+            rows.where(F.col("_pieces").isNotNull() & F.col("_pos").isNotNull())
+            .groupBy(*place)
+            .agg(F.count(F.lit(1)).alias("_rows"), F.min("_pos").alias("_from"), F.max("_pos").alias("_to"))
+            .where((F.col("_rows") > self._limit) & (F.col("_to") > F.col("_from")))
+            .orderBy(F.desc("_rows"))
+            .limit(math.ceil(1 / self.max_share))
+            .select(*place, "_from", "_to", "_rows")
+        )
+        found = spans.collect()
+        if not found:
+            return None
+        parts = [(*row[:-1], float(math.ceil(row[-1] / self._limit) * self.oversplit)) for row in found]
+        schema = T.StructType([*spans.schema.fields[:-1], T.StructField("_part", T.DoubleType())])
+        return self.df.sparkSession.createDataFrame(parts, schema)
 
     def _summary(self, rows: DataFrame, depth: int, ahead: int) -> DataFrame:
         """One row per segment of a hot group with everything that crosses its border."""
@@ -199,7 +253,11 @@ class Ordered:
 
     def build(self) -> DataFrame:
         rows = self.df.withColumns({"_pos": _position(self.df, self.order[0])} | self._values)
-        hot = self._hot(rows.select(*self.keys, "_pos"))
+        if self._known is None:
+            self._limit = 0.0
+            hot = self._hot(rows.select(*self.keys, "_pos"))
+            self._known = (hot, self._limit)
+        hot, self._limit = self._known
         if hot is None:
             return self._build_plain(rows)
         return self._build_split(self._segmented(rows, hot))

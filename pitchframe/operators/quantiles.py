@@ -86,28 +86,50 @@ def summarize(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return base.join(wide, "column").select("column", "count", "mean", "std", "min", "q25", "q50", "q75", "max")
 
 
+HEAVY = 1024
+CELLS = 2**30
+
+
 def quantiles_at(df: DataFrame, columns: Sequence[str], draws: DataFrame, u: str = "u") -> DataFrame:
     """Empirical quantile for a row-varying ``u``.
 
-    ``draws`` has the columns ``column`` and ``u``. The sorted column is laid
-    out one row per position, and the two neighbours of each draw are found by
-    equi-joins on the position.
+    ``draws`` has the columns ``column`` and ``u``. Each draw needs the values
+    at two neighbouring positions of the sorted column. Positions are cut into
+    cells and every distinct value is listed under the cells it covers, so a
+    position is found by an equi-join on its cell. Values that repeat in more
+    than 1/1024 of the rows (so fewer than 1024 per listed column) are found
+    through a broadcast instead and not listed.
     """
     placed = positions(df, columns)
-    sizes = placed.groupBy("column").agg(F.sum("ties").alias("_n"))
-    laid = placed.select("column", "value", F.explode(F.sequence("first", "last")).alias("_at"))
-    place = F.col(u) * (F.col("_n") - 1)
     # One row per listed column.
-    wanted = draws.join(F.broadcast(sizes), "column").withColumns(
-        {"_low": F.floor(place), "_high": F.ceil(place), "_part": place - F.floor(place)}
+    sizes = F.broadcast(placed.groupBy("column").agg(F.sum("ties").alias("_n")))
+    wide = placed.join(sizes, "column").withColumn("_width", F.greatest(F.floor(F.col("_n") / CELLS), F.lit(1)))
+    is_heavy = F.col("ties") * HEAVY > F.col("_n")
+    heavy = wide.where(is_heavy).select("column", "value", "first", "last")
+    covered = F.sequence(F.floor(F.col("first") / F.col("_width")), F.floor(F.col("last") / F.col("_width")))
+    light = wide.where(~is_heavy).select("column", "value", "first", "last", F.explode(covered).alias("_cell"))
+
+    place = F.col(u) * (F.col("_n") - 1)
+    out = draws.join(sizes, "column").withColumns(
+        {
+            "_low": F.floor(place),
+            "_high": F.ceil(place),
+            "_part": place - F.floor(place),
+            "_width": F.greatest(F.floor(F.col("_n") / CELLS), F.lit(1)),
+        }
     )
-    low = laid.select("column", F.col("_at").alias("_low"), F.col("value").alias("_a"))
-    high = laid.select("column", F.col("_at").alias("_high"), F.col("value").alias("_b"))
-    return (
-        wanted.join(low, ["column", "_low"])
-        .join(high, ["column", "_high"])
-        .withColumn("value", F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_part"))
-        .drop("_n", "_low", "_high", "_part", "_a", "_b")
+    for at in ("_low", "_high"):
+        side = lambda table, name: table.select(
+            F.col("column").alias("_c"), F.col("value").alias(name), F.col("first").alias("_f"), F.col("last").alias("_l"),
+            *([F.col("_cell").alias("_k")] if "_cell" in table.columns else []),
+        )
+        inside = (F.col("column") == F.col("_c")) & F.col(at).between(F.col("_f"), F.col("_l"))
+        out = out.join(F.broadcast(side(heavy, f"{at}_h")), inside, "left").drop("_c", "_f", "_l")
+        cell = F.floor(F.col(at) / F.col("_width")) == F.col("_k")
+        out = out.join(side(light, f"{at}_v"), inside & cell, "left").drop("_c", "_f", "_l", "_k")
+    low, high = (F.coalesce(f"{at}_h", f"{at}_v") for at in ("_low", "_high"))
+    return out.withColumn("value", low + (high - low) * F.col("_part")).drop(
+        "_n", "_low", "_high", "_part", "_width", "_low_h", "_low_v", "_high_h", "_high_v"
     )
 
 

@@ -31,9 +31,9 @@ def count_sums(
         rows = attach(df, carry.withColumnsRenamed({c: f"{c}0" for c in COUNT_SUMS}), at_bat, "left")
     given = lambda c: F.coalesce(F.col(f"{c}0"), F.lit(0))
     flag = lambda test: F.coalesce(test.cast("long"), F.lit(0))
+    sums = Ordered(rows, at_bat, order)
     first = (
-        Ordered(rows, at_bat, order)
-        .running_sum("_swings", flag(kind.isin("strike", "foul")))
+        sums.running_sum("_swings", flag(kind.isin("strike", "foul")))
         .running_sum("_balls", flag(kind == "ball"))
         .build()
     )
@@ -44,7 +44,7 @@ def count_sums(
             "_mark": F.when(kind == "hit_by_pitch", F.col("_balls")),
         }
     )
-    second = Ordered(first, at_bat, order).running_sum("_lates", "_late").running_max("_reset", "_mark").build()
+    second = sums.again(first).running_sum("_lates", "_late").running_max("_reset", "_mark").build()
     return second.withColumns(
         {"_lates": F.col("_lates") + given("_lates"), "_reset": F.greatest("_reset", "_reset0")}
     ).drop("_late", "_mark", *[f"{c}0" for c in COUNT_SUMS])
