@@ -66,6 +66,11 @@ def row_mean(columns: Sequence[str], default: float = 0.0) -> Column:
     return F.coalesce(F.try_divide(total, present), F.lit(default))
 
 
+def settled(column: Column, digits: int) -> Column:
+    """Rounded after a nudge of 1e-9, so exact halves do not depend on summation order."""
+    return F.round(column + F.lit(1e-9), digits)
+
+
 def plain(column: Column, digits: int = 6) -> Column:
     """Rounded, with negative zero turned into zero."""
     return F.round(column, digits) + F.lit(0.0)

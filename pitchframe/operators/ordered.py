@@ -70,7 +70,7 @@ def _position(df: DataFrame, item: str) -> Column:
 def _piece(low: str, high: str, pieces: str) -> Column:
     """Number of the equal-width piece of a span that holds the position."""
     width = (F.col(high) - F.col(low)) / F.col(pieces)
-    piece = F.floor(F.try_divide(F.col("_pos") - F.col(low), width))
+    piece = F.floor(F.try_divide(F.col("__pos") - F.col(low), width))
     return F.coalesce(F.least(piece, F.col(pieces).cast("long") - 1), F.lit(0).cast("long"))
 
 
@@ -110,7 +110,7 @@ class Ordered:
         return other
 
     def _value(self, column: Column | str) -> str:
-        name = f"_v{len(self._values)}"
+        name = f"__v{len(self._values)}"
         self._values[name] = F.col(column) if isinstance(column, str) else column
         return name
 
@@ -149,9 +149,9 @@ class Ordered:
         """
         spans = (
             rows.groupBy(*self.keys)
-            .agg(F.count(F.lit(1)).alias("_n"), F.min("_pos").alias("_lo"), F.max("_pos").alias("_hi"))
-            .where(F.col("_n") > self.min_rows)
-            .orderBy(F.desc("_n"))
+            .agg(F.count(F.lit(1)).alias("__n"), F.min("__pos").alias("__lo"), F.max("__pos").alias("__hi"))
+            .where(F.col("__n") > self.min_rows)
+            .orderBy(F.desc("__n"))
             .limit(math.ceil(1 / self.max_share))
         )
         found = spans.collect()
@@ -159,10 +159,10 @@ class Ordered:
             return None
         share = rows.count() * self.max_share
         self._limit = max(share, self.min_rows)
-        hot = [(*row, float(math.ceil(row["_n"] / share) * self.oversplit)) for row in found if row["_n"] > share]
+        hot = [(*row, float(math.ceil(row["__n"] / share) * self.oversplit)) for row in found if row["__n"] > share]
         if not hot:
             return None
-        schema = T.StructType([*spans.schema.fields, T.StructField("_pieces", T.DoubleType())])
+        schema = T.StructType([*spans.schema.fields, T.StructField("__pieces", T.DoubleType())])
         return self.df.sparkSession.createDataFrame(hot, schema)
 
     def _segmented(self, rows: DataFrame, hot: DataFrame) -> DataFrame:
@@ -174,88 +174,88 @@ class Ordered:
             rows = rows.withColumns({name: F.lit(whole[name]) for name in hot.columns})
         unplaced = F.lit(BASE - 1 if self.order[0].startswith("-") else -1).cast("long")
         segment = (
-            F.when(F.col("_pieces").isNull(), F.lit(0).cast("long"))
-            .when(F.col("_pos").isNull(), unplaced)
-            .otherwise(_piece("_lo", "_hi", "_pieces"))
+            F.when(F.col("__pieces").isNull(), F.lit(0).cast("long"))
+            .when(F.col("__pos").isNull(), unplaced)
+            .otherwise(_piece("__lo", "__hi", "__pieces"))
         )
-        rows = rows.withColumn("_seg", segment).drop("_lo", "_hi")
+        rows = rows.withColumn("__seg", segment).drop("__lo", "__hi")
         for _ in range(REFINEMENTS):
             crowded = self._crowded(rows)
             if crowded is None:
                 break
-            rows = _left_join_small(rows, crowded, [*self.keys, "_seg"])
-            finer = F.when(F.col("_part").isNull(), 0).otherwise(_piece("_from", "_to", "_part"))
-            rows = rows.withColumn("_seg", F.col("_seg") * BASE + finer).drop("_from", "_to", "_part")
-        return rows.drop("_pos")
+            rows = _left_join_small(rows, crowded, [*self.keys, "__seg"])
+            finer = F.when(F.col("__part").isNull(), 0).otherwise(_piece("__from", "__to", "__part"))
+            rows = rows.withColumn("__seg", F.col("__seg") * BASE + finer).drop("__from", "__to", "__part")
+        return rows.drop("__pos")
 
     def _crowded(self, rows: DataFrame) -> DataFrame | None:
         """Segments that still exceed the share, because values bunch inside the span.
 
         At most ``1 / max_share`` segments reach the driver.
         """
-        place = [*self.keys, "_seg"]
+        place = [*self.keys, "__seg"]
         spans = (
-            rows.where(F.col("_pieces").isNotNull() & F.col("_pos").isNotNull())
+            rows.where(F.col("__pieces").isNotNull() & F.col("__pos").isNotNull())
             .groupBy(*place)
-            .agg(F.count(F.lit(1)).alias("_rows"), F.min("_pos").alias("_from"), F.max("_pos").alias("_to"))
-            .where((F.col("_rows") > self._limit) & (F.col("_to") > F.col("_from")))
-            .orderBy(F.desc("_rows"))
+            .agg(F.count(F.lit(1)).alias("__rows"), F.min("__pos").alias("__from"), F.max("__pos").alias("__to"))
+            .where((F.col("__rows") > self._limit) & (F.col("__to") > F.col("__from")))
+            .orderBy(F.desc("__rows"))
             .limit(math.ceil(1 / self.max_share))
-            .select(*place, "_from", "_to", "_rows")
+            .select(*place, "__from", "__to", "__rows")
         )
         found = spans.collect()
         if not found:
             return None
         parts = [(*row[:-1], float(math.ceil(row[-1] / self._limit) * self.oversplit)) for row in found]
-        schema = T.StructType([*spans.schema.fields[:-1], T.StructField("_part", T.DoubleType())])
+        schema = T.StructType([*spans.schema.fields[:-1], T.StructField("__part", T.DoubleType())])
         return self.df.sparkSession.createDataFrame(parts, schema)
 
     def _summary(self, rows: DataFrame, depth: int, ahead: int) -> DataFrame:
         """One row per segment of a hot group with everything that crosses its border."""
-        place = [*self.keys, "_seg"]
-        hot = rows.where(F.col("_pieces").isNotNull())
-        aggregates = [F.count(F.lit(1)).alias("_rows")]
+        place = [*self.keys, "__seg"]
+        hot = rows.where(F.col("__pieces").isNotNull())
+        aggregates = [F.count(F.lit(1)).alias("__rows")]
         for i, (_, value, kind) in enumerate(self._running):
-            aggregates.append(getattr(F, kind)(value).alias(f"_r{i}"))
+            aggregates.append(getattr(F, kind)(value).alias(f"__r{i}"))
         summary = hot.groupBy(*place).agg(*aggregates)
-        for side, count, reverse in (("_tail", depth, True), ("_head", ahead, False)):
+        for side, count, reverse in (("__tail", depth, True), ("__head", ahead, False)):
             if count:
                 edge = Window.partitionBy(*place).orderBy(*sort_columns(self.order, reverse=reverse))
-                number = -F.col("_e") if reverse else F.col("_e")
+                number = -F.col("__e") if reverse else F.col("__e")
                 ends = (
-                    hot.withColumn("_e", F.row_number().over(edge))
-                    .where(F.col("_e") <= count)
+                    hot.withColumn("__e", F.row_number().over(edge))
+                    .where(F.col("__e") <= count)
                     .groupBy(*place)
                     .agg(
                         F.transform(
-                            F.sort_array(F.collect_list(F.struct(number.alias("_o"), F.struct(*self._values).alias("_s")))),
-                            lambda e: e["_s"],
+                            F.sort_array(F.collect_list(F.struct(number.alias("__o"), F.struct(*self._values).alias("__s")))),
+                            lambda e: e["__s"],
                         ).alias(side)
                     )
                 )
                 summary = _left_join_small(summary, ends, place, hint=False)
-        along = Window.partitionBy(*self.keys).orderBy("_seg")
+        along = Window.partitionBy(*self.keys).orderBy("__seg")
         before = along.rowsBetween(Window.unboundedPreceding, -1)
-        columns = {"_before": F.coalesce(F.sum("_rows").over(before), F.lit(0))}
+        columns = {"__before": F.coalesce(F.sum("__rows").over(before), F.lit(0))}
         for i, (_, _, kind) in enumerate(self._running):
-            columns[f"_c{i}"] = getattr(F, kind)(f"_r{i}").over(before)
+            columns[f"__c{i}"] = getattr(F, kind)(f"__r{i}").over(before)
         if depth:
             parts = [
-                F.coalesce(F.lag("_tail", k).over(along), F.slice("_tail", 1, 0)) for k in range(depth, 0, -1)
+                F.coalesce(F.lag("__tail", k).over(along), F.slice("__tail", 1, 0)) for k in range(depth, 0, -1)
             ]
-            columns["_past"] = F.concat(*parts)
+            columns["__past"] = F.concat(*parts)
         if ahead:
             parts = [
-                F.coalesce(F.lead("_head", k).over(along), F.slice("_head", 1, 0)) for k in range(1, ahead + 1)
+                F.coalesce(F.lead("__head", k).over(along), F.slice("__head", 1, 0)) for k in range(1, ahead + 1)
             ]
-            columns["_future"] = F.concat(*parts)
-        return summary.withColumns(columns).select(*place, *columns, "_rows")
+            columns["__future"] = F.concat(*parts)
+        return summary.withColumns(columns).select(*place, *columns, "__rows")
 
     def build(self) -> DataFrame:
-        rows = self.df.withColumns({"_pos": _position(self.df, self.order[0])} | self._values)
+        rows = self.df.withColumns({"__pos": _position(self.df, self.order[0])} | self._values)
         if self._known is None:
             self._limit = 0.0
-            hot = self._hot(rows.select(*self.keys, "_pos"))
+            hot = self._hot(rows.select(*self.keys, "__pos"))
             self._known = (hot, self._limit)
         hot, self._limit = self._known
         if hot is None:
@@ -278,40 +278,40 @@ class Ordered:
     def _build_split(self, rows: DataFrame) -> DataFrame:
         depth = max([o for _, _, o, _ in self._shifts if o > 0], default=0)
         ahead = max([-o for _, _, o, _ in self._shifts if o < 0], default=0)
-        place = [*self.keys, "_seg"]
+        place = [*self.keys, "__seg"]
         carried = _left_join_small(rows, self._summary(rows, depth, ahead), place)
 
         inner = Window.partitionBy(*place).orderBy(*sort_columns(self.order))
         so_far = inner.rowsBetween(Window.unboundedPreceding, 0)
         part = Window.partitionBy(*place)
-        windows: dict[str, Column] = {"_rn": F.row_number().over(inner)}
+        windows: dict[str, Column] = {"__rn": F.row_number().over(inner)}
         for i, (_, value, offset, _) in enumerate(self._shifts):
             shifted = F.lag(value, offset) if offset > 0 else F.lead(value, -offset)
-            windows[f"_s{i}"] = shifted.over(inner)
+            windows[f"__s{i}"] = shifted.over(inner)
         for i, (_, value, kind) in enumerate(self._running):
-            windows[f"_w{i}"] = getattr(F, kind)(value).over(so_far)
+            windows[f"__w{i}"] = getattr(F, kind)(value).over(so_far)
         if self._sizes or ahead:
-            windows["_size"] = F.count(F.lit(1)).over(part)
+            windows["__size"] = F.count(F.lit(1)).over(part)
         out = carried.withColumns(windows)
 
         final: dict[str, Column] = {}
         for name in self._numbers:
-            final[name] = (F.col("_rn") + F.coalesce(F.col("_before"), F.lit(0))).cast("long")
+            final[name] = (F.col("__rn") + F.coalesce(F.col("__before"), F.lit(0))).cast("long")
         for name in self._sizes:
-            final[name] = F.coalesce(F.col("_n"), F.col("_size"))
+            final[name] = F.coalesce(F.col("__n"), F.col("__size"))
         for i, (name, value, offset, default) in enumerate(self._shifts):
             if offset > 0:
-                outside = F.col("_rn") <= offset
-                index = F.col("_rn") - offset - 1
-                edge = F.try_element_at("_past", index.cast("int"))
+                outside = F.col("__rn") <= offset
+                index = F.col("__rn") - offset - 1
+                edge = F.try_element_at("__past", index.cast("int"))
             else:
-                outside = F.col("_rn") - offset > F.col("_size")
-                index = F.col("_rn") - offset - F.col("_size")
-                edge = F.try_element_at("_future", index.cast("int"))
+                outside = F.col("__rn") - offset > F.col("__size")
+                index = F.col("__rn") - offset - F.col("__size")
+                edge = F.try_element_at("__future", index.cast("int"))
             crossing = F.when(edge.isNull(), F.lit(default)).otherwise(edge[value])
-            final[name] = F.when(outside, crossing).otherwise(F.col(f"_s{i}"))
+            final[name] = F.when(outside, crossing).otherwise(F.col(f"__s{i}"))
         for i, (name, _, kind) in enumerate(self._running):
-            here, carry = F.col(f"_w{i}"), F.col(f"_c{i}")
+            here, carry = F.col(f"__w{i}"), F.col(f"__c{i}")
             both = here + carry if kind == "sum" else F.greatest(here, carry)
             final[name] = F.coalesce(both, here, carry)
         return out.withColumns(final).select(*self.df.columns, *final)
@@ -319,13 +319,13 @@ class Ordered:
 
 def _left_join_small(rows: DataFrame, small: DataFrame, keys: Sequence[str], *, hint: bool = True) -> DataFrame:
     """Left join that keeps NULL keys; only for side tables bounded as in the module text."""
-    renamed = small.withColumnsRenamed({k: f"_key_{k}" for k in keys})
+    renamed = small.withColumnsRenamed({k: f"__key_{k}" for k in keys})
     condition = None
     for k in keys:
-        test = F.col(k).eqNullSafe(F.col(f"_key_{k}"))
+        test = F.col(k).eqNullSafe(F.col(f"__key_{k}"))
         condition = test if condition is None else condition & test
     side = F.broadcast(renamed) if hint else renamed
-    return rows.join(side, condition, "left").drop(*[f"_key_{k}" for k in keys])
+    return rows.join(side, condition, "left").drop(*[f"__key_{k}" for k in keys])
 
 
 def top_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int = 1) -> DataFrame:
@@ -335,4 +335,4 @@ def top_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int =
     to 1000), so a task sends at most ``n`` rows per key.
     """
     window = Window.partitionBy(*keys).orderBy(*sort_columns(order))
-    return df.withColumn("_rank", F.row_number().over(window)).where(F.col("_rank") <= n).drop("_rank")
+    return df.withColumn("__rank", F.row_number().over(window)).where(F.col("__rank") <= n).drop("__rank")

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pitchframe.operators.ordered import Ordered
@@ -103,33 +103,31 @@ def quantiles_at(df: DataFrame, columns: Sequence[str], draws: DataFrame, u: str
     placed = positions(df, columns)
     # One row per listed column.
     sizes = F.broadcast(placed.groupBy("column").agg(F.sum("ties").alias("_n")))
-    wide = placed.join(sizes, "column").withColumn("_width", F.greatest(F.floor(F.col("_n") / CELLS), F.lit(1)))
+    fine = F.greatest(F.floor(F.col("_n") / CELLS), F.lit(1))
+    coarse = F.greatest(F.floor(F.col("_n") / HEAVY), F.lit(1))
     is_heavy = F.col("ties") * HEAVY > F.col("_n")
-    heavy = wide.where(is_heavy).select("column", "value", "first", "last")
-    covered = F.sequence(F.floor(F.col("first") / F.col("_width")), F.floor(F.col("last") / F.col("_width")))
-    light = wide.where(~is_heavy).select("column", "value", "first", "last", F.explode(covered).alias("_cell"))
 
+    def listed(rows: DataFrame, width: Column, name: str) -> DataFrame:
+        covered = F.sequence(F.floor(F.col("first") / width), F.floor(F.col("last") / width))
+        return rows.select(
+            F.col("column").alias("_c"), F.col("value").alias(name), F.col("first").alias("_f"), F.col("last").alias("_l"),
+            F.explode(covered).alias("_k"),
+        )
+
+    wide = placed.join(sizes, "column")
     place = F.col(u) * (F.col("_n") - 1)
     out = draws.join(sizes, "column").withColumns(
-        {
-            "_low": F.floor(place),
-            "_high": F.ceil(place),
-            "_part": place - F.floor(place),
-            "_width": F.greatest(F.floor(F.col("_n") / CELLS), F.lit(1)),
-        }
+        {"_low": F.floor(place), "_high": F.ceil(place), "_part": place - F.floor(place)}
     )
     for at in ("_low", "_high"):
-        side = lambda table, name: table.select(
-            F.col("column").alias("_c"), F.col("value").alias(name), F.col("first").alias("_f"), F.col("last").alias("_l"),
-            *([F.col("_cell").alias("_k")] if "_cell" in table.columns else []),
-        )
         inside = (F.col("column") == F.col("_c")) & F.col(at).between(F.col("_f"), F.col("_l"))
-        out = out.join(F.broadcast(side(heavy, f"{at}_h")), inside, "left").drop("_c", "_f", "_l")
-        cell = F.floor(F.col(at) / F.col("_width")) == F.col("_k")
-        out = out.join(side(light, f"{at}_v"), inside & cell, "left").drop("_c", "_f", "_l", "_k")
+        heavy = F.broadcast(listed(wide.where(is_heavy), coarse, f"{at}_h"))
+        light = listed(wide.where(~is_heavy), fine, f"{at}_v")
+        for side, width in ((heavy, coarse), (light, fine)):
+            out = out.join(side, inside & (F.floor(F.col(at) / width) == F.col("_k")), "left").drop("_c", "_f", "_l", "_k")
     low, high = (F.coalesce(f"{at}_h", f"{at}_v") for at in ("_low", "_high"))
     return out.withColumn("value", low + (high - low) * F.col("_part")).drop(
-        "_n", "_low", "_high", "_part", "_width", "_low_h", "_low_v", "_high_h", "_high_v"
+        "_n", "_low", "_high", "_part", "_low_h", "_low_v", "_high_h", "_high_v"
     )
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pitchframe.functions.numbers import plain
+from pitchframe.functions.numbers import plain, settled
 from pitchframe.operators import aggregate as agg
 from pitchframe.operators.quantiles import exact_quantiles, summarize
 from pitchframe.operators.sampling import mean_drawn_counts
@@ -46,16 +46,16 @@ def strike_zone_lookup(spark, folder):
 
 @register(
     "A1 A4",
-    """SELECT user_id, round(avg(value), 6) AS value FROM events WHERE value IS NOT NULL GROUP BY 1""",
+    """SELECT user_id, round(avg(value) + 1e-9, 6) AS value FROM events WHERE value IS NOT NULL GROUP BY 1""",
 )
 def mean_value_per_user(spark, folder):
     means = agg.group_means(read_table(spark, folder, "events"), ["user_id"], ["value"])
-    return means.withColumn("value", F.round("value", 6))
+    return means.withColumn("value", settled(F.col("value"), 6))
 
 
 @register(
     "A2 A3",
-    """SELECT user_id, count(*) AS n, round(avg(CASE WHEN event_type = 'error' THEN 100.0E0 ELSE 0.0E0 END), 6) AS error_rate
+    """SELECT user_id, count(*) AS n, round(avg(CASE WHEN event_type = 'error' THEN 100.0E0 ELSE 0.0E0 END) + 1e-9, 6) AS error_rate
        FROM events WHERE user_id IN (SELECT user_id FROM events GROUP BY 1 HAVING count(*) >= 60 AND count(*) FILTER (event_type = 'error') >= 15)
        GROUP BY 1""",
 )
@@ -64,7 +64,7 @@ def large_user_groups(spark, folder):
     kept = agg.keep_large_groups(events, ["user_id"], 60)
     kept = agg.keep_large_groups(kept, ["user_id"], 15, F.col("event_type") == "error")
     return kept.groupBy("user_id").agg(
-        F.count(F.lit(1)).alias("n"), F.round(agg.rate_percent(F.col("event_type") == "error"), 6).alias("error_rate")
+        F.count(F.lit(1)).alias("n"), settled(agg.rate_percent(F.col("event_type") == "error"), 6).alias("error_rate")
     )
 
 
@@ -151,7 +151,7 @@ def discount_probability(spark, folder):
 
 
 _SUMMARY = " UNION ALL ".join(
-    f"""SELECT '{c}' AS "column", count({c}) AS "count", round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS std, min({c}) AS "min",
+    f"""SELECT '{c}' AS "column", count({c}) AS "count", round(avg({c}) + 1e-9, 4) AS mean, round(stddev_samp({c}) + 1e-9, 4) AS std, min({c}) AS "min",
         round(quantile_cont({c}, 0.25), 6) AS q25, round(quantile_cont({c}, 0.5), 6) AS q50, round(quantile_cont({c}, 0.75), 6) AS q75, max({c}) AS "max" FROM lineitem"""
     for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
 )
@@ -160,7 +160,7 @@ _SUMMARY = " UNION ALL ".join(
 @register("A14 M27", _SUMMARY)
 def line_summary(spark, folder):
     columns = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
-    rounded = {c: F.round(c, 4) for c in ("mean", "std")} | {c: F.round(c, 6) for c in ("q25", "q50", "q75")}
+    rounded = {c: settled(F.col(c), 4) for c in ("mean", "std")} | {c: F.round(c, 6) for c in ("q25", "q50", "q75")}
     return summarize(read_table(spark, folder, "lineitem"), columns).withColumns(rounded)
 
 
@@ -243,7 +243,7 @@ def mean_counts_over_draws(spark, folder):
     "A17 W6",
     """WITH t AS (SELECT CAST(year(o_orderdate) AS VARCHAR) AS "year", c_nationkey AS entity_id, avg(o_totalprice) FILTER (o_orderstatus = 'F') AS oaa_rhh, avg(o_totalprice) FILTER (o_orderstatus = 'O') AS oaa_lhh
                   FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL)
-       SELECT "year", entity_id, round(oaa_rhh, 2) AS oaa_rhh, round(oaa_lhh, 2) AS oaa_lhh,
+       SELECT "year", entity_id, round(oaa_rhh + 1e-9, 2) AS oaa_rhh, round(oaa_lhh + 1e-9, 2) AS oaa_lhh,
          round((oaa_rhh - avg(oaa_rhh) OVER w) / nullif(stddev_samp(oaa_rhh) OVER w, 0), 6) + 0.0 AS oaa_rhh_standardized,
          round((oaa_lhh - avg(oaa_lhh) OVER w) / nullif(stddev_samp(oaa_lhh) OVER w, 0), 6) + 0.0 AS oaa_lhh_standardized
        FROM t WINDOW w AS (PARTITION BY "year")""",
@@ -259,6 +259,6 @@ def standardized_sides(spark, folder):
     return scored.select(
         "year",
         "entity_id",
-        *[F.round(c, 2).alias(c) for c in ("oaa_rhh", "oaa_lhh")],
+        *[settled(F.col(c), 2).alias(c) for c in ("oaa_rhh", "oaa_lhh")],
         *[plain(F.col(c)).alias(c) for c in ("oaa_rhh_standardized", "oaa_lhh_standardized")],
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pitchframe.functions.numbers import plain
+from pitchframe.functions.numbers import plain, settled
 from pitchframe.plans import features as feat
 from pitchframe.plans import scores
 from pitchframe.sources.tables import read_table
@@ -123,7 +123,7 @@ def pitch_sequence_features(spark, folder):
           WHERE simplified_outcome IS NOT NULL AND of_fielding_alignment IS NOT NULL AND launch_speed IS NOT NULL AND launch_angle IS NOT NULL)
     SELECT venue_id, game_pk, at_bat_number, pitch_number, simplified_outcome, game_year, outs_when_up, stand,
       CASE WHEN on_1b IS NULL THEN 0 ELSE 1 END AS on_1b, CASE WHEN on_2b IS NULL THEN 0 ELSE 1 END AS on_2b, CASE WHEN on_3b IS NULL THEN 0 ELSE 1 END AS on_3b,
-      launch_speed, launch_angle, spray_angle, round(coalesce(speed, avg(speed) OVER (PARTITION BY venue_id)), 4) AS speed,
+      launch_speed, launch_angle, spray_angle, round(coalesce(speed, avg(speed) OVER (PARTITION BY venue_id)) + 1e-9, 4) AS speed,
       CASE WHEN stand = 'R' THEN rhh ELSE lhh END AS oaa FROM j""",
 )
 def hit_class_features(spark, folder):
@@ -143,7 +143,7 @@ def hit_class_features(spark, folder):
         F.col("n_nationkey").alias("team_id"), F.concat(F.lit("T"), F.col("n_nationkey").cast("string")).alias("team_code")
     )
     built = feat.hit_class_set(rows, venues, speeds, fielding, teams).drop("game_date")
-    return built.withColumns({"speed": F.round("speed", 4), "spray_angle": plain(F.col("spray_angle"), 0)})
+    return built.withColumns({"speed": settled(F.col("speed"), 4), "spray_angle": plain(F.col("spray_angle"), 0)})
 
 
 @register(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from pitchframe.functions.numbers import settled
 from pitchframe.operators import joins, ordered
 from pitchframe.sources.tables import read_table
 from pitchframe.suite import register
@@ -107,15 +108,15 @@ def season_and_status_lookup(spark, folder):
 
 @register(
     "J8 A5",
-    """WITH a AS (SELECT l_suppkey, round(avg(l_quantity) FILTER (l_returnflag = 'A'), 6) AS "A_quantity", round(avg(l_quantity) FILTER (l_returnflag = 'R'), 6) AS "R_quantity" FROM lineitem GROUP BY 1),
-            b AS (SELECT l_suppkey, round(avg(l_discount) FILTER (l_returnflag = 'A'), 6) AS "A_discount", round(avg(l_discount) FILTER (l_returnflag = 'R'), 6) AS "R_discount" FROM lineitem WHERE l_tax > 0.02 GROUP BY 1)
+    """WITH a AS (SELECT l_suppkey, round(avg(l_quantity) FILTER (l_returnflag = 'A') + 1e-9, 6) AS "A_quantity", round(avg(l_quantity) FILTER (l_returnflag = 'R') + 1e-9, 6) AS "R_quantity" FROM lineitem GROUP BY 1),
+            b AS (SELECT l_suppkey, round(avg(l_discount) FILTER (l_returnflag = 'A') + 1e-9, 6) AS "A_discount", round(avg(l_discount) FILTER (l_returnflag = 'R') + 1e-9, 6) AS "R_discount" FROM lineitem WHERE l_tax > 0.02 GROUP BY 1)
        SELECT a.*, "A_discount", "R_discount" FROM a LEFT JOIN b USING (l_suppkey)""",
 )
 def two_wide_tables(spark, folder):
     lines = read_table(spark, folder, "lineitem")
 
     def wide(rows, column):
-        return rows.groupBy("l_suppkey").pivot("l_returnflag", ["A", "R"]).agg(F.round(F.avg(column), 6))
+        return rows.groupBy("l_suppkey").pivot("l_returnflag", ["A", "R"]).agg(settled(F.avg(column), 6))
 
     return joins.join_wide(
         wide(lines, "l_quantity"), wide(lines.where("l_tax > 0.02"), "l_discount"), "l_suppkey", ("_quantity", "_discount")

@@ -438,13 +438,13 @@ def normal_round_trip(spark, folder):
 
 @register(
     "S2",
-    """SELECT n_name, count(*) AS customers, round(avg(c_acctbal), 4) AS mean_balance FROM customer
+    """SELECT n_name, count(*) AS customers, round(avg(c_acctbal) + 1e-9, 4) AS mean_balance FROM customer
        JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal > 100 AND c_mktsegment <> 'MACHINERY' GROUP BY 1""",
 )
 def bound_sql_text(spark, folder):
     return query(
         spark,
-        """SELECT n_name, count(*) AS customers, round(avg(c_acctbal), 4) AS mean_balance
+        """SELECT n_name, count(*) AS customers, round(avg(c_acctbal) + 1e-9, 4) AS mean_balance
            FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey
            WHERE c_acctbal > :least AND c_mktsegment <> :segment GROUP BY n_name""",
         {"customer": read_table(spark, folder, "customer"), "nation": read_table(spark, folder, "nation")},

@@ -56,14 +56,14 @@ def test_no_task_gets_the_hot_group(spark):
     ordered = Ordered(df, ["k"], ["x"], max_share=0.05, min_rows=10).row_number("rn")
     ordered.build()
     hot, limit = ordered._known
-    rows = df.withColumn("_pos", F.col("x"))
-    largest = ordered._segmented(rows, hot).groupBy("k", "_seg").count().agg(F.max("count")).first()[0]
+    rows = df.withColumn("__pos", F.col("x"))
+    largest = ordered._segmented(rows, hot).groupBy("k", "__seg").count().agg(F.max("count")).first()[0]
     assert limit == 1000 and largest <= limit
 
 
 def test_no_hot_group_is_a_plain_window(spark):
     plan = Ordered(spark.range(100), [], ["id"]).row_number("rn").build()._jdf.queryExecution().toString()
-    assert "_seg" not in plan
+    assert "__seg" not in plan
 
 
 def test_text_order_is_split_by_its_first_bytes(spark):
