@@ -41,6 +41,12 @@ def collapse(column: Column | str, classes: Mapping[str, Sequence[str]]) -> Colu
     return out
 
 
+def has_class(column: Column | str, classes: Mapping[str, Sequence[str]]) -> Column:
+    """Whether some class lists the value; a plain IN list, which reaches the scan."""
+    source = F.col(column) if isinstance(column, str) else column
+    return source.isin(*[m for members in classes.values() for m in members])
+
+
 def presence(column: Column | str) -> Column:
     """1 when the value is there, else 0."""
     source = F.col(column) if isinstance(column, str) else column

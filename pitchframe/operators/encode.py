@@ -17,8 +17,8 @@ def label_codes(df: DataFrame, column: str, code: str = "code") -> DataFrame:
 
     Joined one way it encodes, the other way it decodes.
     """
-    values = df.select(column).where(F.col(column).isNotNull()).distinct()
-    numbered = Ordered(values, [], [column]).row_number("_rn").build()
+    present = df.select(column).where(F.col(column).isNotNull())
+    numbered = Ordered(present.distinct(), [], [column], measure=present).row_number("_rn").build()
     return numbered.select(column, (F.col("_rn") - 1).alias(code))
 
 

@@ -86,12 +86,19 @@ class Ordered:
         max_share: float | None = None,
         min_rows: int | None = None,
         oversplit: int = OVERSPLIT,
+        measure: DataFrame | None = None,
     ):
+        """``measure`` may name a cheaper frame to find hot groups in.
+
+        It needs the keys and the first order column, at least as many rows per
+        group and the same range, such as the rows that ``df`` was grouped from.
+        """
+        self.measure = measure
         self.df, self.keys, self.order = df, list(keys), list(order)
         self.max_share = MAX_SHARE if max_share is None else max_share
         self.min_rows = MIN_ROWS if min_rows is None else min_rows
         self.oversplit = oversplit
-        self._known: tuple[DataFrame | None, float] | None = None
+        self._known: tuple[DataFrame | None, list[DataFrame]] | None = None
         self._numbers: list[str] = []
         self._sizes: list[str] = []
         self._shifts: list[tuple[str, str, int, object]] = []
@@ -165,6 +172,23 @@ class Ordered:
         schema = T.StructType([*spans.schema.fields, T.StructField("__pieces", T.DoubleType())])
         return self.df.sparkSession.createDataFrame(hot, schema)
 
+    def _find_split(self) -> tuple[DataFrame | None, list[DataFrame]]:
+        """The hot groups and the segments to cut again, from one pass each."""
+        source = self.df if self.measure is None else self.measure
+        first = self.order[0].lstrip("-")
+        rows = source.select(*dict.fromkeys([*self.keys, first])).withColumn("__pos", _position(source, self.order[0]))
+        hot = self._hot(rows)
+        if hot is None:
+            return None, []
+        rows, finer = self._segmented(rows, hot), []
+        for _ in range(REFINEMENTS):
+            crowded = self._crowded(rows)
+            if crowded is None:
+                break
+            finer.append(crowded)
+            rows = self._refined(rows, crowded)
+        return hot, finer
+
     def _segmented(self, rows: DataFrame, hot: DataFrame) -> DataFrame:
         """Adds the segment number; it never decreases along the order."""
         if self.keys:
@@ -178,15 +202,12 @@ class Ordered:
             .when(F.col("__pos").isNull(), unplaced)
             .otherwise(_piece("__lo", "__hi", "__pieces"))
         )
-        rows = rows.withColumn("__seg", segment).drop("__lo", "__hi")
-        for _ in range(REFINEMENTS):
-            crowded = self._crowded(rows)
-            if crowded is None:
-                break
-            rows = _left_join_small(rows, crowded, [*self.keys, "__seg"])
-            finer = F.when(F.col("__part").isNull(), 0).otherwise(_piece("__from", "__to", "__part"))
-            rows = rows.withColumn("__seg", F.col("__seg") * BASE + finer).drop("__from", "__to", "__part")
-        return rows.drop("__pos")
+        return rows.withColumn("__seg", segment).drop("__lo", "__hi", "__n")
+
+    def _refined(self, rows: DataFrame, crowded: DataFrame) -> DataFrame:
+        rows = _left_join_small(rows, crowded, [*self.keys, "__seg"])
+        finer = F.when(F.col("__part").isNull() | F.col("__pos").isNull(), 0).otherwise(_piece("__from", "__to", "__part"))
+        return rows.withColumn("__seg", F.col("__seg") * BASE + finer).drop("__from", "__to", "__part")
 
     def _crowded(self, rows: DataFrame) -> DataFrame | None:
         """Segments that still exceed the share, because values bunch inside the span.
@@ -236,7 +257,10 @@ class Ordered:
                 summary = _left_join_small(summary, ends, place, hint=False)
         along = Window.partitionBy(*self.keys).orderBy("__seg")
         before = along.rowsBetween(Window.unboundedPreceding, -1)
-        columns = {"__before": F.coalesce(F.sum("__rows").over(before), F.lit(0))}
+        columns = {
+            "__before": F.coalesce(F.sum("__rows").over(before), F.lit(0)),
+            "__all": F.sum("__rows").over(Window.partitionBy(*self.keys)),
+        }
         for i, (_, _, kind) in enumerate(self._running):
             columns[f"__c{i}"] = getattr(F, kind)(f"__r{i}").over(before)
         if depth:
@@ -254,13 +278,14 @@ class Ordered:
     def build(self) -> DataFrame:
         rows = self.df.withColumns({"__pos": _position(self.df, self.order[0])} | self._values)
         if self._known is None:
-            self._limit = 0.0
-            hot = self._hot(rows.select(*self.keys, "__pos"))
-            self._known = (hot, self._limit)
-        hot, self._limit = self._known
+            self._known = self._find_split()
+        hot, finer = self._known
         if hot is None:
             return self._build_plain(rows)
-        return self._build_split(self._segmented(rows, hot))
+        split = self._segmented(rows, hot)
+        for crowded in finer:
+            split = self._refined(split, crowded)
+        return self._build_split(split)
 
     def _build_plain(self, rows: DataFrame) -> DataFrame:
         inner = Window.partitionBy(*self.keys).orderBy(*sort_columns(self.order))
@@ -298,7 +323,7 @@ class Ordered:
         for name in self._numbers:
             final[name] = (F.col("__rn") + F.coalesce(F.col("__before"), F.lit(0))).cast("long")
         for name in self._sizes:
-            final[name] = F.coalesce(F.col("__n"), F.col("__size"))
+            final[name] = F.coalesce(F.col("__all"), F.col("__size"))
         for i, (name, value, offset, default) in enumerate(self._shifts):
             if offset > 0:
                 outside = F.col("__rn") <= offset

@@ -26,9 +26,9 @@ def long_values(df: DataFrame, columns: Sequence[str], within: Sequence[str] = (
 def positions(df: DataFrame, columns: Sequence[str], within: Sequence[str] = ()) -> DataFrame:
     """Distinct values with their first and last zero-based position in the sorted column."""
     keys = [*within, "column"]
-    counts = long_values(df, columns, within).groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("ties"))
-    counts = counts.withColumn("value", F.col("value") + F.lit(0.0))
-    order = Ordered(counts, keys, ["value"]).running_sum("_upto", "ties").build()
+    cells = long_values(df, columns, within).withColumn("value", F.col("value") + F.lit(0.0))
+    counts = cells.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("ties"))
+    order = Ordered(counts, keys, ["value"], measure=cells).running_sum("_upto", "ties").build()
     return order.select(
         *keys, "value", "ties", (F.col("_upto") - F.col("ties")).alias("first"), (F.col("_upto") - 1).alias("last")
     )

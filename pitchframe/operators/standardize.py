@@ -80,10 +80,9 @@ def value_ranks(df: DataFrame, column: str, within: Sequence[str] = ()) -> DataF
 
     Works on distinct values only: ties collapse before anything is ordered.
     """
-    counts = (
-        df.where(F.col(column).isNotNull()).groupBy(*within, column).agg(F.count(F.lit(1)).alias("ties"))
-    )
-    ranked = Ordered(counts, within, [column]).running_sum("_upto", "ties").build()
+    present = df.select(*within, column).where(F.col(column).isNotNull())
+    counts = present.groupBy(*within, column).agg(F.count(F.lit(1)).alias("ties"))
+    ranked = Ordered(counts, within, [column], measure=present).running_sum("_upto", "ties").build()
     sizes = counts.groupBy(*within).agg(F.sum("ties").alias("size"))
     if within:
         ranked = ranked.join(sizes, list(within))

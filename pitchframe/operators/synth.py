@@ -223,13 +223,9 @@ def compare_columns(real: DataFrame, generated: DataFrame, columns: Sequence[str
     """Two-sample Kolmogorov-Smirnov distance per column, from running shares of distinct values."""
     a = long_values(real, columns).select("column", "value", F.lit(1).alias("_a"), F.lit(0).alias("_b"))
     b = long_values(generated, columns).select("column", "value", F.lit(0).alias("_a"), F.lit(1).alias("_b"))
-    counts = (
-        a.unionByName(b)
-        .withColumn("value", F.col("value") + F.lit(0.0))
-        .groupBy("column", "value")
-        .agg(F.sum("_a").alias("_a"), F.sum("_b").alias("_b"))
-    )
-    running = Ordered(counts, ["column"], ["value"]).running_sum("_ra", "_a").running_sum("_rb", "_b").build()
+    both = a.unionByName(b).withColumn("value", F.col("value") + F.lit(0.0))
+    counts = both.groupBy("column", "value").agg(F.sum("_a").alias("_a"), F.sum("_b").alias("_b"))
+    running = Ordered(counts, ["column"], ["value"], measure=both).running_sum("_ra", "_a").running_sum("_rb", "_b").build()
     totals = counts.groupBy("column").agg(F.sum("_a").alias("_ta"), F.sum("_b").alias("_tb"))
     # One row per listed column.
     gaps = running.join(F.broadcast(totals), "column")

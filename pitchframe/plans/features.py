@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pitchframe.functions.categories import OUTCOME_CLASSES, PITCH_CLASSES, choose, collapse, presence
+from pitchframe.functions.categories import OUTCOME_CLASSES, PITCH_CLASSES, choose, collapse, has_class, presence
 from pitchframe.functions.numbers import spray_angle
 from pitchframe.operators.joins import lookup
 from pitchframe.operators.ordered import Ordered
@@ -45,9 +45,9 @@ def pitch_outcome_set(pitches: DataFrame, *, until: str | None = None, keep_null
     unless ``keep_null_target``.
     """
     rows = as_of(require_all(pitches, OUTCOME_FEATURES), date="game_date", until=until)
-    rows = rows.withColumn("pitch_outcome", collapse("description", PITCH_CLASSES))
     if not keep_null_target:
-        rows = rows.where(F.col("pitch_outcome").isNotNull())
+        rows = rows.where(has_class("description", PITCH_CLASSES))
+    rows = rows.withColumn("pitch_outcome", collapse("description", PITCH_CLASSES))
     return rows.select("batter", *PITCH_KEY, *OUTCOME_FEATURES, "pitch_outcome")
 
 
@@ -80,12 +80,16 @@ def pitch_sequence_set(
         "on_1b", "on_2b", "on_3b",
     ]
     rows = rows.select(*base).withColumns({b: presence(b) for b in ("on_1b", "on_2b", "on_3b")})
-    rows = Ordered(rows, ["game_pk", "pitcher", "at_bat_number"], ["pitch_number"]).lag("prev_pitch", "pitch_type").build()
+    # At-bats follow each other in a pitcher's game, so one order serves both columns.
     rows = (
         Ordered(rows, ["game_pk", "pitcher"], ["at_bat_number", "pitch_number"])
+        .lag("_pitch", "pitch_type")
+        .lag("_at_bat", "at_bat_number")
         .row_number("cumulative_pitch_number")
         .build()
     )
+    same_at_bat = F.col("_at_bat") == F.col("at_bat_number")
+    rows = rows.withColumn("prev_pitch", F.when(same_at_bat, F.col("_pitch"))).drop("_pitch", "_at_bat")
     for scores, suffix in ((strikes, "_strike"), (contact, "_woba")):
         wide = wide_scores(scores, "batter", "pitch_type", pitch_types)
         rows = lookup(rows, wide, {"batter": "batter"}, {t: f"{t}{suffix}" for t in pitch_types})
@@ -112,7 +116,7 @@ def hit_class_set(
     if venue_id is not None:
         venues = venues.where(F.col("venue_id") == venue_id)
     rows = as_of(pitches, date="game_date", until=until, year="game_year", after_year=FIRST_SEASON_AFTER)
-    rows = rows.where(F.col("type") == "X").withColumns(
+    rows = rows.where((F.col("type") == "X") & has_class("events", OUTCOME_CLASSES)).withColumns(
         {
             "simplified_outcome": collapse("events", OUTCOME_CLASSES),
             "fielding_team": choose(F.col("inning_topbot") == "Top", "home_team", "away_team"),
@@ -121,7 +125,7 @@ def hit_class_set(
     )
     rows = require_all(
         rows,
-        ["simplified_outcome", "outs_when_up", "of_fielding_alignment", "launch_speed", "launch_angle", "spray_angle"],
+        ["outs_when_up", "of_fielding_alignment", "launch_speed", "launch_angle", "spray_angle"],
     )
     rows = rows.withColumns({b: presence(b) for b in ("on_1b", "on_2b", "on_3b")})
     rows = rows.join(venues.select("game_pk", "venue_id").distinct(), "game_pk")

@@ -24,8 +24,8 @@ _COLUMNS = """
     CAST(k AS BIGINT) AS batter,
     CASE WHEN k % 3 = 0 THEN 'L' ELSE 'R' END AS stand,
     CASE WHEN user_id % 4 = 0 THEN 'L' ELSE 'R' END AS p_throws,
-    concat('T', CAST(user_id % 25 AS VARCHAR(3))) AS home_team,
-    concat('T', CAST(k % 25 AS VARCHAR(3))) AS away_team,
+    concat('T', CAST(user_id % 25 AS {text})) AS home_team,
+    concat('T', CAST(k % 25 AS {text})) AS away_team,
     CASE event_type WHEN 'click' THEN 'FF' WHEN 'view' THEN 'SL' WHEN 'purchase' THEN 'CH'
         WHEN 'signup' THEN 'CU' ELSE CASE WHEN k % 2 = 0 THEN 'PO' END END AS pitch_type,
     CASE WHEN event_id % 7 < 3 THEN 'S' WHEN event_id % 7 < 5 THEN 'B' ELSE 'X' END AS type,
@@ -61,7 +61,7 @@ _COLUMNS = """
 
 PITCH_SQL = f"""
 pitches AS (
-  SELECT {_COLUMNS.format(day="date_diff('day', DATE '1970-01-01', CAST(ts AS DATE))")}
+  SELECT {_COLUMNS.format(text="VARCHAR", day="date_diff('day', DATE '1970-01-01', CAST(ts AS DATE))")}
   FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events) e
 )"""
 
@@ -71,8 +71,12 @@ def pitches(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def as_pitches(events: DataFrame) -> DataFrame:
-    """Pitch columns of a batch or streaming events frame."""
+    """Pitch columns of a batch or streaming events frame.
+
+    ``k`` is parsed in a one-element explode: as a plain projection the parse
+    would be copied into every filter on a column made from it.
+    """
     text = f"""
-      SELECT {_COLUMNS.format(day="datediff(CAST(ts AS DATE), DATE '1970-01-01')")}
-      FROM (SELECT *, CAST(get_json_object(props, '$.k') AS BIGINT) AS k FROM {{events}}) e"""
+      SELECT {_COLUMNS.format(text="STRING", day="datediff(CAST(ts AS DATE), DATE '1970-01-01')")}
+      FROM {{events}} LATERAL VIEW explode(array(CAST(get_json_object(props, '$.k') AS BIGINT))) parsed AS k"""
     return events.sparkSession.sql(text, events=events)

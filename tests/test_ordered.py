@@ -55,10 +55,20 @@ def test_no_task_gets_the_hot_group(spark):
     df = spark.range(20_000).select(F.lit(1).alias("k"), F.when(F.col("id") == 0, 1e15).otherwise(F.col("id") * 1.0).alias("x"))
     ordered = Ordered(df, ["k"], ["x"], max_share=0.05, min_rows=10).row_number("rn")
     ordered.build()
-    hot, limit = ordered._known
-    rows = df.withColumn("__pos", F.col("x"))
-    largest = ordered._segmented(rows, hot).groupBy("k", "__seg").count().agg(F.max("count")).first()[0]
-    assert limit == 1000 and largest <= limit
+    hot, finer = ordered._known
+    rows = ordered._segmented(df.withColumn("__pos", F.col("x")), hot)
+    assert rows.groupBy("__seg").count().agg(F.max("count")).first()[0] == 19_999
+    for crowded in finer:
+        rows = ordered._refined(rows, crowded)
+    assert rows.groupBy("__seg").count().agg(F.max("count")).first()[0] <= 1000
+
+
+def test_hot_groups_may_be_measured_on_the_rows_before_grouping(spark):
+    rows = spark.range(5000).select((F.col("id") % 700 * 1.0).alias("x"))
+    counts = rows.groupBy("x").agg(F.count(F.lit(1)).alias("n"))
+    built = Ordered(counts, [], ["x"], max_share=0.05, min_rows=10, measure=rows).running_sum("upto", "n").size("values").build()
+    last = built.orderBy(F.desc("x")).first()
+    assert (last["upto"], last["values"]) == (5000, 700)
 
 
 def test_no_hot_group_is_a_plain_window(spark):
