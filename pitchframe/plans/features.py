@@ -108,7 +108,7 @@ def hit_class_set(
 ) -> DataFrame:
     """Balls in play with spray angle, runner speed and fielding strength, per venue.
 
-    ``venues`` has game_pk and venue_id, ``speeds`` mlb_id and speed,
+    ``venues`` has game_pk and venue_id, ``speeds`` player_id and speed,
     ``fielding`` year, entity_id and the two standardised columns, ``teams``
     team_id and team_code. A missing speed takes the mean over the joined rows
     of the same venue.
@@ -129,7 +129,7 @@ def hit_class_set(
     )
     rows = rows.withColumns({b: presence(b) for b in ("on_1b", "on_2b", "on_3b")})
     rows = rows.join(venues.select("game_pk", "venue_id").distinct(), "game_pk")
-    rows = lookup(rows, speeds.withColumn("speed", F.col("speed").try_cast("double")), {"batter": "mlb_id"}, ["speed"])
+    rows = lookup(rows, speeds.withColumn("speed", F.col("speed").try_cast("double")), {"batter": "player_id"}, ["speed"])
     strength = lookup(fielding, teams, {"entity_id": "team_id"}, {"team_code": "team"})
     strength = strength.withColumn("year", F.col("year").cast("int"))
     rows = lookup(

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pitchframe.functions.text import last_token, strip_tail, team_code
 from pitchframe.operators.ordered import top_rows
@@ -18,14 +19,10 @@ LINEUP_PLAYER = r'(?s)<li[^>]*class="(?:[^"]*\s)?lineup__player(?:\s[^"]*)?"[^>]
 
 def embedded_rows(pages: DataFrame, text: str, schema: str, pattern: str = EMBEDDED_ARRAY, keep: Sequence[str] = ()) -> DataFrame:
     """Rows of a JSON array that a page assigns to a script variable; ``schema`` picks the columns."""
-    array = F.from_json(F.regexp_extract(text, pattern, 1), f"array<struct<{_fields(schema)}>>")
+    array = F.from_json(F.regexp_extract(text, pattern, 1), T.ArrayType(T.StructType.fromDDL(schema)))
     return pages.select(*keep, F.inline(array))
 
 
-def _fields(schema: str) -> str:
-    return ", ".join(part.strip().replace(" ", ": ", 1) for part in schema.split(","))
-
-
 def venues(responses: DataFrame, body: str, game: str = "game_pk") -> DataFrame:
     """(game, venue_name, venue_id) from schedule responses; NULL where a response has no game."""
     parsed = responses.withColumn("_j", F.from_json(body, VENUE_SCHEMA))

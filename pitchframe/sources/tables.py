@@ -68,8 +68,14 @@ def has_table(spark: SparkSession, name: str) -> bool:
 
 
 def append_rows(df: DataFrame, target: str, partition_by: Sequence[str] = ("game_year",)) -> None:
-    """Append to a Parquet table folder, partitioned for pruning."""
-    df.write.mode("append").partitionBy(*partition_by).parquet(target)
+    """Append to a Parquet table folder, partitioned for pruning.
+
+    The rebalance step gathers each partition's rows into files of the advisory
+    size at run time: small ones are merged and large ones split, instead of
+    every task writing a file for every partition it meets.
+    """
+    rebalanced = df.hint("rebalance", *[F.col(c) for c in partition_by])
+    rebalanced.write.mode("append").partitionBy(*partition_by).parquet(target)
 
 
 def replace_table(df: DataFrame, name: str) -> None:

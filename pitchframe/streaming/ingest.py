@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from pitchframe.operators.joins import only_new
+from pitchframe.sources.tables import append_rows
 
 LOOK_BACK_DAYS = 2
 
@@ -71,7 +72,7 @@ def append_batch(
         kind = stored.schema[date].dataType
         near = stored.where(F.col(date).between(F.lit(span["low"]).cast(kind), F.lit(span["high"]).cast(kind)))
         fresh = only_new(batch, near, key)
-    fresh.write.mode("append").partitionBy(*partition_by).parquet(target)
+    append_rows(fresh, target, partition_by)
 
 
 def pitch_stream(

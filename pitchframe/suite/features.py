@@ -110,7 +110,7 @@ def pitch_sequence_features(spark, folder):
     "M9 J3 J5 J6 J7 P1 P3 P6 F1",
     f"""WITH {PITCH_SQL},
     venues AS (SELECT DISTINCT game_pk, CAST(game_pk % 10 AS BIGINT) AS venue_id FROM pitches),
-    speeds AS (SELECT c_custkey AS mlb_id, c_acctbal AS speed FROM customer WHERE c_mktsegment <> 'BUILDING'),
+    speeds AS (SELECT c_custkey AS player_id, c_acctbal AS speed FROM customer WHERE c_mktsegment <> 'BUILDING'),
     oaa AS (SELECT 2024 AS y, n_nationkey AS id, n_nationkey / 4.0E0 AS rhh, n_regionkey / 2.0E0 AS lhh FROM nation),
     teams AS (SELECT n_nationkey AS id, 'T' || CAST(n_nationkey AS VARCHAR) AS team FROM nation WHERE n_nationkey <> 7),
     h AS (SELECT *, CASE WHEN events IN ('single', 'double', 'triple', 'home_run', 'field_out', 'triple_play', 'fielders_choice') THEN events
@@ -118,7 +118,7 @@ def pitch_sequence_features(spark, folder):
            WHEN events = 'grounded_into_double_play' THEN 'double_play' WHEN events = 'field_error' THEN 'fielding_error' END AS simplified_outcome,
            CASE WHEN inning_topbot = 'Top' THEN home_team ELSE away_team END AS fielding_team,
            round(-(180 / pi()) * atan2(hc_x - 130, 213 - hc_y) + 90) + 0.0 AS spray_angle FROM pitches WHERE type = 'X' AND game_year > 2020),
-    j AS (SELECT h.*, venue_id, speed, rhh, lhh FROM h JOIN venues USING (game_pk) LEFT JOIN speeds ON batter = mlb_id
+    j AS (SELECT h.*, venue_id, speed, rhh, lhh FROM h JOIN venues USING (game_pk) LEFT JOIN speeds ON batter = player_id
           LEFT JOIN (SELECT y, team, rhh, lhh FROM oaa JOIN teams USING (id)) o ON game_year = y AND fielding_team = team
           WHERE simplified_outcome IS NOT NULL AND of_fielding_alignment IS NOT NULL AND launch_speed IS NOT NULL AND launch_angle IS NOT NULL)
     SELECT venue_id, game_pk, at_bat_number, pitch_number, simplified_outcome, game_year, outs_when_up, stand,
@@ -131,7 +131,7 @@ def hit_class_features(spark, folder):
     nation, customer = read_table(spark, folder, "nation"), read_table(spark, folder, "customer")
     venues = rows.select("game_pk", (F.col("game_pk") % 10).alias("venue_id"))
     speeds = customer.where("c_mktsegment <> 'BUILDING'").select(
-        F.col("c_custkey").alias("mlb_id"), F.col("c_acctbal").cast("string").alias("speed")
+        F.col("c_custkey").alias("player_id"), F.col("c_acctbal").cast("string").alias("speed")
     )
     fielding = nation.select(
         F.lit("2024").alias("year"),

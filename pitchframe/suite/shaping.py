@@ -426,14 +426,25 @@ def safe_log_sums(spark, folder):
     )
 
 
-@register("F9")
+@register(
+    "F9",
+    """SELECT l_orderkey, l_linenumber, l_partkey, round((l_quantity - 0.5E0) / 50.0E0, 6) AS p, 0.0E0 AS gap,
+         CASE WHEN l_quantity = 25.5 THEN 0 WHEN l_quantity < 25.5 THEN -1 ELSE 1 END AS score_sign FROM lineitem""",
+)
 def normal_round_trip(spark, folder):
     """Normal score of the quantity share and the way back."""
     rows = read_table(spark, folder, "lineitem").select(
-        "l_orderkey", "l_linenumber", ((F.col("l_quantity") - 0.5) / 50.0).alias("p")
+        "l_orderkey", "l_linenumber", "l_partkey", ((F.col("l_quantity") - 0.5) / 50.0).alias("p")
     )
     rows = add_normal_cdf(add_normal_quantile(rows, "p", "score"), "score", "back")
-    return rows.withColumn("gap", F.round(F.col("back") - F.col("p"), 12))
+    return rows.select(
+        "l_orderkey",
+        "l_linenumber",
+        "l_partkey",
+        F.round("p", 6).alias("p"),
+        num.plain(F.col("back") - F.col("p"), 9).alias("gap"),
+        F.signum("score").cast("int").alias("score_sign"),
+    )
 
 
 @register(
