@@ -34,6 +34,15 @@ def positions(df: DataFrame, columns: Sequence[str], within: Sequence[str] = ())
     )
 
 
+def per_column(table: DataFrame, value: str) -> Column:
+    """The value that a table with one row per listed column holds for ``column``.
+
+    Read as one scalar map, so a frame over a single column needs no join.
+    """
+    entries = F.collect_list(F.struct("column", value))
+    return F.try_element_at(table.agg(F.map_from_entries(entries)).scalar(), F.col("column"))
+
+
 def exact_quantiles(
     df: DataFrame, columns: Sequence[str], probabilities: Sequence[float], within: Sequence[str] = ()
 ) -> DataFrame:
@@ -46,15 +55,13 @@ def exact_quantiles(
     wanted = wanted.withColumns({"_low": F.floor(place), "_high": F.ceil(place), "_part": place - F.floor(place)})
     # One struct per group, as long as the probability list, instead of one join row per value and p.
     plan = wanted.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("p", "_low", "_high", "_part"))).alias("_plan"))
-    if not within:
-        plan = F.broadcast(plan)  # one row per listed column
     hit = F.filter(
         "_plan",
         lambda w: ((w["_low"] >= F.col("first")) & (w["_low"] <= F.col("last")))
         | ((w["_high"] >= F.col("first")) & (w["_high"] <= F.col("last"))),
     )
     rows = (
-        placed.join(plan, keys)
+        (placed.join(plan, keys) if within else placed.withColumn("_plan", per_column(plan, "_plan")))
         .withColumn("_hit", hit)
         .where(F.size("_hit") > 0)
         .select(*keys, "value", "first", "last", F.inline("_hit"))
@@ -101,8 +108,7 @@ def quantiles_at(df: DataFrame, columns: Sequence[str], draws: DataFrame, u: str
     through a broadcast instead and not listed.
     """
     placed = positions(df, columns)
-    # One row per listed column.
-    sizes = F.broadcast(placed.groupBy("column").agg(F.sum("ties").alias("_n")))
+    size = per_column(placed.groupBy("column").agg(F.sum("ties").alias("_n")), "_n")
     fine = F.greatest(F.floor(F.col("_n") / CELLS), F.lit(1))
     coarse = F.greatest(F.floor(F.col("_n") / HEAVY), F.lit(1))
     is_heavy = F.col("ties") * HEAVY > F.col("_n")
@@ -114,9 +120,9 @@ def quantiles_at(df: DataFrame, columns: Sequence[str], draws: DataFrame, u: str
             F.explode(covered).alias("_k"),
         )
 
-    wide = placed.join(sizes, "column")
+    wide = placed.withColumn("_n", size)
     place = F.col(u) * (F.col("_n") - 1)
-    out = draws.join(sizes, "column").withColumns(
+    out = draws.withColumn("_n", size).where(F.col("_n").isNotNull()).withColumns(
         {"_low": F.floor(place), "_high": F.ceil(place), "_part": place - F.floor(place)}
     )
     for at in ("_low", "_high"):

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pitchframe.functions.normal import add_normal_cdf, add_normal_quantile
 from pitchframe.operators.aggregate import pair_matrix
 from pitchframe.operators.ordered import Ordered
-from pitchframe.operators.quantiles import histogram, histogram_quantile, long_values, quantiles_at
+from pitchframe.operators.quantiles import histogram, histogram_quantile, long_values, per_column, quantiles_at
 from pitchframe.operators.sampling import hashed_uniform
 from pitchframe.operators.split import contiguous_folds
 from pitchframe.operators.standardize import pseudo_observations
@@ -226,9 +226,8 @@ def compare_columns(real: DataFrame, generated: DataFrame, columns: Sequence[str
     both = a.unionByName(b).withColumn("value", F.col("value") + F.lit(0.0))
     counts = both.groupBy("column", "value").agg(F.sum("_a").alias("_a"), F.sum("_b").alias("_b"))
     running = Ordered(counts, ["column"], ["value"], measure=both).running_sum("_ra", "_a").running_sum("_rb", "_b").build()
-    totals = counts.groupBy("column").agg(F.sum("_a").alias("_ta"), F.sum("_b").alias("_tb"))
-    # One row per listed column.
-    gaps = running.join(F.broadcast(totals), "column")
+    totals = counts.groupBy("column").agg(F.struct(F.sum("_a").alias("_ta"), F.sum("_b").alias("_tb")).alias("_t"))
+    gaps = running.withColumn("_t", per_column(totals, "_t")).select("*", "_t.*")
     gap = F.abs(F.try_divide(F.col("_ra"), F.col("_ta")) - F.try_divide(F.col("_rb"), F.col("_tb")))
     return gaps.groupBy("column").agg(F.max(gap).alias("ks_distance"))
 
