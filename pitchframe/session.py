@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -36,10 +37,13 @@ def build_session(app: str = "pitchframe", master: str | None = None, **extra: s
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A new folder name under the shared folder of the session.
 
-    The parent is ``spark.checkpoint.dir``; only a session without that setting
-    (a local test) gets a temporary folder of this machine.
+    The parent is ``spark.checkpoint.dir``. Only a session in one process (a
+    local test) may leave it unset and gets a temporary folder of this machine;
+    on a cluster a machine's own folder would lose rows, so that is an error.
     """
     parent = spark.conf.get("spark.checkpoint.dir", None)
     if not parent:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         parent = tempfile.mkdtemp(prefix="pitchframe-")
     return os.path.join(parent, f"{purpose}-{uuid.uuid4().hex}")
