@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitchframe.llm import byte_bpe, packing, token_counts
+from pitchframe.llm import byte_bpe, fingerprints, languages, near_duplicates, packing, personal_data, token_counts, toxicity
 from pitchframe.session import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +29,21 @@ def op1_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), 4096, 1)
 
 
+@register
+def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    lexicon = toxic_lexicon(spark, documents, folder)
+    out = toxicity.scores(documents, lexicon, 0.7)
+    return out.select("doc_id", toxicity.held_out(F.col("doc_id"), 3, 1).alias("held_out"), "score", "predicted")
+
+
+def toxic_lexicon(spark: SparkSession, documents: DataFrame, folder: str) -> toxicity.Lexicon:
+    """Learned from the labelled documents that are not held out."""
+    labels = table(spark, folder, "labels").where(~toxicity.held_out(F.col("doc_id"), 3, 1)).select("doc_id", "toxic")
+    texts = documents.where(~toxicity.held_out(F.col("doc_id"), 3, 1)).select("doc_id", "text")
+    return toxicity.learn(texts.join(labels, "doc_id"))
+
+
 @register
 def op3_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     """The cache starts empty, so every distinct text is encoded once."""
@@ -36,6 +51,31 @@ def op3_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.token_counts(documents, public_tokenizers.path("word_bpe_49k.json"), shared_dir(spark, "counts"), 2048)
 
 
+@register
+def op6_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates.near_duplicates(table(spark, folder, "documents"), 3, (85, 100))
+
+
+@register
+def op7_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    found = personal_data.personal_data(table(spark, folder, "documents"))
+    counts = [F.expr(f"cast(size(filter(base, s -> s.kind = {k})) as long)").alias(f"n_{kind}") for k, kind in enumerate(personal_data.KINDS)]
+    return found.select("doc_id", *counts, F.sha2(personal_data.joined("base"), 256).alias("base_sha256"), personal_data.joined("spans").alias("spans"))
+
+
+@register
+def op8_languages(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    held_out = toxicity.held_out(F.col("doc_id"), 4, 2)
+    found = languages.languages(documents, languages.learn(documents.where(~held_out)))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@register
+def op9_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints.fingerprints(table(spark, folder, "documents"))
+
+
 @register
 def op10_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
