@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitchframe.llm import byte_bpe, fingerprints, languages, near_duplicates, neighbours, packing, personal_data, token_counts, toxicity
+from pitchframe.llm import byte_bpe, fingerprints, languages, near_duplicates, neighbours, packing, personal_data, repeated_passages, token_counts, toxicity
 from pitchframe.session import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,6 +56,11 @@ def op4_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0, 10)
 
 
+@register
+def op5_repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
+    return repeated_passages.repeated_passages(table(spark, folder, "documents"), 50, 5, (80, 100))
+
+
 @register
 def op6_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, folder, "documents"), 3, (85, 100))
