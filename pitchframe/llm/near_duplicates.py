@@ -167,3 +167,10 @@ def near_duplicates(
     out = signed.join(named, F.col("digest") == F.col("of"), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def deduplicated(docs: DataFrame, width: int = 5, share: tuple[int, int] = (80, 100), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows that :func:`near_duplicates` does not keep; rows with a null id stay."""
+    found = near_duplicates(docs, width, share, id_col=id_col, text_col=text_col)
+    gone = found.where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(gone, docs[id_col].cast("long") == F.col("__gone"), "left_anti")

@@ -14,11 +14,12 @@ import unicodedata
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pitchframe.llm.common import map_arrow, texts
+from pitchframe.llm.common import map_arrow, ship, texts
 
 # Signs that are read as the letter they look like.
 LOOKALIKES = {
@@ -216,10 +217,10 @@ def scores(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.7, id_col: st
 
 def without_toxic(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose text scores below ``threshold``, with all their columns; null texts stay."""
-    from pyspark.sql.functions import pandas_udf
+    ship(docs.sparkSession)
 
-    @pandas_udf("boolean")
-    def clean(column):
+    @F.pandas_udf("boolean")
+    def clean(column: pd.Series) -> pd.Series:
         return column.map(lambda t: t is None or lexicon.score(*lexicon.measures(t)) < threshold).astype(bool)
 
     return docs.where(clean(F.col(text_col)))
