@@ -102,12 +102,14 @@ class Parser:
         roots = np.array(self.roots, np.int32)[:, None]
         fresh = self.moves.reshape(-1, self.width)[self.roots]
         fresh = np.where(fresh < 0, roots, fresh)
+        unknown = fresh == roots
         state = np.repeat(roots, len(lanes), axis=1)
         counts = np.zeros(state.shape, np.int32)
         for symbols in columns:
             following = self.moves[state * self.width + symbols]
             failed = following < 0
             counts += failed
+            counts += failed & unknown[:, symbols] & (state != roots)  # the phrase before, and the symbol alone
             state = np.where(failed, fresh[:, symbols], following)
         counts += state != roots
         owner = np.repeat(np.arange(len(texts)), blocks)

@@ -150,8 +150,9 @@ def learn(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic")
 
     Fitted on the ``SAMPLE_ROWS`` rows with the least hash of their text: a
     bounded sample that is the same on every run. A term needs ``MIN_DOCS``
-    toxic documents and log odds of ``MIN_ODDS``; a phrase around a term whose
-    odds turn clean becomes an exception.
+    toxic documents and log odds of ``MIN_ODDS``; a phrase of a term and a
+    neighbour that stands in ten times as many clean documents as toxic ones, and
+    in ``MIN_DOCS``, becomes an exception.
     """
     rows = labelled.select(F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("toxic")).dropna()
     rows = rows.withColumn("draw", F.xxhash64("text"))
@@ -170,8 +171,9 @@ def learn(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic")
     exceptions = []
     doubtful = [row["gram"] for row in terms if row["of_clean"] >= MIN_DOCS]
     if doubtful:
-        around = _phrases(rows, doubtful).groupBy("gram").agg(*counts).withColumn("odds", odds)
-        exceptions = [row["gram"] for row in around.where((F.col("of_clean") >= MIN_DOCS) & (F.col("odds") < 0)).orderBy(F.desc("of_clean"), "gram").limit(TERMS).collect()]
+        around = _phrases(rows, doubtful).groupBy("gram").agg(*counts)
+        harmless = (F.col("of_clean") >= MIN_DOCS) & (F.col("of_toxic") <= 0.1 * F.col("of_clean"))
+        exceptions = [row["gram"] for row in around.where(harmless).orderBy(F.desc("of_clean"), "gram").limit(TERMS).collect()]
     lexicon = Lexicon(weights, exceptions)
     lexicon.curve = _curve(rows, lexicon)
     rows.unpersist()
