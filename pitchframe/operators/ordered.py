@@ -1,19 +1,19 @@
 """Ordered operators that stay parallel when one group is huge.
 
-A plain window sends a whole group to one task. Here a *hot* group, one that
-holds more than ``max_share`` of all rows, is cut into consecutive segments of
-its order column. The window runs per segment, and what crosses a segment
-border (row offsets, running totals, neighbouring rows) comes from a summary
-with one row per segment.
-
-Both side tables are bounded by construction: fewer than ``1 / max_share``
-groups can exceed that share, and they get at most ``2 * oversplit / max_share``
-segments in total. That is why they may be broadcast. Segments have equal width
-in the order column; one that still holds more than the share is cut again.
-Borders are exact minima and maxima fixed before the operator runs, so a
-recomputed task sees the same ones. Rows with equal positions stay together.
-The counting pass runs when the operator is built. Without a hot group the
-result is the plain window.
+A plain window sends a whole group to one task. Here a *large* group, one of
+more than ``rows_per_task`` rows, is cut into consecutive segments: its rows are
+range-partitioned by the keys and **all** order columns, and each partition's
+part of a group is a segment. Borders are quantiles of full order tuples that
+Spark samples, so neither bunched values, common prefixes nor few distinct values
+of the first column fill one task; only rows that agree in every order column
+stay together. The partitioned rows are written once below the shared folder, so
+every later step, and every recomputed task, sees the same segments.
+
+The window runs per segment, and what crosses a segment border (row offsets,
+running totals, neighbouring rows) comes from a summary with one row per segment,
+joined on the segment. Groups within the limit take the plain window. One
+counting pass over the keys runs when the operator is built; a caller that knows
+its groups to be small says ``bounded=True`` and skips it.
 """
 
 from __future__ import annotations
@@ -23,14 +23,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-MAX_SHARE = 1.0 / 512
-MIN_ROWS = 1_000_000
-OVERSPLIT = 8
-# Segment numbers gain a factor of BASE per refinement and stay within a long.
-BASE = 2**16
-REFINEMENTS = 2
+from pitchframe.session import shared_dir
+
+ROWS_PER_TASK = 1_000_000
 
 
 def sort_columns(order: Sequence[str], *, reverse: bool = False) -> list[Column]:
@@ -43,37 +39,6 @@ def sort_columns(order: Sequence[str], *, reverse: bool = False) -> list[Column]
     return out
 
 
-def _position(df: DataFrame, item: str) -> Column:
-    """A double that never decreases along the first order column."""
-    name = item.lstrip("-")
-    kind = df.schema[name].dataType
-    column = F.col(name)
-    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        day = F.datediff(column.cast("date"), F.lit("1970-01-01").cast("date")).cast("double")
-        seconds = F.date_part(F.lit("SECOND"), column).cast("double")
-        value = day * 86400.0 + F.hour(column) * 3600.0 + F.minute(column) * 60.0 + seconds
-        if isinstance(kind, T.TimestampType):
-            value = F.unix_micros(column).cast("double")
-    elif isinstance(kind, T.DateType):
-        value = F.datediff(column, F.lit("1970-01-01").cast("date")).cast("double")
-    elif isinstance(kind, T.NumericType):
-        value = column.cast("double")
-    elif isinstance(kind, T.StringType):
-        # The first six bytes as one number; strings sort by their bytes.
-        head = F.hex(F.substring(F.encode(column, "UTF-8"), 1, 6))
-        value = F.conv(F.rpad(head, 12, "0"), 16, 10).cast("double")
-    else:
-        raise TypeError(f"the first order column must be numeric, text, date or timestamp, not {kind}")
-    return -value if item.startswith("-") else value
-
-
-def _piece(low: str, high: str, pieces: str) -> Column:
-    """Number of the equal-width piece of a span that holds the position."""
-    width = (F.col(high) - F.col(low)) / F.col(pieces)
-    piece = F.floor(F.try_divide(F.col("__pos") - F.col(low), width))
-    return F.coalesce(F.least(piece, F.col(pieces).cast("long") - 1), F.lit(0).cast("long"))
-
-
 class Ordered:
     """Collects ordered expressions over one ``(keys, order)`` and builds them in one pass."""
 
@@ -83,22 +48,20 @@ class Ordered:
         keys: Sequence[str],
         order: Sequence[str],
         *,
-        max_share: float | None = None,
-        min_rows: int | None = None,
-        oversplit: int = OVERSPLIT,
+        rows_per_task: int | None = None,
+        bounded: bool = False,
         measure: DataFrame | None = None,
     ):
-        """``measure`` may name a cheaper frame to find hot groups in.
+        """``measure`` may name a cheaper frame to count groups in.
 
-        It needs the keys and the first order column, at least as many rows per
-        group and the same range, such as the rows that ``df`` was grouped from.
+        It needs the keys and at least as many rows per group, such as the rows
+        that ``df`` was grouped from. ``bounded`` states that no group exceeds
+        the limit.
         """
         self.measure = measure
         self.df, self.keys, self.order = df, list(keys), list(order)
-        self.max_share = MAX_SHARE if max_share is None else max_share
-        self.min_rows = MIN_ROWS if min_rows is None else min_rows
-        self.oversplit = oversplit
-        self._known: tuple[DataFrame | None, list[DataFrame]] | None = None
+        self.rows_per_task = ROWS_PER_TASK if rows_per_task is None else rows_per_task
+        self._known: tuple[DataFrame, int] | None | bool = None if bounded else False
         self._numbers: list[str] = []
         self._sizes: list[str] = []
         self._shifts: list[tuple[str, str, int, object]] = []
@@ -108,11 +71,9 @@ class Ordered:
     def again(self, df: DataFrame) -> Ordered:
         """The same keys and order over the same rows with more columns, after :meth:`build`.
 
-        The hot groups are known by then and are not counted again.
+        The large groups are known by then and are not counted again.
         """
-        other = Ordered(
-            df, self.keys, self.order, max_share=self.max_share, min_rows=self.min_rows, oversplit=self.oversplit
-        )
+        other = Ordered(df, self.keys, self.order, rows_per_task=self.rows_per_task)
         other._known = self._known
         return other
 
@@ -146,95 +107,29 @@ class Ordered:
         self._running.append((out, self._value(column), "max"))
         return self
 
-    # -- hot groups ---------------------------------------------------------
-
-    def _hot(self, rows: DataFrame) -> DataFrame | None:
-        """The hot groups with the span of their order column, or None.
+    # -- large groups -------------------------------------------------------
 
-        Runs one counting pass over the key and order columns. At most
-        ``1 / max_share`` rows reach the driver.
-        """
-        spans = (
-            rows.groupBy(*self.keys)
-            .agg(F.count(F.lit(1)).alias("__n"), F.min("__pos").alias("__lo"), F.max("__pos").alias("__hi"))
-            .where(F.col("__n") > self.min_rows)
-            .orderBy(F.desc("__n"))
-            .limit(math.ceil(1 / self.max_share))
-        )
-        found = spans.collect()
-        if not found:
-            return None
-        share = rows.count() * self.max_share
-        self._limit = max(share, self.min_rows)
-        hot = [(*row, float(math.ceil(row["__n"] / share) * self.oversplit)) for row in found if row["__n"] > share]
-        if not hot:
-            return None
-        schema = T.StructType([*spans.schema.fields, T.StructField("__pieces", T.DoubleType())])
-        return self.df.sparkSession.createDataFrame(hot, schema)
-
-    def _find_split(self) -> tuple[DataFrame | None, list[DataFrame]]:
-        """The hot groups and the segments to cut again, from one pass each."""
+    def _large(self) -> tuple[DataFrame, int] | None:
+        """The keys of the groups above the limit, as a written table, and the number of segments for their rows."""
         source = self.df if self.measure is None else self.measure
-        first = self.order[0].lstrip("-")
-        rows = source.select(*dict.fromkeys([*self.keys, first])).withColumn("__pos", _position(source, self.order[0]))
-        hot = self._hot(rows)
-        if hot is None:
-            return None, []
-        rows, finer = self._segmented(rows, hot), []
-        for _ in range(REFINEMENTS):
-            crowded = self._crowded(rows)
-            if crowded is None:
-                break
-            finer.append(crowded)
-            rows = self._refined(rows, crowded)
-        return hot, finer
-
-    def _segmented(self, rows: DataFrame, hot: DataFrame) -> DataFrame:
-        """Adds the segment number; it never decreases along the order."""
+        counts = source.groupBy(*self.keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > self.rows_per_task)
         if self.keys:
-            rows = _left_join_small(rows, hot, self.keys)
-        else:
-            whole = hot.first()
-            rows = rows.withColumns({name: F.lit(whole[name]) for name in hot.columns})
-        unplaced = F.lit(BASE - 1 if self.order[0].startswith("-") else -1).cast("long")
-        segment = (
-            F.when(F.col("__pieces").isNull(), F.lit(0).cast("long"))
-            .when(F.col("__pos").isNull(), unplaced)
-            .otherwise(_piece("__lo", "__hi", "__pieces"))
-        )
-        return rows.withColumn("__seg", segment).drop("__lo", "__hi", "__n")
-
-    def _refined(self, rows: DataFrame, crowded: DataFrame) -> DataFrame:
-        rows = _left_join_small(rows, crowded, [*self.keys, "__seg"])
-        finer = F.when(F.col("__part").isNull() | F.col("__pos").isNull(), 0).otherwise(_piece("__from", "__to", "__part"))
-        return rows.withColumn("__seg", F.col("__seg") * BASE + finer).drop("__from", "__to", "__part")
-
-    def _crowded(self, rows: DataFrame) -> DataFrame | None:
-        """Segments that still exceed the share, because values bunch inside the span.
-
-        At most ``1 / max_share`` segments reach the driver.
-        """
-        place = [*self.keys, "__seg"]
-        spans = (
-            rows.where(F.col("__pieces").isNotNull() & F.col("__pos").isNotNull())
-            .groupBy(*place)
-            .agg(F.count(F.lit(1)).alias("__rows"), F.min("__pos").alias("__from"), F.max("__pos").alias("__to"))
-            .where((F.col("__rows") > self._limit) & (F.col("__to") > F.col("__from")))
-            .orderBy(F.desc("__rows"))
-            .limit(math.ceil(1 / self.max_share))
-            .select(*place, "__from", "__to", "__rows")
-        )
-        found = spans.collect()
-        if not found:
+            counts = written(counts, "large-groups")
+        total = counts.agg(F.sum("__n")).first()[0]
+        if not total:
             return None
-        parts = [(*row[:-1], float(math.ceil(row[-1] / self._limit) * self.oversplit)) for row in found]
-        schema = T.StructType([*spans.schema.fields[:-1], T.StructField("__part", T.DoubleType())])
-        return self.df.sparkSession.createDataFrame(parts, schema)
+        return counts.select(*self.keys), math.ceil(total / self.rows_per_task) + 1
+
+    def _segments(self, rows: DataFrame, parts: int) -> DataFrame:
+        """``rows`` with the number of the range they fall into, written once."""
+        along = [F.col(k).asc_nulls_first() for k in self.keys] + sort_columns(self.order)
+        dealt = rows.repartitionByRange(parts, *along)
+        return written(dealt.withColumn("__seg", F.spark_partition_id()), "segments")
 
     def _summary(self, rows: DataFrame, depth: int, ahead: int) -> DataFrame:
-        """One row per segment of a hot group with everything that crosses its border."""
+        """One row per segment with everything that crosses its border."""
         place = [*self.keys, "__seg"]
-        hot = rows.where(F.col("__pieces").isNotNull())
+        hot = rows
         aggregates = [F.count(F.lit(1)).alias("__rows")]
         for i, (_, value, kind) in enumerate(self._running):
             aggregates.append(getattr(F, kind)(value).alias(f"__r{i}"))
@@ -254,7 +149,7 @@ class Ordered:
                         ).alias(side)
                     )
                 )
-                summary = _left_join_small(summary, ends, place, hint=False)
+                summary = _left_join(summary, ends, place)
         along = Window.partitionBy(*self.keys).orderBy("__seg")
         before = along.rowsBetween(Window.unboundedPreceding, -1)
         columns = {
@@ -276,16 +171,17 @@ class Ordered:
         return summary.withColumns(columns).select(*place, *columns, "__rows")
 
     def build(self) -> DataFrame:
-        rows = self.df.withColumns({"__pos": _position(self.df, self.order[0])} | self._values)
+        rows = self.df.withColumns(self._values) if self._values else self.df
+        if self._known is False:
+            self._known = self._large()
         if self._known is None:
-            self._known = self._find_split()
-        hot, finer = self._known
-        if hot is None:
             return self._build_plain(rows)
-        split = self._segmented(rows, hot)
-        for crowded in finer:
-            split = self._refined(split, crowded)
-        return self._build_split(split)
+        large, parts = self._known
+        if not self.keys:
+            return self._build_split(self._segments(rows, parts))
+        marked = _left_join(rows, large.withColumn("__large", F.lit(True)), self.keys)
+        split = self._build_split(self._segments(marked.where("__large").drop("__large"), parts))
+        return split.unionByName(self._build_plain(marked.where("__large IS NULL").drop("__large")))
 
     def _build_plain(self, rows: DataFrame) -> DataFrame:
         inner = Window.partitionBy(*self.keys).orderBy(*sort_columns(self.order))
@@ -304,7 +200,7 @@ class Ordered:
         depth = max([o for _, _, o, _ in self._shifts if o > 0], default=0)
         ahead = max([-o for _, _, o, _ in self._shifts if o < 0], default=0)
         place = [*self.keys, "__seg"]
-        carried = _left_join_small(rows, self._summary(rows, depth, ahead), place)
+        carried = _left_join(rows, self._summary(rows, depth, ahead), place)
 
         inner = Window.partitionBy(*place).orderBy(*sort_columns(self.order))
         so_far = inner.rowsBetween(Window.unboundedPreceding, 0)
@@ -342,15 +238,21 @@ class Ordered:
         return out.withColumns(final).select(*self.df.columns, *final)
 
 
-def _left_join_small(rows: DataFrame, small: DataFrame, keys: Sequence[str], *, hint: bool = True) -> DataFrame:
-    """Left join that keeps NULL keys; only for side tables bounded as in the module text."""
-    renamed = small.withColumnsRenamed({k: f"__key_{k}" for k in keys})
+def _left_join(rows: DataFrame, side: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left join that keeps NULL keys."""
+    renamed = side.withColumnsRenamed({k: f"__key_{k}" for k in keys})
     condition = None
     for k in keys:
         test = F.col(k).eqNullSafe(F.col(f"__key_{k}"))
         condition = test if condition is None else condition & test
-    side = F.broadcast(renamed) if hint else renamed
-    return rows.join(side, condition, "left").drop(*[f"__key_{k}" for k in keys])
+    return rows.join(renamed, condition, "left").drop(*[f"__key_{k}" for k in keys])
+
+
+def written(df: DataFrame, purpose: str) -> DataFrame:
+    """``df`` written below the shared folder and read back."""
+    path = shared_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def top_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int = 1) -> DataFrame:

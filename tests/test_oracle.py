@@ -51,8 +51,7 @@ def test_same_rows_as_sql(spark, database, name):
 
 @pytest.mark.parametrize("name", SPLIT)
 def test_same_rows_when_hot_groups_are_split(spark, database, name, monkeypatch):
-    monkeypatch.setattr(ordered, "MIN_ROWS", 3)
-    monkeypatch.setattr(ordered, "MAX_SHARE", 0.02)
+    monkeypatch.setattr(ordered, "ROWS_PER_TASK", 40)
     compare(spark, database, name)
 
 

@@ -22,7 +22,7 @@ def skewed(spark):
 def test_split_equals_plain_window(spark, keys, order):
     df = skewed(spark)
     built = (
-        Ordered(df, keys, order, max_share=0.02, min_rows=10)
+        Ordered(df, keys, order, rows_per_task=60)
         .row_number("rn")
         .size("n")
         .lag("l1", "v")
@@ -50,23 +50,33 @@ def test_split_equals_plain_window(spark, keys, order):
     assert sorted(built.collect(), key=lambda r: r["id"]) == sorted(plain.collect(), key=lambda r: r["id"])
 
 
-def test_no_task_gets_the_hot_group(spark):
-    """The outlier squeezes all other rows into one piece; refinement still cuts them apart."""
-    df = spark.range(20_000).select(F.lit(1).alias("k"), F.when(F.col("id") == 0, 1e15).otherwise(F.col("id") * 1.0).alias("x"))
-    ordered = Ordered(df, ["k"], ["x"], max_share=0.05, min_rows=10).row_number("rn")
-    ordered.build()
-    hot, finer = ordered._known
-    rows = ordered._segmented(df.withColumn("__pos", F.col("x")), hot)
-    assert rows.groupBy("__seg").count().agg(F.max("count")).first()[0] == 19_999
-    for crowded in finer:
-        rows = ordered._refined(rows, crowded)
-    assert rows.groupBy("__seg").count().agg(F.max("count")).first()[0] <= 1000
+@pytest.mark.parametrize(
+    "columns, order",
+    [
+        ({"x": "concat('Customer#', lpad(id, 12, '0'))"}, ["x"]),  # a long common prefix
+        ({"x": "exp(id / 100.0)"}, ["x"]),  # even on a logarithmic scale
+        ({"x": "id % 3"}, ["x", "-id"]),  # three values lead the order
+        ({"x": "if(id = 0, 1e15D, cast(id as double))"}, ["x"]),  # one far value
+        ({"x": "if(id % 2 = 0, double('NaN'), if(id % 5 = 0, null, id))"}, ["x", "id"]),
+        ({"x": "date_add(date'2020-01-01', cast(id % 7 as int))"}, ["-x", "id"]),
+    ],
+)
+@pytest.mark.parametrize("keys", [["k"], []])
+def test_no_task_gets_a_large_group(spark, columns, order, keys):
+    df = spark.range(20_000).selectExpr("id", "1 AS k", *[f"{text} AS {name}" for name, text in columns.items()])
+    ordered = Ordered(df.repartition(8), keys, order, rows_per_task=1000).row_number("rn")
+    _, parts = ordered._large()
+    largest = ordered._segments(df, parts).groupBy("__seg").count().agg(F.max("count")).first()[0]
+    assert largest <= 2500
+    want = [r["id"] for r in df.orderBy(*sort_columns(order)).collect()]
+    assert [r["id"] for r in sorted(ordered.build().collect(), key=lambda r: r["rn"])] == want
+
 
 
 def test_hot_groups_may_be_measured_on_the_rows_before_grouping(spark):
     rows = spark.range(5000).select((F.col("id") % 700 * 1.0).alias("x"))
     counts = rows.groupBy("x").agg(F.count(F.lit(1)).alias("n"))
-    built = Ordered(counts, [], ["x"], max_share=0.05, min_rows=10, measure=rows).running_sum("upto", "n").size("values").build()
+    built = Ordered(counts, [], ["x"], rows_per_task=10, measure=rows).running_sum("upto", "n").size("values").build()
     last = built.orderBy(F.desc("x")).first()
     assert (last["upto"], last["values"]) == (5000, 700)
 
@@ -78,7 +88,7 @@ def test_no_hot_group_is_a_plain_window(spark):
 
 def test_text_order_is_split_by_its_first_bytes(spark):
     df = spark.range(500).select(F.concat(F.lit("n"), F.lpad(F.col("id").cast("string"), 4, "0")).alias("name"), "id")
-    built = Ordered(df, [], ["name"], max_share=0.05, min_rows=5).row_number("rn").build()
+    built = Ordered(df, [], ["name"], rows_per_task=5).row_number("rn").build()
     assert all(r["rn"] == r["id"] + 1 for r in built.collect())
 
 
