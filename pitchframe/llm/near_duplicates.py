@@ -13,7 +13,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pitchframe.llm.common import map_arrow, save, texts
@@ -22,6 +22,7 @@ from pitchframe.llm.words import Words, mix
 
 ROWS, BANDS = 5, 25
 LEADER_ROUNDS = 2
+SKETCH = 16  # 64-bit numbers
 _STEP = np.random.Generator(np.random.PCG64(77)).integers(1, 2**63, 256, dtype=np.uint64)
 
 
@@ -71,18 +72,29 @@ def band_hashes(signatures: np.ndarray, rows: int, bands: int) -> np.ndarray:
     return mix((mix(bits) * (_STEP[:rows] | np.uint64(1))).sum(axis=2, dtype=np.uint64) + _STEP[100 : 100 + bands]).view(np.int64)
 
 
+def odd_sketch(members: np.ndarray) -> list[int]:
+    """The parity of the number of members in each of ``64 * SKETCH`` cells, as 64-bit numbers.
+
+    Two sketches differ in at most as many bits as the sets have elements that
+    the other lacks: a bound that needs no look at the sets.
+    """
+    odd = np.bincount((members >> np.uint64(11)).astype(np.int64) % (64 * SKETCH), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+
+
 def signed_documents(docs: DataFrame, width: int, rows: int = ROWS, bands: int = BANDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_shingles, digest, bands``; ``digest`` names the shingle set, null for an empty one."""
+    """``doc_id, n_shingles, digest, bands, sketch``; ``digest`` names the shingle set, null for an empty one."""
 
     def sign(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = shingle_sets(batch.column("text"), width)
         hashes = band_hashes(super_minhash(sets, rows * bands), rows, bands)
         digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
         kept = [h if len(s) else None for h, s in zip(hashes, sets, strict=True)]
-        columns = [batch.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(kept, pa.list_(pa.int64()))]
-        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "digest", "bands"])
+        sketches = [odd_sketch(s) for s in sets]
+        columns = [batch.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(kept, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "digest", "bands", "sketch"])
 
-    return map_arrow(texts(docs, id_col, text_col), sign, "doc_id long, n_shingles long, digest binary, bands array<long>")
+    return map_arrow(texts(docs, id_col, text_col), sign, "doc_id long, n_shingles long, digest binary, bands array<long>, sketch array<long>")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
@@ -118,8 +130,10 @@ def near_duplicates(
     Equal sets are one class from the start, so copies never pair up. Within a
     bucket of a band the classes are compared with one leader, drawn anew per
     bucket, twice; buckets that then still span several components compare all
-    pairs across components, so no link of a bucket is lost. Similarity is always
-    confirmed on the full sets.
+    pairs across components, so no link of a bucket is lost. Of these pairs an
+    odd sketch, which bounds from below how much two sets differ, leaves only
+    those that can reach the threshold; they are met in the join and not written
+    out. Similarity is always confirmed on the full sets.
 
     Defined cases: a null or blank text has no shingles and stays alone; a text
     of fewer words is one shingle; a null id links with nothing (null component,
@@ -130,7 +144,7 @@ def near_duplicates(
     signed = save(signed_documents(docs, width, rows, bands, id_col, text_col), "signed")
     full = signed.where(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
     classes = save(
-        full.groupBy("digest").agg(F.min(F.struct("doc_id", "n_shingles", "bands")).alias("first")).select("digest", F.col("first.doc_id").alias("node"), "first.n_shingles", "first.bands"),
+        full.groupBy("digest").agg(F.min(F.struct("doc_id", "n_shingles", "bands", "sketch")).alias("first")).select("digest", F.col("first.doc_id").alias("node"), "first.n_shingles", "first.bands", "first.sketch"),
         "classes",
     )
     entries = classes.select("node", "n_shingles", F.explode("bands").alias("bucket"))
@@ -140,8 +154,8 @@ def near_duplicates(
     sets = save(_sets(docs, wanted, width, id_col, text_col), "sets")
     fits = share[1] * F.least("n_shingles", "other_n") >= share[0] * F.greatest("n_shingles", "other_n")
 
-    def proposed(placed: DataFrame, others: DataFrame) -> DataFrame:
-        pairs = placed.join(others, "bucket").where((F.col("node") != F.col("other")) & (F.col("component") != F.col("other_component")) & fits)
+    def proposed(placed: DataFrame, others: DataFrame, possible: Column | bool = True) -> DataFrame:
+        pairs = placed.join(others, "bucket").where((F.col("node") != F.col("other")) & (F.col("component") != F.col("other_component")) & fits & possible)
         return pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
     placed = entries.withColumn("component", F.col("node"))
@@ -155,9 +169,15 @@ def near_duplicates(
         if turn < LEADER_ROUNDS:
             leader = F.min(F.struct(F.xxhash64("node", "bucket", F.lit(turn)).alias("draw"), "node", "n_shingles", "component")).alias("l")
             others = placed.groupBy("bucket").agg(leader).select("bucket", F.col("l.node").alias("other"), F.col("l.n_shingles").alias("other_n"), F.col("l.component").alias("other_component"))
+            pairs = proposed(placed, others)
         else:
-            others = placed.select("bucket", F.col("node").alias("other"), F.col("n_shingles").alias("other_n"), F.col("component").alias("other_component"))
-        pairs = proposed(placed, others)
+            # All pairs across the components that a bucket still holds, as far as the sketches leave them possible.
+            bits = [f"bits_{i}" for i in range(SKETCH)]
+            sketches = classes.select("node", *[F.col("sketch")[i].alias(b) for i, b in enumerate(bits)])
+            marked = placed.join(sketches, "node")
+            others = marked.select("bucket", F.col("node").alias("other"), F.col("n_shingles").alias("other_n"), F.col("component").alias("other_component"), *[F.col(b).alias(f"other_{b}") for b in bits])
+            apart = F.expr(" + ".join(f"bit_count({b} ^ other_{b})" for b in bits))
+            pairs = proposed(marked, others, (share[0] + share[1]) * apart <= (share[1] - share[0]) * (F.col("n_shingles") + F.col("other_n")))
         pairs = save(pairs.join(tested, ["a", "b"], "left_anti") if tested is not None else pairs, "pairs")
         tested = pairs if tested is None else tested.union(pairs)
         new = save(_confirmed(pairs, sets, share), "links")
