@@ -85,3 +85,12 @@ class Words:
             own = words[self.first[i] : self.first[i + 1]]
             out[first[i]] = mix((own * _PLACE[: len(own)]).sum(dtype=np.uint64, keepdims=True) + _PLACE[32 + len(own)])[0]
         return out, first
+
+    def shingle_letters(self, width: int) -> np.ndarray:
+        """The bytes of the words of each shingle, in the order of :meth:`shingles`, which must all have ``width`` words or stand alone."""
+        counts = np.diff(self.first)
+        n = np.where(counts >= width, counts - width + 1, (counts > 0).astype(np.int64))
+        first = np.concatenate([[0], np.cumsum(n)])
+        where = np.arange(first[-1]) + np.repeat(self.first[:-1] - first[:-1], n)
+        running = np.concatenate([[0], np.cumsum(self.ends - self.starts)])
+        return running[np.minimum(where + width, np.repeat(self.first[1:], n))] - running[where]
