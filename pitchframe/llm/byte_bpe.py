@@ -12,6 +12,7 @@ again, so the walk is linear and gives the ids of the merges exactly.
 from __future__ import annotations
 
 import base64
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pitchframe.llm.common import map_arrow, texts
 from pitchframe.llm.vocabularies import Memo, encoder, id_bytes
 
-PAIRS = 500_000
+PAIRS = 250_000
 
 
 class ByteBpe:
@@ -37,21 +38,22 @@ class ByteBpe:
         order = sorted(ranks, key=ranks.get)
         self.tokens = dict(zip(map(ranks.get, order), order, strict=True))
         self.rank = ranks
+        self.lengths = {rank: len(token) for token, rank in ranks.items()}
         self.find = regex.compile(pattern).findall
         self.double_blank = regex.compile(r" \s").search
         self.automaton = ahocorasick.Automaton()
         for token in order:
-            self.automaton.add_word(token.decode("latin-1"), len(token))
+            self.automaton.add_word(token.decode("latin-1"), (len(token) - 1, ranks[token]))
         self.automaton.make_automaton()
         self.halves: dict[int, tuple[int, int]] = {}
         self.merged: dict[tuple[int, int], int] = {}
-        self.compatible = Memo(self._compatible, PAIRS)
         self.shorter = {ranks[t]: next((ranks[t[:n]] for n in range(len(t) - 1, 0, -1) if t[:n] in ranks), None) for t in order}
         for token in order:
             self._learn(token)
-        self.compatible = Memo(self._compatible, PAIRS)  # answers given while merges were missing are void
+        self.compatible = Memo(lambda pair: self._compatible(divmod(pair, len(ranks))), PAIRS)
+        self.ranks = len(ranks)
         self.matches = Memo(lambda match: id_bytes(self.encode_match(match.encode())), 100_000)
-        self.parts = Memo(lambda part: b"".join(map(self.matches.__getitem__, self.find(" " + part))))
+        self.parts = Memo(self._part)
 
     def _learn(self, token: bytes) -> None:
         """Find the two tokens whose merge makes ``token``."""
@@ -92,30 +94,35 @@ class ByteBpe:
                     return True
                 left = inner
 
+    def _part(self, part: str) -> bytes:
+        if part.isascii() and part.isalpha():  # one match, whatever follows
+            return self.matches[" " + part]
+        return b"".join(map(self.matches.__getitem__, self.find(" " + part)))
+
     def encode_match(self, raw: bytes) -> list[int]:
-        if raw in self.rank and self.halves[self.rank[raw]] != (self.rank[raw],) * 2:
-            return [self.rank[raw]]
-        size = len(raw)
-        longest = [0] * size
-        for last, length in self.automaton.iter(raw.decode("latin-1")):
-            if length > longest[last - length + 1]:
-                longest[last - length + 1] = length
+        whole = self.rank.get(raw)
+        if whole is not None and (len(raw) == 1 or self.halves[whole][0] != whole):
+            return [whole]
+        size, ranks, lengths, compatible, shorter = len(raw), self.ranks, self.lengths, self.compatible, self.shorter
+        # Matches come in order of their ends: the last one that starts at a place is the longest.
+        longest = [0] * (size + 1)
+        for last, (back, token) in self.automaton.iter(raw.decode("latin-1")):
+            longest[last - back] = token
         open_at = bytearray(b"\x01") * (size + 1)
         ids: list[int] = []
-        at, token = 0, self.rank[raw[: longest[0]]] if size else None
+        at, token = 0, longest[0]
         while at < size:
-            end = at + len(self.tokens[token])
-            if open_at[end] and (not ids or self.compatible[ids[-1], token]):
+            end = at + lengths[token]
+            if open_at[end] and (not ids or compatible[ids[-1] * ranks + token]):
                 ids.append(token)
-                at = end
-                token = self.rank[raw[at : at + longest[at]]] if at < size else None
+                at, token = end, longest[end]
                 continue
-            token = self.shorter[token]
+            token = shorter[token]
             while token is None:
                 open_at[at] = 0
                 last = ids.pop()
-                at -= len(self.tokens[last])
-                token = self.shorter[last]
+                at -= lengths[last]
+                token = shorter[last]
         return ids
 
     def __call__(self, text: str) -> bytes:
@@ -126,8 +133,12 @@ class ByteBpe:
         first = b"".join(map(self.matches.__getitem__, self.find(parts[0])))
         return first + b"".join(map(self.parts.__getitem__, parts[1:]))
 
-    def decode(self, ids) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
+
+@lru_cache(maxsize=2)
+def token_table(path: str) -> dict[int, bytes]:
+    """The bytes of each rank: all that decoding needs."""
+    with open(path, "rb") as file:
+        return {int(rank): base64.b64decode(token) for token, rank in map(bytes.split, file.read().splitlines())}
 
 
 def encode_documents(docs: DataFrame, ranks: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -153,9 +164,9 @@ def decode_documents(encoded: DataFrame, ranks: str) -> DataFrame:
     """``encoded`` with the column ``decoded``: the bytes that the array ``ids`` stands for (null ids: null)."""
 
     def decode(batch: pa.RecordBatch) -> pa.RecordBatch:
-        coder = encoder(ranks)
-        lists = batch.column("ids").to_pylist()
-        decoded = pa.array([None if ids is None else coder.decode(ids) for ids in lists], pa.binary())
+        tokens = token_table(ranks)
+        lists = batch.column("ids")
+        decoded = pa.array([b"".join(map(tokens.__getitem__, ids.values.to_pylist())) if ids.is_valid else None for ids in lists], pa.binary())
         return pa.RecordBatch.from_arrays([*batch.columns, decoded], names=[*batch.schema.names, "decoded"])
 
     fields = ", ".join(f"`{name}` {kind}" for name, kind in encoded.dtypes)

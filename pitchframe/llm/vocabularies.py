@@ -31,7 +31,7 @@ class Memo(dict):
         value = self.older.get(part)
         if value is None:
             value = self.compute(part)
-            if len(part) > MEMO_LENGTH:
+            if isinstance(part, str) and len(part) > MEMO_LENGTH:
                 return value
         if len(self) >= self.parts:
             self.older = dict(self)
