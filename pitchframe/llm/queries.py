@@ -39,9 +39,8 @@ def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 def toxic_lexicon(spark: SparkSession, documents: DataFrame, folder: str) -> toxicity.Lexicon:
     """Learned from the labelled documents that are not held out."""
-    labels = table(spark, folder, "labels").where(~toxicity.held_out(F.col("doc_id"), 3, 1)).select("doc_id", "toxic")
-    texts = documents.where(~toxicity.held_out(F.col("doc_id"), 3, 1)).select("doc_id", "text")
-    return toxicity.learn(texts.join(labels, "doc_id"))
+    labels = table(spark, folder, "labels").where(~toxicity.held_out(F.col("doc_id"), 3, 1))
+    return toxicity.learn(toxicity.labelled_sample(documents, labels))
 
 
 @register

@@ -145,6 +145,22 @@ def _phrases(rows: DataFrame, terms: list[str]) -> DataFrame:
     return map_arrow(rows, around, "gram string, toxic int")
 
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", size: int = SAMPLE_ROWS) -> DataFrame:
+    """``text`` and label of about ``size`` labelled documents, those with the least hash of their key; all of them, if there are fewer.
+
+    The labels are drawn before they meet the texts, so the side that is
+    broadcast has no more than the sample's rows (a key and a label each) and no
+    text is shuffled. Rows without key or label take no part; a key that is
+    labelled more than once has its largest label.
+    """
+    known = labels.select(F.col(id_col).alias("__key"), F.col(label_col).cast("int").alias(label_col)).dropna()
+    known = known.groupBy("__key").agg(F.max(label_col).alias(label_col))
+    share = size / max(known.count(), 1)
+    if share < 1:
+        known = known.where((F.xxhash64("__key") / 2.0**63 + 1) / 2 < share)
+    return docs.select(F.col(id_col).alias("__key"), text_col).join(F.broadcast(known), "__key").drop("__key")
+
+
 def learn(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic") -> Lexicon:
     """A lexicon from rows with a text and a 0/1 label.
 

@@ -103,6 +103,16 @@ def test_toxicity_of_held_out_documents(spark):
     assert not [r for r in rows if r["predicted"] and not labels[r["doc_id"]]]
 
 
+def test_labels_are_drawn_before_the_texts(spark, odd, nothing):
+    labels = spark.createDataFrame([(1, 1), (5, 0), (5, 1), (6, 0), (99, 1), (None, 1), (7, None)], "doc_id long, toxic int")
+    found = [(r["text"], r["toxic"]) for r in toxicity.labelled_sample(odd, labels).collect()]
+    text = {r["doc_id"]: r["text"] for r in odd.collect()}
+    assert sorted(found) == sorted([(text[1], 1), (text[5], 1), (text[5], 1), (text[6], 0)])
+    assert toxicity.labelled_sample(nothing, labels).count() == toxicity.labelled_sample(odd, labels.limit(0)).count() == 0
+    many = spark.range(5000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("toxic"), F.lit("a b").alias("text"))
+    assert 400 < toxicity.labelled_sample(many, many, size=500).count() < 600
+
+
 def test_odd_toxicity(spark, odd, nothing):
     lexicon = toxicity.Lexicon({"dor": 2.0}, [])
     assert toxicity.scores(odd, lexicon).count() == odd.count() and toxicity.scores(nothing, lexicon).count() == 0
