@@ -8,11 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitchframe.llm import byte_bpe, fingerprints, languages, near_duplicates, neighbours, packing, personal_data, repeated_passages, token_counts, toxicity
+from pitchframe.llm import byte_bpe, fingerprints, languages, near_duplicates, neighbours, packing, personal_data, quality, repeated_passages, resampling, sql, token_counts, toxicity, vector_codes
 from pitchframe.session import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op11_vector_codes": sql.VECTOR_CODES,
+    "op12_quality_rules": sql.QUALITY_RULES,
+    "op13_importance_resampling": sql.IMPORTANCE_RESAMPLING,
+}
 
 
 def register(function):
@@ -95,3 +99,19 @@ def op10_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@register
+def op11_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_codes.vector_codes(table(spark, folder, "embeddings"), 16, 64, 2)
+
+
+@register
+def op12_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    found = quality.quality(table(spark, folder, "documents"))
+    return found.withColumns({name: F.round(name, 9) for name in ("class_distance", "word_distance")})
+
+
+@register
+def op13_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    return resampling.resampled(table(spark, folder, "documents"), table(spark, folder, "benchmark"), (1, 1), 10_000, 10, 20, 2024)
