@@ -44,7 +44,7 @@ def compare(spark, database, name):
     assert [[type(v) for v in r] for r in got] == [[type(v) for v in r] for r in want]
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(suite.SQL))
 def test_same_rows_as_sql(spark, database, name):
     compare(spark, database, name)
 
