@@ -11,16 +11,34 @@ from pyspark.sql import types as T
 from pitchframe.functions.text import last_token, strip_tail, team_code
 from pitchframe.operators.ordered import top_rows
 from pitchframe.schemas import OFFER_SCHEMA, VENUE_SCHEMA
+from pitchframe.sources.checked import PROBLEM, Checked, checked
 
 EMBEDDED_ARRAY = r"data = (.*);"
 LINEUP_BOX = r'<div[^>]*class="(?:[^"]*\s)?lineup__box(?:\s[^"]*)?"'
 LINEUP_PLAYER = r'(?s)<li[^>]*class="(?:[^"]*\s)?lineup__player(?:\s[^"]*)?"[^>]*>.*?<a[^>]*href="([^"]+)"'
 
 
+def embedded(pages: DataFrame, text: str, schema: str, pattern: str = EMBEDDED_ARRAY, keep: Sequence[str] = ()) -> Checked:
+    """Items of a JSON array that a page assigns to a script variable, in the columns of ``schema``.
+
+    A page without the array, or whose array is not JSON, has one problem; so
+    has an item with a value that does not fit. An empty array has no rows.
+    """
+    fields = T.StructType.fromDDL(schema)
+    raw = F.regexp_extract(text, pattern, 1)
+    texts = T.ArrayType(T.StructType([T.StructField(f.name, T.StringType()) for f in fields]))
+    pages = pages.select(*keep, raw.alias("_raw")).withColumn("_items", F.from_json("_raw", texts))
+    why = F.when(F.col("_raw") == "", "no array").when(F.json_array_length("_raw").isNull(), "not a JSON array")
+    broken = F.when(why.isNotNull(), F.array(F.struct(F.lit("page").alias("column"), F.col("_raw").alias("value"), why.alias("reason"))))
+    pages = pages.withColumn("_broken", F.coalesce(broken, F.array().cast(PROBLEM)))
+    items = F.when(F.size("_broken") > 0, F.array(F.lit(None).cast(texts.elementType))).otherwise(F.col("_items"))
+    rows = pages.select(*keep, "_broken", F.explode(items).alias("_item")).select(*keep, "_broken", "_item.*")
+    return checked(rows, fields, keep=keep, already="_broken")
+
+
 def embedded_rows(pages: DataFrame, text: str, schema: str, pattern: str = EMBEDDED_ARRAY, keep: Sequence[str] = ()) -> DataFrame:
-    """Rows of a JSON array that a page assigns to a script variable; ``schema`` picks the columns."""
-    array = F.from_json(F.regexp_extract(text, pattern, 1), T.ArrayType(T.StructType.fromDDL(schema)))
-    return pages.select(*keep, F.inline(array))
+    """The items of :func:`embedded` without problems."""
+    return embedded(pages, text, schema, pattern, keep).rows()
 
 
 def venues(responses: DataFrame, body: str, game: str = "game_pk") -> DataFrame:
@@ -74,8 +92,19 @@ def lineups(pages: DataFrame, html: str, keep: Sequence[str], skip_last: int = 0
     )
 
 
-def offers(responses: DataFrame, body: str, category: str) -> DataFrame:
-    """Odds responses as rows (away, home, period, market, side, line, odds).
+def unread_responses(responses: DataFrame, body: str, keep: Sequence[str] = ()) -> DataFrame:
+    """The reject side of :func:`offers`: responses that are no JSON or hold no event group, with the reason."""
+    parsed = responses.withColumn("_j", F.from_json(body, OFFER_SCHEMA))
+    why = F.when(F.json_object_keys(body).isNull(), "not a JSON object").when(F.col("_j.eventGroup.events").isNull(), "no events")
+    return parsed.select(*keep, F.col(body).alias("value"), why.alias("reason")).where(F.col("reason").isNotNull())
+
+
+def offers(responses: DataFrame, body: str, category: str, keep: Sequence[str] = ()) -> DataFrame:
+    """Odds responses as rows (keep, event, start, away, home, period, market, side, line, odds).
+
+    ``keep`` names columns that tell one collection of responses from another,
+    such as the time they were fetched; quotations of different collections,
+    events or start times stay apart.
 
     Only games that have not started count, and of several events with the same
     teams the first. Offers without a label and second-half markets are left
@@ -83,7 +112,7 @@ def offers(responses: DataFrame, body: str, category: str) -> DataFrame:
     quotations the last one stays.
     """
     numbered = responses.select(
-        F.col(category).alias("period"), F.from_json(body, OFFER_SCHEMA).alias("_j"), F.xxhash64(body).alias("_response")
+        *keep, F.col(category).alias("period"), F.from_json(body, OFFER_SCHEMA).alias("_j"), F.xxhash64(*keep, category, body).alias("_response")
     )
     events = (
         numbered.select("_response", F.posexplode("_j.eventGroup.events").alias("_at", "e"))
@@ -91,24 +120,26 @@ def offers(responses: DataFrame, body: str, category: str) -> DataFrame:
         .select(
             "_response",
             "_at",
-            F.col("e.providerEventId").alias("_event"),
+            F.col("e.providerEventId").alias("event"),
+            F.col("e.startDate").alias("start"),
             F.col("e.teamName1").alias("away_name"),
             F.col("e.teamName2").alias("home_name"),
         )
     )
     events = top_rows(events, ["_response", "away_name", "home_name"], ["_at"], 1).select(
-        "_response", "_event", team_code("away_name").alias("away"), team_code("home_name").alias("home")
+        "_response", "event", "start", team_code("away_name").alias("away"), team_code("home_name").alias("home")
     )
     quotes = (
-        numbered.select("_response", "period", F.posexplode("_j.eventGroup.offerCategories").alias("_a", "_x"))
-        .select("_response", "period", "_a", F.posexplode("_x.offerSubcategoryDescriptors").alias("_b", "_x"))
-        .select("_response", "period", "_a", "_b", F.posexplode("_x.offerSubcategory.offers").alias("_c", "_x"))
-        .select("_response", "period", "_a", "_b", "_c", F.posexplode("_x").alias("_d", "_o"))
+        numbered.select("_response", *keep, "period", F.posexplode("_j.eventGroup.offerCategories").alias("_a", "_x"))
+        .select("_response", *keep, "period", "_a", F.posexplode("_x.offerSubcategoryDescriptors").alias("_b", "_x"))
+        .select("_response", *keep, "period", "_a", "_b", F.posexplode("_x.offerSubcategory.offers").alias("_c", "_x"))
+        .select("_response", *keep, "period", "_a", "_b", "_c", F.posexplode("_x").alias("_d", "_o"))
         .where(F.col("_o.label").isNotNull() & ~F.contains(F.col("_o.label"), F.lit("2nd Half")))
         .select(
             "_response",
+            *keep,
             "period",
-            F.col("_o.providerEventId").alias("_event"),
+            F.col("_o.providerEventId").alias("event"),
             F.col("_o.label").alias("_label"),
             "_a",
             "_b",
@@ -131,7 +162,7 @@ def offers(responses: DataFrame, body: str, category: str) -> DataFrame:
         F.col("market") == "team total", team_code(F.trim(F.regexp_replace(strip_tail("_label"), r"Team Total.*$", "")))
     )
     rows = (
-        quotes.join(events, ["_response", "_event"])
+        quotes.join(events, ["_response", "event"])
         .withColumn("market", family)
         .withColumns({"team": team, "direction": F.when(~by_team, direction)})
         .where(
@@ -140,6 +171,9 @@ def offers(responses: DataFrame, body: str, category: str) -> DataFrame:
             .when(F.col("market") == "total", F.col("direction").isNotNull())
         )
         .select(
+            *keep,
+            "event",
+            "start",
             "away",
             "home",
             F.when((F.col("market") == "team total") & (F.col("period") == "TT"), "Game").otherwise(F.col("period")).alias("period"),
@@ -150,5 +184,5 @@ def offers(responses: DataFrame, body: str, category: str) -> DataFrame:
             F.struct("_a", "_b", "_c", "_d", "_e").alias("_place"),
         )
     )
-    key = ["away", "home", "period", "market", "side", "line"]
+    key = [*keep, "event", "start", "away", "home", "period", "market", "side", "line"]
     return rows.groupBy(*key).agg(F.max_by("odds", "_place").alias("odds"))

@@ -9,37 +9,33 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pitchframe.schemas import PITCH_SCHEMA, REPEATED_COLUMNS
+from pitchframe.sources.checked import Checked, checked
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def check_pitches(
+    spark: SparkSession, path: str, fmt: str = "parquet", schema: T.StructType = PITCH_SCHEMA, keep: Sequence[str] = ()
+) -> Checked:
+    """Pitch files, Parquet or CSV with a header, in the declared columns; what does not fit is on the reject side."""
+    raw = spark.read.csv(path, header=True) if fmt == "csv" else spark.read.format(fmt).load(path)
+    return checked(raw, schema, REPEATED_COLUMNS, keep)
+
+
 def conform(df: DataFrame, schema: T.StructType = PITCH_SCHEMA, extras: Sequence[str] = REPEATED_COLUMNS) -> DataFrame:
-    """Cast to the declared columns: extras are dropped, absent columns are NULL.
+    """All rows in the declared columns: extras are dropped, absent columns are NULL.
 
     A value that does not fit its type becomes NULL, except that a NULL in a
-    key column fails the job.
+    key column fails the job. To count and keep such values, use :func:`check_pitches`.
     """
-    df = df.drop(*extras)
-    present = set(df.columns)
-    columns = []
-    for field in schema.fields:
-        if field.name in present:
-            value = F.col(f"`{field.name}`").try_cast(field.dataType)
-        else:
-            value = F.lit(None).cast(field.dataType)
-        if not field.nullable:
-            value = F.coalesce(value, F.raise_error(F.lit(f"{field.name} is missing")).cast(field.dataType))
-        columns.append(value.alias(field.name))
-    return df.select(*columns)
+    return checked(df, schema, extras).nulled()
 
 
 def read_pitches(spark: SparkSession, path: str, fmt: str = "parquet", schema: T.StructType = PITCH_SCHEMA) -> DataFrame:
-    """Pitch table from Parquet, or from CSV with a header (read as text, then cast)."""
-    if fmt == "csv":
-        return conform(spark.read.csv(path, header=True), schema)
-    return conform(spark.read.format(fmt).load(path), schema)
+    """Pitch table from Parquet or CSV, as :func:`conform` gives it. Predicates on columns of the declared type prune the scan."""
+    return check_pitches(spark, path, fmt, schema).nulled()
 
 
 def query(spark: SparkSession, text: str, tables: Mapping[str, DataFrame] | None = None, **parameters: object) -> DataFrame:

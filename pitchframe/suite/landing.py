@@ -4,26 +4,76 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from pitchframe.schemas import FLOAT_COLUMNS, PITCH_COLUMNS
 from pitchframe.session import shared_dir
-from pitchframe.sources import payloads, registry, tables
+from pitchframe.sources import checked, payloads, registry, tables
 from pitchframe.sources.tables import read_table
 from pitchframe.suite import register
-from pitchframe.suite.standin import PITCH_SQL, pitches
+from pitchframe.suite.standin import FEED_SQL, PITCH_SQL, SPOILT, feed
+
+
+_GOOD = " AND ".join(f"NOT ({test})" for _, test, _, _ in SPOILT)
+
+
+def _loaded(spark, folder):
+    """The stand-in feed as a CSV export, checked and loaded into a table by year; its folder and what was counted."""
+    export, target = shared_dir(spark, "feed"), shared_dir(spark, "pitches")
+    tables.write_csv(feed(spark, folder), export)
+    source = tables.check_pitches(spark, export, "csv", keep=["row_id"])
+    return target, source, checked.load(source, target, ["game_year"])
+
+
+@register("S1", f"WITH {PITCH_SQL} SELECT {FEED_SQL} FROM pitches WHERE {_GOOD}")
+def typed_pitch_scan(spark, folder):
+    """All declared columns: text from CSV is typed and stored as Parquet, which is read in its own types."""
+    target, source, _ = _loaded(spark, folder)
+    stored = tables.read_pitches(spark, f"{target}/state=accepted")
+    floats = {c: F.col(c).cast("double") for c in FLOAT_COLUMNS}
+    return stored.withColumns(floats | {"game_date": F.col("game_date").cast("timestamp_ntz")}).select(*PITCH_COLUMNS)
 
 
 @register(
     "S1",
-    f"""WITH {PITCH_SQL}
-    SELECT game_pk, at_bat_number, pitch_number, pitch_type, CAST(CAST(release_speed AS FLOAT) AS DOUBLE) AS release_speed, launch_angle,
-      CAST(NULL AS BIGINT) AS umpire FROM pitches""",
+    f"WITH {PITCH_SQL} "
+    + " UNION ALL ".join(
+        f"""SELECT CAST(event_id AS VARCHAR) AS row_id, game_pk, '{name}' AS "column", {'CAST(NULL AS VARCHAR)' if value is None else f"'{value}'"} AS value,
+          '{reason}' AS reason FROM pitches WHERE {test}"""
+        for name, test, value, reason in SPOILT
+    ),
 )
-def typed_pitch_scan(spark, folder):
-    raw = pitches(spark, folder).withColumns({"pitcher.1": F.lit(1), "release_speed": F.col("release_speed").cast("string")})
-    typed = tables.conform(raw)
-    return typed.select(
-        "game_pk", "at_bat_number", "pitch_number", "pitch_type", F.col("release_speed").cast("double").alias("release_speed"),
-        "launch_angle", "umpire",
-    )
+def pitch_rejects(spark, folder):
+    """Every value that does not fit, with its row and the reason, as the load stored it."""
+    target, source, _ = _loaded(spark, folder)
+    stored = spark.read.schema(source.frame.schema).parquet(f"{target}/state=rejected")
+    return stored.select("row_id", "game_pk", F.inline("problems"))
+
+
+@register(
+    "S1",
+    f"""WITH {PITCH_SQL} SELECT * FROM (
+        SELECT 'read' AS counted, count(*) AS n FROM pitches UNION ALL SELECT 'rejected', count(*) FROM pitches WHERE NOT ({_GOOD}) UNION ALL """
+    + " UNION ALL ".join(f"SELECT 'rejected_{name}', count(*) FROM pitches WHERE {test}" for name, test, _, _ in SPOILT)
+    + ") WHERE n > 0",
+)
+def pitch_load_counts(spark, folder):
+    """What one pass of the load counted."""
+    _, _, counts = _loaded(spark, folder)
+    return spark.createDataFrame([(k, n) for k, n in counts.items() if n], "counted string, n long")
+
+
+@register(
+    "S1 P9",
+    f"""WITH {PITCH_SQL} SELECT pitch_type, count(*) AS n FROM pitches
+        WHERE {_GOOD} AND game_date >= TIMESTAMP '2024-01-10' AND game_date < TIMESTAMP '2024-01-13' AND game_pk > 19733 GROUP BY 1""",
+)
+def pitches_of_days(spark, folder):
+    """A stored table read through the declared schema; the date and the game prune its files."""
+    return days_of_pitches(tables.read_pitches(spark, f"{_loaded(spark, folder)[0]}/state=accepted"))
+
+
+def days_of_pitches(stored):
+    days = (F.col("game_date") >= F.lit("2024-01-10").cast("timestamp")) & (F.col("game_date") < F.lit("2024-01-13").cast("timestamp"))
+    return stored.where(days & (F.col("game_pk") > 19733)).groupBy("pitch_type").agg(F.count(F.lit(1)).alias("n"))
 
 
 @register("S3 S13", "SELECT s_suppkey, s_name, s_acctbal FROM supplier")
@@ -76,6 +126,36 @@ def embedded_arrays(spark, folder):
     return rows.withColumnRenamed("r_sprint_speed_top50percent", "speed")
 
 
+@register(
+    "S7",
+    """SELECT event_id, CASE WHEN event_id % 50 = 3 THEN 'rank' ELSE 'page' END AS "column",
+         CASE event_id % 50 WHEN 1 THEN '' WHEN 2 THEN '[{"rank":' ELSE '1.5' END AS value,
+         CASE event_id % 50 WHEN 1 THEN 'no array' WHEN 2 THEN 'not a JSON array' ELSE 'not a bigint' END AS reason
+       FROM events WHERE event_id % 50 IN (1, 2, 3)""",
+)
+def embedded_page_rejects(spark, folder):
+    """Pages without the array, with broken JSON or with a value that does not fit."""
+    at = F.col("event_id") % 50
+    text = F.when(at == 2, F.lit('[{"rank":')).when(at == 3, F.lit('[{"rank":1.5},{"rank":4.0}]')).otherwise(F.lit('[{"rank":1}]'))
+    body = F.when(at == 1, F.lit("<p>nothing</p>")).otherwise(F.concat(F.lit("var data = "), text, F.lit(";")))
+    pages = read_table(spark, folder, "events").select("event_id", body.alias("body"))
+    return payloads.embedded(pages, "body", "rank long", keep=["event_id"]).rejects()
+
+
+@register(
+    "S10",
+    """SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN '{"eventGroup":' ELSE '{"message":"closed"}' END AS value,
+         CASE WHEN o_orderkey % 3 = 0 THEN 'not a JSON object' ELSE 'no events' END AS reason FROM orders WHERE o_orderkey % 3 < 2""",
+)
+def unread_offers(spark, folder):
+    """Odds responses that are cut off or hold no event group."""
+    at = F.col("o_orderkey") % 3
+    good = F.lit('{"eventGroup":{"events":[]}}')
+    body = F.when(at == 0, F.lit('{"eventGroup":')).when(at == 1, F.lit('{"message":"closed"}')).otherwise(good)
+    responses = read_table(spark, folder, "orders").select("o_orderkey", body.alias("body"))
+    return payloads.unread_responses(responses, "body", ["o_orderkey"])
+
+
 @register(
     "S8",
     """SELECT o_orderkey AS game_pk, CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_orderpriority END AS venue_name,
@@ -133,22 +213,22 @@ def order_lineups(spark, folder):
 
 @register(
     "S10 F4 F5",
-    """SELECT 'A' || o_orderkey || CASE WHEN o_orderkey < 10 THEN 'R' ELSE '' END AS away, 'H' || o_orderkey || CASE WHEN o_orderkey < 10 THEN 'B' ELSE '' END AS home, 'Game' AS period, m.market, m.side, m.line,
-         CASE WHEN m.n = 1 THEN 1.9E0 ELSE o_custkey / 100.0E0 END AS odds
-       FROM orders, (VALUES (1, 'total', 'over', 8.5E0), (2, 'total', 'under', 8.5E0)) m(n, market, side, line) WHERE o_orderstatus <> 'F'""",
+    """SELECT f.fetched, CAST(o_orderkey AS VARCHAR) AS event, '2024-04-0' || f.fetched AS start, 'A' || o_orderkey || CASE WHEN o_orderkey < 10 THEN 'R' ELSE '' END AS away, 'H' || o_orderkey || CASE WHEN o_orderkey < 10 THEN 'B' ELSE '' END AS home, 'Game' AS period, m.market, m.side, m.line,
+         CASE WHEN m.n = 1 THEN 1.9E0 ELSE o_custkey / 100.0E0 + f.fetched END AS odds
+       FROM orders, (VALUES (CAST(1 AS INTEGER)), (2)) f(fetched), (VALUES (1, 'total', 'over', 8.5E0), (2, 'total', 'under', 8.5E0)) m(n, market, side, line) WHERE o_orderstatus <> 'F'""",
 )
 def order_offers(spark, folder):
-    """Odds responses made from orders; finished orders have started already."""
+    """Odds responses of two days made from orders; finished orders have started already."""
     key = F.col("o_orderkey").cast("string")
     event = F.struct(
         key.alias("providerEventId"), F.concat(F.lit("A"), key, F.lit(" Reds")).alias("teamName1"),
-        F.concat(F.lit("H"), key, F.lit(" Blues")).alias("teamName2"),
+        F.concat(F.lit("H"), key, F.lit(" Blues")).alias("teamName2"), F.concat(F.lit("2024-04-0"), F.col("fetched")).alias("startDate"),
         F.struct(F.when(F.col("o_orderstatus") == "F", "STARTED").otherwise("NOT_STARTED").alias("state")).alias("eventStatus"),
     )
     outcome = lambda label, odds: F.struct(F.lit(label).alias("label"), F.lit(8.5).alias("line"), odds.alias("oddsDecimal"))
     offer = lambda label: F.struct(
         key.alias("providerEventId"), F.lit(label).alias("label"),
-        F.array(outcome("Over", F.lit(1.9)), outcome("Under", F.col("o_custkey") / 100.0)).alias("outcomes"),
+        F.array(outcome("Over", F.lit(1.9)), outcome("Under", F.col("o_custkey") / 100.0 + F.col("fetched"))).alias("outcomes"),
     )
     offers = F.array(F.array(offer("Total Runs"), offer("2nd Half Total")))
     body = F.to_json(
@@ -159,8 +239,9 @@ def order_offers(spark, folder):
             ).alias("eventGroup")
         )
     )
-    responses = read_table(spark, folder, "orders").select(F.lit("Game").alias("category"), body.alias("body"))
-    return payloads.offers(responses, "body", "category")
+    orders = read_table(spark, folder, "orders").withColumn("fetched", F.explode(F.array(F.lit(1), F.lit(2))))
+    responses = orders.select("fetched", F.lit("Game").alias("category"), body.alias("body"))
+    return payloads.offers(responses, "body", "category", ["fetched"])
 
 
 @register(

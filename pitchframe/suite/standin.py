@@ -6,8 +6,12 @@ arithmetic, so all builders of the pitch domain can be checked on it.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from pitchframe.schemas import FLOAT_COLUMNS, PITCH_COLUMNS, TEXT_COLUMNS
 from pitchframe.sources.tables import read_table
 
 # One text for both engines; only the JSON access and the day number differ.
@@ -80,3 +84,44 @@ def as_pitches(events: DataFrame) -> DataFrame:
       SELECT {_COLUMNS.format(text="STRING", day="datediff(CAST(ts AS DATE), DATE '1970-01-01')")}
       FROM {{events}} LATERAL VIEW explode(array(CAST(get_json_object(props, '$.k') AS BIGINT))) parsed AS k"""
     return events.sparkSession.sql(text, events=events)
+
+
+# The stand-in has some of the feed's columns; the others are filled by rule.
+_HAVE = set(re.findall(r"AS (\w+),?$", _COLUMNS, re.MULTILINE))
+
+
+def _filled(name: str, at: int, text: str) -> str:
+    if name in _HAVE:
+        return name
+    if name in TEXT_COLUMNS:
+        return f"concat('t', CAST(event_id % {at + 2} AS {text}))"
+    return f"(event_id % {at + 5}) / 4.0E0" if name in FLOAT_COLUMNS else f"CAST(event_id % {at + 3} AS BIGINT)"
+
+
+def _plain(name: str, at: int) -> str:
+    value = _filled(name, at, "VARCHAR")
+    return f"CAST(CAST({value} AS FLOAT) AS DOUBLE) AS {name}" if name in FLOAT_COLUMNS else f"{value} AS {name}"
+
+
+FEED_SQL = ", ".join(_plain(name, at) for at, name in enumerate(PITCH_COLUMNS))
+# What the feed below spoils: column, rows, the value written there and what is wrong with it.
+SPOILT = [
+    ("launch_angle", "event_id % 97 = 5", "12.7", "not a bigint"),
+    ("release_speed", "event_id % 89 = 7", "fast", "not a float"),
+    ("pitch_number", "event_id % 101 = 3", None, "missing"),
+]
+
+
+def feed(spark: SparkSession, folder: str) -> DataFrame:
+    """The stand-in as an export has it: all columns as text, half of the whole numbers with a point, some values spoilt."""
+    rows = pitches(spark, folder)
+    columns = [F.col("event_id").alias("row_id"), F.lit("1").alias("pitcher.1")]
+    bad = {name: (test, value) for name, test, value, _ in SPOILT}
+    for at, name in enumerate(PITCH_COLUMNS):
+        value = F.expr(_filled(name, at, "STRING")).cast("string")
+        if name not in TEXT_COLUMNS and name not in FLOAT_COLUMNS and name != "game_date":
+            value = F.when(F.col("event_id") % 2 == 0, F.concat(value, F.lit(".0"))).otherwise(value)
+        if name in bad:
+            value = F.when(F.expr(bad[name][0]), F.lit(bad[name][1])).otherwise(value)
+        columns.append(value.alias(name))
+    return rows.select(*columns)

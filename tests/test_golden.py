@@ -4,6 +4,7 @@ import datetime
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pitchframe import schemas
 from pitchframe.functions import categories, numbers, text
@@ -11,7 +12,11 @@ from pitchframe.operators import encode, joins, markets, metrics, shape, standar
 from pitchframe.operators.aggregate import conditional_distribution, distribution_map, pivot_values
 from pitchframe.plans import scores
 from pitchframe.plans.features import arsenals, pitch_outcome_set
-from pitchframe.sources import payloads, registry, tables
+from pitchframe.sources import checked, payloads, registry, tables
+from pitchframe.suite.landing import days_of_pitches
+from pitchframe.suite.standin import pitches
+
+DATA = "/root/testdata/sf0.001"
 
 
 def values(df, *columns):
@@ -339,7 +344,10 @@ def test_offers(spark):
     )
     events = ",".join([event("1", "NY Mets", "BOS Red Sox", "NOT_STARTED"), event("2", "NY Mets", "BOS Red Sox", "NOT_STARTED"), event("3", "CHI Cubs", "LA Angels", "STARTED")])
     body = f'{{"eventGroup":{{"events":[{events}],"offerCategories":[{{"offerSubcategoryDescriptors":[{{"offerSubcategory":{{"offers":[[{offers}]]}}}}]}}]}}}}'
-    rows = payloads.offers(spark.createDataFrame([("TT", body)], "category string, body string"), "body", "category")
+    responses = spark.createDataFrame([("TT", body)], "category string, body string")
+    rows = payloads.offers(responses, "body", "category")
+    twice = payloads.offers(responses.withColumn("day", F.explode(F.array(F.lit(1), F.lit(2)))), "body", "category", ["day"])
+    assert twice.count() == 2 * rows.count() and payloads.unread_responses(responses, "body").count() == 0
     assert sorted(values(rows, "away", "home", "period", "market", "side", "line", "odds"), key=str) == sorted(
         [
             ("NYM", "BOS", "TT", "spread", "NYM", -1.5, 2.1),
@@ -383,6 +391,43 @@ def test_typed_scan_of_csv(spark, tmp_path):
         tables.read_pitches(spark, str(tmp_path / "q.csv"), "csv").collect()
 
 
+def test_values_that_do_not_fit_are_rejected(spark, tmp_path):
+    lines = ["game_date,game_pk,at_bat_number,pitch_number,launch_angle,release_speed"]
+    lines += ["2024-04-01,543257.0,2,3,12.7,95.5", "2024-04-02,5.43257E5,2,4,12,NaN", "2024-04-03,,2,5,,x", "someday,1,2,6,9223372036854775808,1", "2024-04-04,1,2,7,nan,1"]
+    (tmp_path / "p.csv").write_text("\n".join(lines) + "\n")
+    source = tables.check_pitches(spark, str(tmp_path / "p.csv"), "csv")
+    assert sorted(values(source.rows(), "game_pk", "pitch_number", "launch_angle", "release_speed"), key=str) == [(1, 7, None, 1.0), (543257, 4, 12, None)]
+    rejects = sorted(values(source.rejects(), "pitch_number", "column", "value", "reason"), key=str)
+    assert rejects == [
+        (3, "launch_angle", "12.7", "not a bigint"),
+        (5, "game_pk", None, "missing"),
+        (5, "release_speed", "x", "not a float"),
+        (6, "game_date", "someday", "not a timestamp"),
+        (6, "launch_angle", "9223372036854775808", "not a bigint"),
+    ]
+    counts = checked.load(source, str(tmp_path / "out"), ["game_year"])
+    assert counts == {"read": 5, "rejected": 3, "rejected_game_date": 1, "rejected_game_pk": 1, "rejected_launch_angle": 2, "rejected_release_speed": 1}
+    assert spark.read.parquet(str(tmp_path / "out")).groupBy("state").count().orderBy("state").collect() == [("accepted", 2), ("rejected", 3)]
+    # Values in numeric files: whole numbers stored as doubles.
+    df = spark.createDataFrame([(1, 5.0), (2, 5.5), (3, float("nan")), (4, None), (5, 1e30)], "k int, x double")
+    schema = "k long not null, x long"
+    found = checked.checked(df, T.StructType.fromDDL(schema))
+    assert sorted(values(found.rows(), "k", "x"), key=str) == [(1, 5), (3, None), (4, None)]
+    assert [r["value"] for r in found.rejects().orderBy("k").collect()] == ["5.5", "1.0E30"]
+
+
+def test_declared_types_prune_the_scan(spark, tmp_path):
+    rows = checked.checked(pitches(spark, DATA), schemas.PITCH_SCHEMA).rows()
+    rows.write.parquet(str(tmp_path / "t"))
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    for df in (tables.read_pitches(spark, str(tmp_path / "t")), tables.check_pitches(spark, str(tmp_path / "t")).rows()):
+        plan = days_of_pitches(df)._jdf.queryExecution().executedPlan().toString()
+        pushed = plan.split("PushedFilters:")[1].split("]")[0]
+        assert "GreaterThanOrEqual(game_date" in pushed and "LessThan(game_date" in pushed and "GreaterThan(game_pk,19733)" in pushed
+        assert len(plan.split("ReadSchema: ")[1].split("\n")[0].split(",")) <= 5
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+
+
 def test_dimension_without_index_column(spark, tmp_path):
     (tmp_path / "d.csv").write_text(",venue_id,venue_name\n0,5,Park\n")
     df = tables.read_dimension(spark, str(tmp_path / "d.csv"), ["venue_id", "venue_name"], "venue_id long, venue_name string")
