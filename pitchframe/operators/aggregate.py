@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -69,17 +69,13 @@ def conditional_distribution(
 ) -> DataFrame:
     """Count and probability of each outcome within each condition.
 
-    Rows are reduced to one per (condition, outcome) before the totals are
-    taken, so a hot condition costs one row per distinct outcome. NULL is a
+    Rows are reduced to one per (condition, outcome) before a window takes the
+    totals, so a hot condition costs one row per distinct outcome. NULL is a
     value of its own on both sides.
     """
     counts = df.groupBy(*given, *outcome).agg(F.count(F.lit(1)).alias(count))
-    totals = counts.groupBy(*given).agg(F.sum(count).alias("_total"))
-    return (
-        attach(counts, totals, given)
-        .withColumn(share, F.col(count).cast("double") / F.col("_total"))
-        .select(*given, *outcome, count, share)
-    )
+    total = F.sum(count).over(Window.partitionBy(*given))
+    return counts.withColumn(share, F.col(count).cast("double") / total).select(*given, *outcome, count, share)
 
 
 def distribution_map(df: DataFrame, given: Sequence[str], outcome: str, share: str, out: str = "distribution") -> DataFrame:

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pitchframe.operators import ordered
 from pitchframe.operators.ordered import Ordered
 
 
@@ -23,12 +24,22 @@ def long_values(df: DataFrame, columns: Sequence[str], within: Sequence[str] = (
     return df.select(*within, F.inline(cells)).where(F.col("value").isNotNull())
 
 
+def value_counts(df: DataFrame, columns: Sequence[str], within: Sequence[str] = ()) -> DataFrame:
+    """Rows per distinct value of each column: (group, column, value, ties)."""
+    cells = long_values(df, columns, within).withColumn("value", F.col("value") + F.lit(0.0))
+    return cells.groupBy(*within, "column", "value").agg(F.count(F.lit(1)).alias("ties"))
+
+
 def positions(df: DataFrame, columns: Sequence[str], within: Sequence[str] = ()) -> DataFrame:
-    """Distinct values with their first and last zero-based position in the sorted column."""
+    """Distinct values with their first and last zero-based position in the sorted column.
+
+    No column of a group has more distinct values than the table has rows, so
+    the groups are counted only if the table exceeds one task's rows.
+    """
     keys = [*within, "column"]
-    cells = long_values(df, columns, within).withColumn("value", F.col("value") + F.lit(0.0))
-    counts = cells.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("ties"))
-    order = Ordered(counts, keys, ["value"], measure=cells).running_sum("_upto", "ties").build()
+    few = df.count() <= ordered.ROWS_PER_TASK
+    measure = None if few else long_values(df, columns, within)
+    order = Ordered(value_counts(df, columns, within), keys, ["value"], measure=measure, bounded=few).running_sum("_upto", "ties").build()
     return order.select(
         *keys, "value", "ties", (F.col("_upto") - F.col("ties")).alias("first"), (F.col("_upto") - 1).alias("last")
     )
@@ -75,66 +86,60 @@ def exact_quantiles(
 
 
 def summarize(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Count, mean, sample deviation, minimum, exact quartiles and maximum, one row per column."""
-    base = long_values(df, columns).groupBy("column").agg(
-        F.count(F.lit(1)).alias("count"),
-        F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-    )
-    quarters = exact_quantiles(df, columns, [0.25, 0.5, 0.75])
-    wide = quarters.groupBy("column").agg(
-        *[
-            F.max(F.when(F.col("p") == p, F.col("quantile"))).alias(name)
-            for p, name in ((0.25, "q25"), (0.5, "q50"), (0.75, "q75"))
-        ]
-    )
-    return base.join(wide, "column").select("column", "count", "mean", "std", "min", "q25", "q50", "q75", "max")
-
+    """Count, mean, sample deviation, minimum, exact quartiles and maximum, one row per column.
 
-HEAVY = 1024
-CELLS = 2**30
+    Everything follows from the distinct values and their ties: one scan counts
+    them, and size and mean of a column are read as scalars.
+    """
+    counts = value_counts(df, columns)
+    weighed = F.sum(F.col("value") * F.col("ties")) / F.sum("ties")
+    whole = per_column(counts.groupBy("column").agg(F.struct(F.sum("ties").alias("n"), weighed.alias("mean")).alias("_all")), "_all")
+    placed = positions(df, columns).withColumn("_all", whole).select("*", "_all.n", "_all.mean")
+    squares = F.sum(F.col("ties") * F.pow(F.col("value") - F.col("mean"), 2))
+    parts = {"count": F.max("n"), "mean": F.max("mean"), "_squares": squares, "min": F.min("value"), "max": F.max("value")}
+    for name, p in (("q25", 0.25), ("q50", 0.5), ("q75", 0.75)):
+        place = F.col("n").cast("double") * p - p
+        for end, at in (("low", F.floor(place)), ("high", F.ceil(place))):
+            parts[f"{name}_{end}"] = F.max(F.when(at.between(F.col("first"), F.col("last")), F.col("value")))
+        parts[f"{name}_part"] = F.max(place - F.floor(place))
+    wide = placed.groupBy("column").agg(*[v.alias(k) for k, v in parts.items()])
+    quarter = lambda q: (F.col(f"{q}_low") + (F.col(f"{q}_high") - F.col(f"{q}_low")) * F.col(f"{q}_part")).alias(q)
+    std = F.sqrt(F.try_divide(F.col("_squares"), F.nullif(F.col("count") - 1, F.lit(0)))).alias("std")
+    return wide.select("column", "count", "mean", std, "min", quarter("q25"), quarter("q50"), quarter("q75"), "max")
 
 
 def quantiles_at(df: DataFrame, columns: Sequence[str], draws: DataFrame, u: str = "u") -> DataFrame:
     """Empirical quantile for a row-varying ``u``.
 
-    ``draws`` has the columns ``column`` and ``u``. Each draw needs the values
-    at two neighbouring positions of the sorted column. Positions are cut into
-    cells and every distinct value is listed under the cells it covers, so a
-    position is found by an equi-join on its cell. Values that repeat in more
-    than 1/1024 of the rows (so fewer than 1024 per listed column) are found
-    through a broadcast instead and not listed.
+    ``draws`` has the columns ``column`` and ``u``. A draw needs the values at
+    two neighbouring positions of the sorted column. Distinct values, each with
+    the next larger one, and draws are put in one order by position, and the
+    last value before a draw is carried forward to it: one row per distinct
+    value and one per draw, however often a value repeats. Draws at one position
+    are told apart by their hash, so a long run of them can be split. The value
+    is NULL where ``u`` is NULL or outside of [0, 1]; draws for a column without
+    values are left out.
     """
     placed = positions(df, columns)
-    size = per_column(placed.groupBy("column").agg(F.sum("ties").alias("_n")), "_n")
-    fine = F.greatest(F.floor(F.col("_n") / CELLS), F.lit(1))
-    coarse = F.greatest(F.floor(F.col("_n") / HEAVY), F.lit(1))
-    is_heavy = F.col("ties") * HEAVY > F.col("_n")
-
-    def listed(rows: DataFrame, width: Column, name: str) -> DataFrame:
-        covered = F.sequence(F.floor(F.col("first") / width), F.floor(F.col("last") / width))
-        return rows.select(
-            F.col("column").alias("_c"), F.col("value").alias(name), F.col("first").alias("_f"), F.col("last").alias("_l"),
-            F.explode(covered).alias("_k"),
-        )
-
-    wide = placed.withColumn("_n", size)
+    few = df.count() <= ordered.ROWS_PER_TASK
+    measure = None if few else long_values(df, columns)
+    nexts = Ordered(placed, ["column"], ["first"], measure=measure, bounded=few).lead("next", "value").build()
+    size = per_column(value_counts(df, columns).groupBy("column").agg(F.sum("ties").alias("_n")), "_n")
+    here = F.struct("value", "last", "next").alias("_here")
+    values = nexts.select("column", F.col("first").alias("_at"), F.lit(0).cast("long").alias("_salt"), here)
     place = F.col(u) * (F.col("_n") - 1)
-    out = draws.withColumn("_n", size).where(F.col("_n").isNotNull()).withColumns(
-        {"_low": F.floor(place), "_high": F.ceil(place), "_part": place - F.floor(place)}
-    )
-    for at in ("_low", "_high"):
-        inside = (F.col("column") == F.col("_c")) & F.col(at).between(F.col("_f"), F.col("_l"))
-        heavy = F.broadcast(listed(wide.where(is_heavy), coarse, f"{at}_h"))
-        light = listed(wide.where(~is_heavy), fine, f"{at}_v")
-        for side, width in ((heavy, coarse), (light, fine)):
-            out = out.join(side, inside & (F.floor(F.col(at) / width) == F.col("_k")), "left").drop("_c", "_f", "_l", "_k")
-    low, high = (F.coalesce(f"{at}_h", f"{at}_v") for at in ("_low", "_high"))
-    return out.withColumn("value", low + (high - low) * F.col("_part")).drop(
-        "_n", "_low", "_high", "_part", "_low_h", "_low_v", "_high_h", "_high_v"
+    known = draws.withColumn("_n", size).where(F.col("_n").isNotNull())
+    asked = known.select(
+        *draws.columns, F.floor(place).alias("_at"), F.coalesce(F.nullif(F.abs(F.xxhash64(*draws.columns) % 2**40), F.lit(0)), F.lit(1)).alias("_salt"),
+        F.lit(None).cast(values.schema["_here"].dataType).alias("_here"), (place - F.floor(place)).alias("_part"), F.lit(True).alias("_asked"),
     )
+    both = asked.unionByName(values, allowMissingColumns=True)
+    sizes = (measure if measure is not None else values).select("column").unionByName(draws.select("column"))
+    carried = Ordered(both, ["column"], ["_at", "_salt"], measure=sizes).running_max("_found", "_here").build()
+    low = F.col("_found.value")
+    high = F.when(F.col("_at") < F.col("_found.last"), low).otherwise(F.coalesce("_found.next", low))
+    value = F.when(F.col(u).between(0, 1), low + (high - low) * F.col("_part"))
+    return carried.where("_asked").select(*draws.columns, value.alias("value"))
 
 
 def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:

@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pitchframe.operators.aggregate import attach
-from pitchframe.operators.ordered import Ordered
+from pitchframe.operators.ordered import Ordered, written
 
 
 def hashed_uniform(*columns: Column | str, seed: int = 0) -> Column:
@@ -21,11 +20,18 @@ def hashed_uniform(*columns: Column | str, seed: int = 0) -> Column:
     return F.shiftrightunsigned(mixed, 11).cast("double") / F.lit(float(2**53))
 
 
-def cumulative(dist: DataFrame, given: Sequence[str], order: Sequence[str], weight: str) -> DataFrame:
-    """Adds the half-open probability interval ``[low, high)`` of each outcome of a condition."""
-    run = Ordered(dist, given, order).running_sum("_upto", F.col(weight).cast("double")).build()
-    totals = dist.groupBy(*given).agg(F.sum(F.col(weight).cast("double")).alias("_sum"))
-    run = attach(run, totals, given) if given else run.withColumn("_sum", totals.scalar())
+def cumulative(dist: DataFrame, given: Sequence[str], order: Sequence[str], weight: str, *, bounded: bool = False) -> DataFrame:
+    """Adds the half-open probability interval ``[low, high)`` of each outcome of a condition.
+
+    ``bounded`` states that a condition has few outcomes; otherwise conditions
+    are counted, and one with very many is split.
+    """
+    weights = F.col(weight).cast("double")
+    if given:
+        dist = dist.withColumn("_sum", F.sum(weights).over(Window.partitionBy(*given)))
+    else:
+        dist = dist.withColumn("_sum", dist.agg(F.sum(weights)).scalar())
+    run = Ordered(dist, given, order, bounded=bounded).running_sum("_upto", weights).build()
     slack = F.col("_sum") * 1e-12
     upper = F.when(F.col("_upto") >= F.col("_sum") - slack, F.lit(1.0)).otherwise(F.col("_upto") / F.col("_sum"))
     lower = (F.col("_upto") - F.col(weight)) / F.col("_sum")
@@ -41,13 +47,16 @@ def draw(
     u: str,
     *,
     how: str = "left",
+    bounded: bool = False,
 ) -> DataFrame:
     """One outcome per row, chosen by ``u`` from the distribution of the row's condition.
 
-    An equi-join on the condition whose residual test keeps exactly one
-    interval, so only one row per draw leaves the join.
+    The intervals are written once. Their size on disk is then known when the
+    join on the condition is planned: a small table is broadcast and the rows
+    stay where they are, a large one is shuffled. The residual test keeps exactly
+    one interval, so only one row per draw leaves the join.
     """
-    table = cumulative(dist, given, outcome, weight).select(
+    table = written(cumulative(dist, given, outcome, weight, bounded=bounded), "intervals").select(
         *[F.col(g).alias(f"_given_{g}") for g in given], *outcome, "low", "high"
     )
     condition = (F.col(u) >= F.col("low")) & (F.col(u) < F.col("high"))

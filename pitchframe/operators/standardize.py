@@ -11,8 +11,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pitchframe.operators import ordered
 from pitchframe.operators.aggregate import attach
-from pitchframe.operators.ordered import Ordered
+from pitchframe.operators.ordered import Ordered, written
 
 
 def z_scores(
@@ -75,14 +76,15 @@ def fill_with_mean(df: DataFrame, column: str, within: Sequence[str] = ()) -> Da
     return filled.withColumn(column, F.coalesce(F.col(column), F.col("_mean"))).drop("_mean")
 
 
-def value_ranks(df: DataFrame, column: str, within: Sequence[str] = ()) -> DataFrame:
+def value_ranks(df: DataFrame, column: str, within: Sequence[str] = (), *, bounded: bool = False) -> DataFrame:
     """One row per (group, distinct value) with its count, average rank and group size.
 
     Works on distinct values only: ties collapse before anything is ordered.
+    ``bounded`` states that no group has more rows than a task should.
     """
     present = df.select(*within, column).where(F.col(column).isNotNull())
     counts = present.groupBy(*within, column).agg(F.count(F.lit(1)).alias("ties"))
-    ranked = Ordered(counts, within, [column], measure=present).running_sum("_upto", "ties").build()
+    ranked = Ordered(counts, within, [column], measure=present, bounded=bounded).running_sum("_upto", "ties").build()
     sizes = counts.groupBy(*within).agg(F.sum("ties").alias("size"))
     if within:
         ranked = ranked.join(sizes, list(within))
@@ -95,9 +97,20 @@ def value_ranks(df: DataFrame, column: str, within: Sequence[str] = ()) -> DataF
 def pseudo_observations(
     df: DataFrame, columns: Sequence[str], within: Sequence[str] = (), suffix: str = "_u"
 ) -> DataFrame:
-    """Average rank divided by group size plus one, per column."""
-    base = df
-    for c in columns:
-        ranks = value_ranks(base, c, within).withColumn(f"{c}{suffix}", F.col("rank") / (F.col("size") + 1.0))
-        df = df.join(ranks.select(*within, c, f"{c}{suffix}"), [*within, c], "left")
-    return df
+    """Average rank divided by group size plus one, per column.
+
+    Rows are written once with a number of their own. Only (number, group,
+    column, value) moves: distinct values of all columns are counted and ranked
+    together, every cell finds its rank by its value, and the ranks of a row come
+    back as one row, so the wide rows are shuffled once whatever the number of
+    columns. A value that very many rows share is one key of that join, which
+    adaptive execution splits.
+    """
+    rows = written(df.select("*", F.monotonically_increasing_id().alias("_row")), "rows")
+    cells = F.array(*[F.struct(F.lit(i).alias("_c"), F.col(c).cast("double").alias("_v")) for i, c in enumerate(columns)])
+    long = rows.select("_row", *within, F.inline(cells)).where(F.col("_v").isNotNull()).withColumn("_v", F.col("_v") + F.lit(0.0))
+    ranks = value_ranks(long, "_v", [*within, "_c"], bounded=rows.count() <= ordered.ROWS_PER_TASK)
+    score = F.col("rank") / (F.col("size") + 1.0)
+    found = attach(long, ranks.select(*within, "_c", "_v", score.alias("_u")), [*within, "_c", "_v"])
+    by_row = found.groupBy("_row").agg(*[F.max(F.when(F.col("_c") == i, F.col("_u"))).alias(f"{c}{suffix}") for i, c in enumerate(columns)])
+    return rows.join(by_row, "_row", "left").select(*df.columns, *[f"{c}{suffix}" for c in columns])

@@ -180,7 +180,7 @@ def apply_transitions(states: DataFrame, table: DataFrame, u: str) -> DataFrame:
     Strike-outs and walks follow from an expression; the rest is drawn from the
     fitted table. A state the table never saw keeps NULL.
     """
-    drawn = draw(states, table, ["outcome", "stand", "outs", *BASES], AFTER, "n", u)
+    drawn = draw(states, table, ["outcome", "stand", "outs", *BASES], AFTER, "n", u, bounded=True)
     certain = forced_transition(*[F.col(c) for c in ("outcome", "outs", *BASES)])
     fixed = drawn.withColumn("_certain", certain)
     out = {}
