@@ -19,9 +19,10 @@ from pyspark.ml.feature import MinMaxScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pitchframe.operators.aggregate import attach
 from pitchframe.operators.metrics import log_loss
 from pitchframe.operators.shape import columns_by_type
 from pitchframe.operators.standardize import standard_scale
@@ -59,6 +60,35 @@ def entity_rates(
     return joined.withColumns(rates).drop("_n", "_all", *[f"_c_{c}" for c in classes])
 
 
+def out_of_fold_rates(
+    df: DataFrame, entity: str, target: str, classes: Sequence[str], fold: Column, *, prior: float = 20.0
+) -> DataFrame:
+    """Adds the entity's smoothed class shares over the rows of the other folds as ``rate_<class>``.
+
+    A row's own class never enters its features, as it would with
+    :func:`entity_rates` on the rows they were counted on. Group sums per entity
+    and fold are reduced first; what the other folds hold is the entity's sum
+    minus the own fold's, and likewise for the overall shares that are mixed in.
+    """
+    rows = df.withColumn("_fold", fold)
+    counted = [F.count(F.lit(1)).alias("_n"), *[F.count_if(F.col(target) == c).alias(f"_c{i}") for i, c in enumerate(classes)]]
+    names = ["_n", *[f"_c{i}" for i in range(len(classes))]]
+    sums = rows.groupBy(entity, "_fold").agg(*counted)
+    whole = Window.partitionBy(entity)
+    others = sums.withColumns({f"{c}_other": F.sum(c).over(whole) - F.col(c) for c in names})
+    # Overall sums of each fold, one short list whatever the number of entities.
+    folds = sums.groupBy("_fold").agg(*[F.sum(c).alias(c) for c in names])
+    listed = folds.agg(F.collect_list(F.struct("_fold", *names))).scalar()
+    rest = F.filter(F.col("_folds"), lambda f: ~f["_fold"].eqNullSafe(F.col("_fold")))
+    outside = lambda c: F.aggregate(F.col("_rest"), F.lit(0).cast("long"), lambda a, f: a + f[c])
+    others = others.withColumn("_folds", listed).withColumn("_rest", rest)
+    rates = {}
+    for i, c in enumerate(classes):
+        share = F.coalesce(F.try_divide(outside(f"_c{i}"), outside("_n")), F.lit(0.0))
+        rates[f"rate_{c}"] = (F.col(f"_c{i}_other") + share * prior) / (F.col("_n_other") + prior)
+    return attach(rows, others.select(entity, "_fold", *[v.alias(k) for k, v in rates.items()]), [entity, "_fold"]).drop("_fold")
+
+
 def feature_columns(df: DataFrame, exclude: Sequence[str]) -> tuple[list[str], list[str]]:
     """Numeric and text feature names; a column of any other type raises."""
     kinds = columns_by_type(df.drop(*exclude))
@@ -106,13 +136,36 @@ def fit_encoder(train: DataFrame, target: str, numeric: Sequence[str], text: Seq
     return Encoder(Pipeline(stages=stages).fit(train), list(labels), [*numeric, *text], target)
 
 
+class ClassScores:
+    """What models with ``classes``, ``target`` and ``probabilities`` (an array in class order per row) have in common."""
+
+    def long_probabilities(self, df: DataFrame, keep: Sequence[str]) -> DataFrame:
+        """One row per input row and class."""
+        names = F.array(*[F.lit(c) for c in self.classes])
+        pairs = F.arrays_zip(names.alias("class"), F.col("probabilities").alias("probability"))
+        return self.probabilities(df).select(*keep, F.inline(pairs).alias("class", "probability"))
+
+    def true_probability(self):
+        """Probability of the row's own class after :meth:`score`; 0 for a class never fitted."""
+        names = F.array(*[F.lit(c) for c in self.classes])
+        place = F.array_position(names, F.col(self.target)).cast("int")
+        return F.when(place > 0, F.try_element_at("probabilities", F.greatest(place, F.lit(1)))).otherwise(0.0)
+
+    def with_true_probability(self, df: DataFrame, out: str = "p_true") -> DataFrame:
+        return self.probabilities(df).withColumn(out, self.true_probability())
+
+
 @dataclass
-class Classifier:
+class Classifier(ClassScores):
     """A fitted encoder and estimator."""
 
     encoder: Encoder
     model: object
 
+    @property
+    def target(self) -> str:
+        return self.encoder.target
+
     @property
     def classes(self) -> list[str]:
         return self.encoder.classes
@@ -131,21 +184,6 @@ class Classifier:
     def probabilities(self, df: DataFrame) -> DataFrame:
         return self.score(self.encoder.vectors(df), df.columns)
 
-    def long_probabilities(self, df: DataFrame, keep: Sequence[str]) -> DataFrame:
-        """One row per input row and class."""
-        names = F.array(*[F.lit(c) for c in self.classes])
-        pairs = F.arrays_zip(names.alias("class"), F.col("probabilities").alias("probability"))
-        return self.probabilities(df).select(*keep, F.inline(pairs).alias("class", "probability"))
-
-    def true_probability(self):
-        """Probability of the row's own class after :meth:`score`; 0 for a class never fitted."""
-        names = F.array(*[F.lit(c) for c in self.classes])
-        place = F.array_position(names, F.col(self.encoder.target)).cast("int")
-        return F.when(place > 0, F.try_element_at("probabilities", F.greatest(place, F.lit(1)))).otherwise(0.0)
-
-    def with_true_probability(self, df: DataFrame, out: str = "p_true") -> DataFrame:
-        return self.probabilities(df).withColumn(out, self.true_probability())
-
     def importances(self, spark) -> DataFrame:
         """Feature importances, or mean absolute coefficients of a linear model, largest first."""
         if hasattr(self.model, "featureImportances"):

@@ -6,6 +6,7 @@ import os
 import re
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -47,3 +48,19 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         parent = tempfile.mkdtemp(prefix="pitchframe-")
     return os.path.join(parent, f"{purpose}-{uuid.uuid4().hex}")
+
+
+def ship(spark: SparkSession) -> None:
+    """Give executors this package as a zip file, once per session; functions that run in their Python workers import it."""
+    context = spark.sparkContext
+    if getattr(context, "_pitchframe_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="pitchframe-code-"), "pitchframe.zip")
+    with zipfile.ZipFile(archive, "w") as file:
+        for folder, _, names in os.walk(root):
+            for name in filter(lambda n: n.endswith(".py"), names):
+                path = os.path.join(folder, name)
+                file.write(path, os.path.relpath(path, os.path.dirname(root)))
+    context.addPyFile(archive)
+    context._pitchframe_shipped = True

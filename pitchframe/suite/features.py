@@ -100,12 +100,15 @@ arsenal AS (SELECT DISTINCT pitcher, pitch_type FROM (
     FROM seq LEFT JOIN s USING (batter) LEFT JOIN w USING (batter)""",
 )
 def pitch_sequence_features(spark, folder):
-    rows, strikes, contact = _tables(spark, folder)
-    built = feat.pitch_sequence_set(rows, strikes, contact, _TYPES, arsenal=feat.arsenals(rows, 5)).drop("game_date")
+    built = pitch_sequence_rows(*_tables(spark, folder)).drop("game_date")
     rounded = [f"{t}_{s}" for t in _TYPES for s in ("strike", "woba")]
     return built.withColumns({c: plain(F.col(c)) for c in rounded})
 
 
+def pitch_sequence_rows(rows, strikes, contact):
+    return feat.pitch_sequence_set(rows, strikes, contact, _TYPES, arsenal=feat.arsenals(rows, 5))
+
+
 @register(
     "M9 J3 J5 J6 J7 P1 P3 P6 F1",
     f"""WITH {PITCH_SQL},
@@ -127,6 +130,11 @@ def pitch_sequence_features(spark, folder):
       CASE WHEN stand = 'R' THEN rhh ELSE lhh END AS oaa FROM j""",
 )
 def hit_class_features(spark, folder):
+    built = hit_class_rows(spark, folder).drop("game_date")
+    return built.withColumns({"speed": settled(F.col("speed"), 4), "spray_angle": plain(F.col("spray_angle"), 0)})
+
+
+def hit_class_rows(spark, folder):
     rows = pitches(spark, folder)
     nation, customer = read_table(spark, folder, "nation"), read_table(spark, folder, "customer")
     venues = rows.select("game_pk", (F.col("game_pk") % 10).alias("venue_id"))
@@ -142,8 +150,7 @@ def hit_class_features(spark, folder):
     teams = nation.where("n_nationkey <> 7").select(
         F.col("n_nationkey").alias("team_id"), F.concat(F.lit("T"), F.col("n_nationkey").cast("string")).alias("team_code")
     )
-    built = feat.hit_class_set(rows, venues, speeds, fielding, teams).drop("game_date")
-    return built.withColumns({"speed": settled(F.col("speed"), 4), "spray_angle": plain(F.col("spray_angle"), 0)})
+    return feat.hit_class_set(rows, venues, speeds, fielding, teams)
 
 
 @register(

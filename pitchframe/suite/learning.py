@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pitchframe.operators import metrics, models
+from pitchframe.operators import boosting, metrics, models
+from pitchframe.operators.encode import balance_classes
 from pitchframe.operators.split import ordered_split
 from pitchframe.plans.features import pitch_outcome_set
-from pitchframe.plans.scores import strike_zones
+from pitchframe.plans.scores import contact_scores, strike_scores, strike_zones
 from pitchframe.sources.tables import read_table
 from pitchframe.suite import register
-from pitchframe.suite.standin import pitches
+from pitchframe.suite.features import hit_class_rows, pitch_sequence_rows
+from pitchframe.suite.standin import PITCH_SQL, pitches
 
 _NUMERIC = ["release_speed", "release_spin_rate", "plate_x", "plate_z", "strikes", "balls"]
 _TARGET = "pitch_outcome"
@@ -44,14 +46,82 @@ def drawn_pitch_outcomes(spark, folder):
     train, test = _split(spark, folder)
     classes = ["ball", "foul", "hit_by_pitch", "hit_into_play", "strike"]
     rates = [f"rate_{c}" for c in classes]
-    with_rates = lambda rows: models.entity_rates(train, rows, "batter", _TARGET, classes)
-    fitted = models.fit_classifier(with_rates(train), _TARGET, [*_NUMERIC, *rates], ["p_throws"], models.softmax(maxIter=20))
-    scored = fitted.probabilities(with_rates(test))
+    # A training row takes its batter's rates from the other folds, a later row from all training rows.
+    own = models.out_of_fold_rates(train, "batter", _TARGET, classes, F.col("at_bat_number") % 5)
+    fitted = models.fit_classifier(own, _TARGET, [*_NUMERIC, *rates], ["p_throws"], models.softmax(maxIter=20))
+    scored = fitted.probabilities(models.entity_rates(train, test, "batter", _TARGET, classes))
     u = hashed_uniform("game_pk", "at_bat_number", "pitch_number", seed=5)
     drawn = scored.withColumn("drawn", pick_class(F.col("probabilities"), fitted.classes, u))
     return drawn.groupBy(_TARGET, "drawn").agg(F.count(F.lit(1)).alias("n"))
 
 
+_CLASSES = ["ball", "foul", "hit_by_pitch", "hit_into_play", "strike"]
+_OUTCOME_SQL = """CASE WHEN description IN ('called_strike', 'foul_tip') THEN 'strike' WHEN description = 'foul' THEN 'foul'
+      WHEN description IN ('ball', 'blocked_ball') THEN 'ball' WHEN description IN ('hit_by_pitch', 'hit_into_play') THEN description END"""
+
+
+@register(
+    "M11 A2",
+    f"""WITH {PITCH_SQL},
+    p AS (SELECT batter, at_bat_number, pitch_number, at_bat_number % 5 AS fold, {_OUTCOME_SQL} AS c FROM pitches
+      WHERE release_speed IS NOT NULL AND release_spin_rate IS NOT NULL AND plate_x IS NOT NULL AND plate_z IS NOT NULL AND p_throws IS NOT NULL AND strikes IS NOT NULL AND balls IS NOT NULL),
+    q AS (SELECT * FROM p WHERE c IS NOT NULL),
+    f AS (SELECT batter, fold, count(*) AS n, {", ".join(f"count(*) FILTER (c = '{c}') AS c{i}" for i, c in enumerate(_CLASSES))} FROM q GROUP BY ALL),
+    o AS (SELECT *, sum(n) OVER (PARTITION BY batter) - n AS n_o, {", ".join(f"sum(c{i}) OVER (PARTITION BY batter) - c{i} AS o{i}" for i in range(5))} FROM f),
+    a AS (SELECT fold, (SELECT sum(n) FROM f) - sum(n) AS n_a, {", ".join(f"(SELECT sum(c{i}) FROM f) - sum(c{i}) AS a{i}" for i in range(5))} FROM f GROUP BY fold)
+    SELECT at_bat_number, pitch_number, {", ".join(f"round((o{i} + a{i} / n_a * 20) / (n_o + 20), 9) AS rate_{c}" for i, c in enumerate(_CLASSES))}
+    FROM q JOIN o USING (batter, fold) JOIN a USING (fold)""",
+)
+def out_of_fold_batter_rates(spark, folder):
+    """A batter's smoothed outcome shares without the pitches of the row's own fold."""
+    rows = pitch_outcome_set(pitches(spark, folder))
+    rated = models.out_of_fold_rates(rows, "batter", _TARGET, _CLASSES, F.col("at_bat_number") % 5)
+    return rated.select("at_bat_number", "pitch_number", *[F.round(f"rate_{c}", 9).alias(f"rate_{c}") for c in _CLASSES])
+
+
+def _against_frequencies(train, test, target, fitted, name):
+    """Whether the later rows are likelier under the model than under the training frequencies, and all probabilities add up."""
+    scored = metrics.with_baseline_probability(train, fitted.with_true_probability(test), target)
+    total = F.aggregate("probabilities", F.lit(0.0), lambda a, p: a + p)
+    loss = lambda p: F.avg(-F.log(F.greatest(p, F.lit(1e-15))))
+    return scored.agg(
+        F.lit(name).alias("model"),
+        (loss(F.col("p_true")) < loss(F.coalesce("p_baseline", F.lit(0.0)))).alias("below_baseline"),
+        (F.max(F.abs(total - 1)) < 1e-9).alias("sums_to_one"),
+    )
+
+
+def _later(rows, order):
+    marked = ordered_split(rows, [], order, 0.2)
+    return marked.where("is_train").drop("is_train"), marked.where("NOT is_train").drop("is_train")
+
+
+@register("M11 M15 M17 M18", "SELECT 'hit class' AS model, true AS below_baseline, true AS sums_to_one")
+def boosted_hit_classes(spark, folder):
+    """Boosted trees over the hit class set with its missing speeds and fielding strengths."""
+    numeric = ["outs_when_up", "on_1b", "on_2b", "on_3b", "launch_speed", "launch_angle", "spray_angle", "speed", "oaa"]
+    train, test = _later(hit_class_rows(spark, folder), _ORDER)
+    fitted = boosting.fit_boosted(train, "simplified_outcome", numeric, ["stand"], boosting.Setting(n_estimators=8))
+    return _against_frequencies(train, test, "simplified_outcome", fitted, "hit class")
+
+
+@register("M11 M15 M17 M18", "SELECT 'pitch choice' AS model, true AS below_baseline, true AS sums_to_one")
+def boosted_pitch_choice(spark, folder):
+    """Boosted trees over the pitch sequence set, whose previous pitch and scores are often missing.
+
+    The stand-in's pitch types are drawn evenly, so a preference by count is put in: with two strikes mostly the second type.
+    """
+    rows = pitches(spark, folder)
+    leaning = F.when((F.col("strikes") == 2) & (F.col("event_id") % 5 > 0) & F.col("pitch_type").isNotNull(), "SL").otherwise(F.col("pitch_type"))
+    rows = rows.withColumn("pitch_type", leaning)
+    built = pitch_sequence_rows(rows, strike_scores(rows, minimum=15), contact_scores(rows, minimum=3))
+    scores = [c for c in built.columns if c.endswith(("_strike", "_woba"))]
+    numeric = ["strikes", "balls", "outs_when_up", "on_1b", "on_2b", "on_3b", "cumulative_pitch_number", *scores]
+    train, test = _later(built, _ORDER)
+    fitted = boosting.fit_boosted(train, "pitch_type", numeric, ["stand", "prev_pitch"], boosting.Setting(n_estimators=6))
+    return _against_frequencies(train, test, "pitch_type", fitted, "pitch choice")
+
+
 @register("M12 M17")
 def greedy_parameter_search(spark, folder):
     train, test = _split(spark, folder)
@@ -65,6 +135,25 @@ def greedy_parameter_search(spark, folder):
     return spark.createDataFrame(rows, "parameter_group int, setting string, log_loss double")
 
 
+@register(
+    "M12 M14 M17",
+    "SELECT CAST(g AS INTEGER) AS parameter_group, CAST(9 AS BIGINT) AS fits, true AS best_is_carried FROM (VALUES (0), (1), (2)) t(g)",
+)
+def full_parameter_search(spark, folder):
+    """All 27 fits of the greedy search, after each side has got the classes it lacks; the numbers of trees are small ones."""
+    train, test = _split(spark, folder)
+    train, test = balance_classes(train, test, _TARGET, _ORDER)
+    groups = [*boosting.GREEDY_GROUPS[:2], {"learning_rate": [0.01, 0.05, 0.1], "n_estimators": [2, 4, 6]}]
+    best, trials = boosting.greedy_search(train, test, _TARGET, _NUMERIC, ["p_throws"], groups, boosting.Setting(n_estimators=3))
+    rows = []
+    for number, group in enumerate(groups):
+        own = [(s, loss) for g, s, loss in trials if g == number]
+        chosen = min(own, key=lambda t: t[1])[0]
+        later = [s for g, s, _ in trials if g > number] + [best]
+        rows.append((number, len(own), all(getattr(s, name) == getattr(chosen, name) for s in later for name in group)))
+    return spark.createDataFrame(rows, "parameter_group int, fits long, best_is_carried boolean")
+
+
 @register("M13")
 def cross_validated_search(spark, folder):
     train, _ = _split(spark, folder)
