@@ -58,59 +58,75 @@ def with_classes(docs: DataFrame, text: str = "text", out: str = "classes") -> D
     return docs.drop(f"__rest{len(CLASSES) - 1}", *[f"__size{k}" for k in range(len(CLASSES))])
 
 
-def with_repeats(docs: DataFrame, words: str = "words", out: str = "n_repeat_words") -> DataFrame:
-    """Add the number of words inside windows that the text holds twice or more.
+def with_hashes(docs: DataFrame, words: str = "words") -> DataFrame:
+    """Replace the words by ``hashes`` of 64 bits, which stand for them from here on, and ``n_words``."""
+    hashes = F.transform(words, lambda w: F.xxhash64(w))
+    return docs.withColumns({"hashes": hashes, "n_words": F.size(words).cast("long")}).drop(words)
 
-    Windows are compared as 64-bit hashes, sorted with their places where some
-    are equal at all, so the work is n log n on any text.
+
+def with_repeats(docs: DataFrame, out: str = "n_repeat_words") -> DataFrame:
+    """Add the number of words inside windows that the text holds twice or more, from ``hashes``.
+
+    Windows are hashed in turn, and sorted with their places where some are
+    equal at all, so the work is n log n on any text.
     """
-    docs = docs.withColumn("__hashes", F.transform(words, lambda w: F.xxhash64(w)))
-    window = "xxhash64({})".format(", ".join(f"__hashes[i + {k}]" for k in range(WINDOW)))
-    docs = docs.withColumn("__windows", F.expr(f"if(size(__hashes) < {WINDOW}, cast(array() as array<bigint>), transform(sequence(0, size(__hashes) - {WINDOW}), i -> {window}))"))
+    window = "xxhash64({})".format(", ".join(f"hashes[i + {k}]" for k in range(WINDOW)))
+    docs = docs.withColumn("__windows", F.expr(f"if(size(hashes) < {WINDOW}, cast(array() as array<bigint>), transform(sequence(0, size(hashes) - {WINDOW}), i -> {window}))"))
     placed = "sort_array(transform(__windows, (v, i) -> named_struct('v', v, 'i', i)))"
-    docs = docs.withColumn("__placed", F.expr(f"if(size(array_distinct(__windows)) < size(__windows), {placed}, cast(array() as array<struct<v: bigint, i: int>>))"))
+    docs = docs.withColumn("__placed", F.expr(f"if(size(array_distinct(__windows)) < size(__windows), {placed}, cast(array() as array<struct<v: bigint, i: int>>))")).drop("__windows")
     twice = "filter(__placed, (s, k) -> get(__placed, k - 1).v <=> s.v or get(__placed, k + 1).v <=> s.v)"
-    docs = docs.withColumn("__places", F.expr(f"sort_array(transform({twice}, s -> s.i))"))
+    docs = docs.withColumn("__places", F.expr(f"sort_array(transform({twice}, s -> s.i))")).drop("__placed")
     gaps = f"transform(__places, (p, k) -> least({WINDOW}, coalesce(get(__places, k + 1) - p, {WINDOW})))"
     docs = docs.withColumn(out, F.expr(f"cast(aggregate({gaps}, 0, (a, x) -> a + x) as bigint)"))
-    return docs.drop("__windows", "__placed", "__places")
+    return docs.drop("__places")
 
 
 def references(docs: DataFrame) -> DataFrame:
-    """One row per language: ``lang, classes, total, slots, shares``, counted over all of ``docs`` (``text, lang``).
+    """One row per language: ``lang, total, class_shares, slots, at, places, shares``, counted over all of ``docs`` (``text, lang``).
 
-    ``shares`` are those of the common words, the last one that of all others;
-    ``slots`` lead from a word's hash to its place there. A null language is a
-    language; one of fewer than ``REFERENCE_WORDS`` words has no row.
+    ``shares`` are those of the common words, the last one that of all others. A
+    word's hash modulo ``slots`` leads to its place among them: ``slots`` is the
+    first number tried that keeps all common words apart, ``at`` and ``places``
+    hold their hashes and places there. A null language is a language; one of
+    fewer than ``REFERENCE_WORDS`` words has no row.
     """
-    sums = [F.sum(F.col("classes")[k]).alias(f"c{k}") for k in range(len(CLASSES) + 1)]
-    measured = with_classes(with_words(docs).select("lang", "text", F.size("words").cast("long").alias("n_words")))
-    totals = measured.groupBy("lang").agg(F.sum("n_words").alias("total"), *sums)
-    totals = totals.where(F.col("total") >= REFERENCE_WORDS).select(F.col("lang").alias("of"), "total", F.array(*[f"c{k}" for k in range(len(sums))]).alias("classes"))
-    words = with_words(docs).select("lang", F.explode("words").alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
+    classes = with_classes(docs).groupBy("lang").agg(*[F.sum(F.col("classes")[k]).alias(f"c{k}") for k in range(len(CLASSES) + 1)])
+    classes = classes.select("lang", F.array(*[f"c{k}" for k in range(len(CLASSES) + 1)]).alias("classes"))
+    words = with_words(docs).select("lang", F.explode("words").alias("word"))
+    words = words.groupBy("lang", F.xxhash64("word").alias("hash")).agg(F.count("*").alias("n"))
+    totals = words.groupBy("lang").agg(F.sum("n").alias("total")).where(F.col("total") >= REFERENCE_WORDS).withColumnRenamed("lang", "of")
     common = words.join(totals, F.col("lang").eqNullSafe(F.col("of"))).where(F.col("n") * COMMON >= F.col("total"))
-    found = common.groupBy("of").agg(F.sort_array(F.collect_list(F.struct(F.xxhash64("word").alias("hash"), "n"))).alias("common"))
-    found = totals.join(found.withColumnRenamed("of", "lang"), F.col("of").eqNullSafe(F.col("lang")), "left").drop("lang").withColumnRenamed("of", "lang")
+    found = common.groupBy("of").agg(F.sort_array(F.collect_list(F.struct("hash", "n"))).alias("common"))
+    found = _beside(_beside(totals.withColumnRenamed("of", "lang"), found, "of"), classes.withColumnRenamed("lang", "of"), "of")
     found = found.withColumn("common", F.coalesce("common", F.expr("cast(array() as array<struct<hash: bigint, n: bigint>>)")))
-    found = found.withColumn("counts", F.expr("concat(common.n, array(total - aggregate(common.n, 0L, (a, x) -> a + x)))"))
-    entry = "transform(common, (c, i) -> named_struct('hash', c.hash, 'place', i))"
+    apart = "size(array_distinct(transform(common, c -> pmod(c.hash, m)))) = size(common)"
+    found = found.withColumn("slots", F.expr(f"get(filter(sequence({SLOTS}, {SLOTS * 512}, {SLOTS - 1}), m -> {apart}), 0)"))
+    found = found.withColumn("slots", F.coalesce("slots", F.raise_error(F.lit("no table keeps the common words apart")).cast("int")))
+    found = found.withColumn("held", F.expr("array_sort(transform(common, (c, i) -> named_struct('slot', cast(pmod(c.hash, slots) as int), 'hash', c.hash, 'place', i)))"))
+    filled = "transform(sequence(0, slots - 1), s -> get(filter(held, e -> e.slot = s), 0))"
+    found = found.withColumn("table", F.expr(filled))
     return found.select(
         "lang",
         "total",
-        F.transform("classes", lambda c: c / F.expr("aggregate(classes, 0L, (a, x) -> a + x)")).alias("class_shares"),
-        F.expr(f"transform(sequence(0, {SLOTS - 1}), s -> filter({entry}, e -> pmod(e.hash, {SLOTS}) = s))").alias("slots"),
-        F.expr("transform(counts, c -> c / total)").alias("shares"),
+        F.expr("transform(classes, c -> c / aggregate(classes, 0L, (a, x) -> a + x))").alias("class_shares"),
+        "slots",
+        F.expr("transform(table, e -> e.hash)").alias("at"),
+        F.expr("transform(table, e -> e.place)").alias("places"),
+        F.expr("transform(concat(common.n, array(total - aggregate(common.n, 0L, (a, x) -> a + x))), c -> c / total)").alias("shares"),
     )
 
 
+def _beside(left: DataFrame, right: DataFrame, of: str) -> DataFrame:
+    return left.join(right, F.col("lang").eqNullSafe(F.col(of)), "left").drop(of)
+
+
 def _with_word_counts(docs: DataFrame) -> DataFrame:
-    """Add ``counts``: a document's common words as ``place, n``, the others under the last place, from ``__hashes, slots, shares``."""
-    place = f"filter(get(slots, cast(pmod(h, {SLOTS}) as int)), e -> e.hash = h)"
-    docs = docs.withColumn("__found", F.expr(f"transform(__hashes, h -> coalesce(get({place}, 0).place, size(shares) - 1))"))
-    docs = docs.withColumn("__found", F.sort_array("__found"))
+    """Add ``counts``: a document's common words as ``place, n``, and ``others``, how many words are none, from ``hashes``."""
+    slot = "cast(pmod(h, slots) as int)"
+    docs = docs.withColumn("__found", F.expr(f"sort_array(transform(filter(hashes, h -> get(at, {slot}) <=> h), h -> get(places, {slot})))"))
     docs = docs.withColumn("__ends", F.expr("if(size(__found) = 0, cast(array() as array<int>), filter(sequence(1, size(__found)), k -> not get(__found, k) <=> __found[k - 1]))"))
     counts = "transform(__ends, (e, j) -> named_struct('place', __found[e - 1], 'n', e - coalesce(get(__ends, j - 1), 0)))"
-    return docs.withColumn("counts", F.expr(counts)).drop("__found", "__ends")
+    return docs.withColumns({"counts": F.expr(counts), "others": F.expr("n_words - size(__found)")}).drop("__found", "__ends", "hashes", "at", "places")
 
 
 def _part(p: str, q: str) -> str:
@@ -143,13 +159,15 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     lines = F.filter(F.split("text", "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
     out = with_classes(rows).withColumns({"n_symbols": symbols.cast("long"), "word_chars": solid.cast("long"), "__lines": lines})
     out = out.withColumn("n_dup_lines", (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long")).drop("__lines")
-    out = with_repeats(with_words(out).drop("text")).withColumn("n_words", F.size("words").cast("long")).drop("words")
+    out = with_repeats(with_hashes(with_words(out).drop("text")))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))
     out = out.withColumn("base_failed", failed).join(known, F.col("lang").eqNullSafe(F.col("of")), "left")
     out = _with_word_counts(out)
     chars = "aggregate(classes, 0L, (a, x) -> a + x)"
     by_class = f"aggregate(zip_with(transform(classes, c -> c / chars), class_shares, (p, q) -> {_part('p', 'q')}), 0D, (a, x) -> a + x)"
-    present = f"aggregate(transform(counts, c -> named_struct('p', c.n / n_words, 'q', shares[c.place])), 0D, (a, c) -> a + {_part('c.p', 'c.q')} - c.q)"
+    bins = "concat(counts, if(others > 0, array(named_struct('place', size(shares) - 1, 'n', others)), cast(array() as array<struct<place: int, n: int>>)))"
+    # A common word that the document lacks adds its whole share; all shares together are 1.
+    present = f"aggregate(transform({bins}, c -> named_struct('p', c.n / n_words, 'q', shares[c.place])), 0D, (a, c) -> a + {_part('c.p', 'c.q')} - c.q)"
     judged = (F.col("n_words") >= JUDGED_WORDS) & F.col("total").isNotNull()
     out = out.withColumn("chars", F.expr(chars))
     out = out.withColumns({"class_distance": F.when(judged, _distance(by_class)), "word_distance": F.when(judged, _distance(f"1 + {present}"))})
