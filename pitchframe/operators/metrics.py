@@ -3,16 +3,24 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from pitchframe.functions.binomial import multinomial_counts
 from pitchframe.functions.normal import add_normal_cdf
 from pitchframe.operators.aggregate import frequencies
 from pitchframe.operators.joins import lookup
+from pitchframe.operators.sampling import hashed_uniform
+from pitchframe.session import ship
 
 EPSILON = 2.220446049250313e-16
+DRAWS_PER_BLOCK = 250
 
 
 def log_loss(df: DataFrame, p_true: Column, out: str = "log_loss", epsilon: float = EPSILON) -> DataFrame:
@@ -79,6 +87,70 @@ def goodness_of_fit(
     return add_chi_square_tail(tests, "statistic", "dof")
 
 
+def repeated_goodness_of_fit(
+    observed: DataFrame,
+    shares: DataFrame,
+    by: Sequence[str],
+    category: str,
+    *,
+    count: str = "n",
+    share: str = "p",
+    draws: int = 1000,
+    level: float = 0.05,
+    u: Callable[[Column, Column], Column] | None = None,
+    seed: int = 0,
+) -> DataFrame:
+    """How often observed counts differ from counts drawn with the given class shares, per group.
+
+    Every draw distributes the group's rows over its classes and tests the
+    observed counts against that. Counts are drawn as a chain of binomial
+    quantiles, so a draw costs one step per class whatever the number of rows.
+    ``u(draw, position)`` gives the uniform numbers (hashed from the group by
+    default), so a repeated task draws the same counts. A class that a draw
+    leaves out although it was observed makes that draw differ. Classes are those
+    of ``shares``; an observed class without a share is drawn 0 times. Columns:
+    by, draws, different, share_different.
+    """
+    ship(observed.sparkSession)
+    cells = shares.select(*by, category, F.col(share).cast("double").alias("_p"))
+    seen = observed.select(*by, category, F.col(count).cast("long").alias("_o"))
+    both = cells.join(seen, [*by, category], "full_outer").fillna({"_p": 0.0, "_o": 0})
+    listed = F.sort_array(F.collect_list(F.struct(category, "_p", "_o"))).alias("_cells")
+    groups = both.groupBy(*by).agg(listed, F.sum("_o").alias("_n"), F.sum("_p").alias("_all")).where("_n > 0 AND _all > 0")
+    numbered = groups.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit((draws - 1) // DRAWS_PER_BLOCK)))).repartition(*by, "_block")
+    first = F.col("_block") * DRAWS_PER_BLOCK + 1
+    rows = numbered.withColumn("draw", F.explode(F.sequence(first, F.least(first + DRAWS_PER_BLOCK - 1, F.lit(draws)))))
+    number = u or (lambda draw, position: hashed_uniform(*by, draw, position, seed=seed))
+    rows = rows.select(
+        *by, "draw", "_n", F.col("_cells._p").alias("_p"), F.col("_cells._o").alias("_o"),
+        F.transform(F.sequence(F.lit(1), F.size("_cells")), lambda k: number(F.col("draw"), k)).alias("_u"),
+    )
+
+    def count_draws(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = np.array(pa.compute.list_value_length(batch.column("_p")).to_pylist(), np.int64)
+            drawn: list = [None] * len(sizes)
+            held = {name: batch.column(name).to_pylist() for name in ("_p", "_u", "_n")}
+            for size in np.unique(sizes):
+                at = np.flatnonzero(sizes == size)
+                take = lambda name: np.array([held[name][i] for i in at])  # noqa: B023, E731
+                for i, counts in zip(at, multinomial_counts(take("_u"), take("_n"), take("_p")), strict=True):
+                    drawn[i] = counts.tolist()
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(drawn, pa.list_(pa.int64()))], names=[*batch.schema.names, "_d"])
+
+    fields = [*rows.schema.fields, T.StructField("_d", T.ArrayType(T.LongType()))]
+    drawn = rows.mapInArrow(count_draws, T.StructType(fields))
+    pairs = F.filter(F.arrays_zip("_o", "_d"), lambda c: c["_o"] > 0)
+    term = lambda c: F.when(c["_d"] > 0, (c["_o"] - c["_d"]) ** 2 / c["_d"])
+    total = F.aggregate(pairs, F.lit(0.0), lambda a, c: a + term(c))
+    tests = drawn.select(*by, "draw", total.alias("_statistic"), (F.size(pairs) - 1).alias("_dof"))
+    tested = add_chi_square_tail(tests, "_statistic", "_dof", "_p_value")
+    # One class alone always agrees; a statistic without a value comes from a class that was not drawn.
+    differs = F.when(F.col("_statistic").isNull(), True).when(F.col("_dof") < 1, False).otherwise(F.col("_p_value") < level)
+    out = tested.groupBy(*by).agg(F.count(F.lit(1)).alias("draws"), F.count_if(differs).alias("different"))
+    return out.withColumn("share_different", F.col("different") / F.col("draws"))
+
+
 def contingency(df: DataFrame, sample: str, category: str) -> DataFrame:
     """Chi-square test of independence between two columns.
 

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pitchframe.operators.ordered import sort_columns, top_rows
+from pitchframe.operators import ordered
+from pitchframe.operators.ordered import Ordered, sort_columns, top_rows
 
 
 # -- filters ----------------------------------------------------------------
@@ -152,8 +153,24 @@ def latest_distinct(
 
 
 def bounded_cohort(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:
-    """The first ``n`` rows in a total order; runs as a per-partition top-n and one merge."""
-    return df.orderBy(*sort_columns(order)).limit(n)
+    """The first ``n`` rows in a total order.
+
+    A table beyond one task's rows is cut first: its rows are counted by the
+    first order column, and only rows up to the value that completes ``n`` are
+    sorted. So about ``n`` rows meet in the last task, not ``n`` from every task.
+    """
+    if df.count() <= ordered.ROWS_PER_TASK:
+        return df.orderBy(*sort_columns(order)).limit(n)
+    name, descending = order[0].lstrip("-"), order[0].startswith("-")
+    counts = df.groupBy(F.col(name).alias("_value")).agg(F.count(F.lit(1)).alias("_n"))
+    along = ["-_value"] if descending else ["_value"]
+    running = Ordered(counts, [], along).running_sum("_upto", "_n").build().where(F.col("_upto") - F.col("_n") < n)
+    last = F.min("_value") if descending else F.max("_value")
+    cut = running.agg(F.struct(last.alias("last"), F.max(F.col("_value").isNull()).alias("nulls"))).scalar()
+    near = df.withColumn("_cut", cut)
+    inside = F.col(name) >= F.col("_cut.last") if descending else F.col(name) <= F.col("_cut.last")
+    near = near.where(F.when(F.col(name).isNull(), F.col("_cut.nulls")).otherwise(inside)).drop("_cut")
+    return near.orderBy(*sort_columns(order)).limit(n)
 
 
 def closest_row(df: DataFrame, keys: Sequence[str], value: Column, target: float, position: Column) -> DataFrame:

@@ -51,6 +51,37 @@ def pitch_outcome_set(pitches: DataFrame, *, until: str | None = None, keep_null
     return rows.select("batter", *PITCH_KEY, *OUTCOME_FEATURES, "pitch_outcome")
 
 
+def training_sets(
+    wanted: DataFrame, rows: DataFrame, entity: str, cohort: DataFrame, *, default: object = -1
+) -> tuple[DataFrame, DataFrame]:
+    """Which rows each wanted entity trains on, and those rows.
+
+    Returns ``(entity, training_set)``, the entity itself or ``default`` where it
+    has no rows, and all rows under their ``training_set``: the cohort is there
+    once, however many entities fall back to it.
+    """
+    known = rows.select(F.col(entity).alias("_known")).distinct()
+    kind = rows.schema[entity].dataType
+    sets = wanted.select(entity).distinct().join(known, F.col(entity) == F.col("_known"), "left")
+    sets = sets.select(entity, F.coalesce("_known", F.lit(default).cast(kind)).alias("training_set"))
+    own = rows.join(wanted.select(entity).distinct(), entity, "left_semi").withColumn("training_set", F.col(entity))
+    return sets, own.unionByName(cohort.withColumn("training_set", F.lit(default).cast(kind)))
+
+
+def pitch_outcome_training(pitches: DataFrame, batters: DataFrame, *, until: str | None = None, limit: int = COHORT_PITCHES) -> tuple[DataFrame, DataFrame]:
+    """Outcome training sets of the given batters; one without pitches takes the default cohort's."""
+    complete = as_of(require_all(pitches, OUTCOME_FEATURES), date="game_date", until=until)
+    cohort = pitch_outcome_set(default_cohort(complete, limit))
+    return training_sets(batters, pitch_outcome_set(pitches, until=until), "batter", cohort)
+
+
+def hit_characteristic_training(pitches: DataFrame, batters: DataFrame, *, until: str | None = None, limit: int = COHORT_HITS) -> tuple[DataFrame, DataFrame]:
+    """Ball-in-play training sets of the given batters; one without any takes the default cohort's."""
+    hits = as_of(pitches, date="game_date", until=until).where(F.col("description") == "hit_into_play")
+    cohort = hit_characteristic_set(default_cohort(require_all(hits, ["launch_speed", "launch_angle", "hc_x", "hc_y"]), limit))
+    return training_sets(batters, hit_characteristic_set(pitches, until=until), "batter", cohort)
+
+
 def arsenals(pitches: DataFrame, n: int = ARSENAL_PITCHES) -> DataFrame:
     """Pitch types among each pitcher's latest ``n`` pitches outside exhibition games."""
     rows = exclude(exclude(pitches, "pitch_type", ["PO"]), "game_type", ["E", "S"])

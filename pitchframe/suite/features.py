@@ -163,3 +163,40 @@ def hit_class_rows(spark, folder):
 def hit_characteristics(spark, folder):
     built = feat.hit_characteristic_set(pitches(spark, folder), until="2024-01-25").drop("game_date")
     return built.withColumn("spray_angle", plain(F.col("spray_angle"), 0))
+
+
+@register(
+    "M7 T3 P9",
+    f"""WITH {PITCH_SQL},
+    w AS (SELECT c_custkey AS batter FROM customer WHERE c_custkey % 5 = 0),
+    t AS (SELECT *, CASE WHEN description IN ('called_strike', 'foul_tip', 'foul', 'ball', 'blocked_ball', 'hit_by_pitch', 'hit_into_play') THEN 1 END AS target FROM pitches
+          WHERE release_speed IS NOT NULL AND release_spin_rate IS NOT NULL),
+    c AS (SELECT count(target) AS n FROM (SELECT * FROM t WHERE stand = 'R' AND sz_top BETWEEN 3.3E0 AND 3.5E0 AND sz_bot BETWEEN 1.5E0 AND 1.7E0
+          ORDER BY game_date, game_pk, at_bat_number, pitch_number LIMIT 60)),
+    o AS (SELECT batter, count(*) AS n FROM t WHERE target = 1 GROUP BY 1)
+    SELECT w.batter, CASE WHEN o.batter IS NULL THEN -1 ELSE w.batter END AS training_set, coalesce(o.n, (SELECT n FROM c)) AS n FROM w LEFT JOIN o ON w.batter = o.batter""",
+)
+def outcome_training_sets(spark, folder):
+    """What batters train on: their own pitches, or the default cohort where they have none."""
+    batters = read_table(spark, folder, "customer").where("c_custkey % 5 = 0").select(F.col("c_custkey").alias("batter"))
+    sets, rows = feat.pitch_outcome_training(pitches(spark, folder), batters, limit=60)
+    sizes = rows.groupBy("training_set").agg(F.count(F.lit(1)).alias("n"))
+    return sets.join(sizes, "training_set").select("batter", "training_set", "n")
+
+
+@register(
+    "M10 T3 P9",
+    f"""WITH {PITCH_SQL},
+    w AS (SELECT c_custkey AS batter FROM customer WHERE c_custkey % 5 = 0),
+    t AS (SELECT * FROM pitches WHERE description = 'hit_into_play' AND launch_speed IS NOT NULL AND launch_angle IS NOT NULL),
+    c AS (SELECT avg(launch_speed) AS m FROM (SELECT * FROM t WHERE stand = 'R' AND sz_top BETWEEN 3.3E0 AND 3.5E0 AND sz_bot BETWEEN 1.5E0 AND 1.7E0
+          ORDER BY game_date, game_pk, at_bat_number, pitch_number LIMIT 25)),
+    o AS (SELECT batter, avg(launch_speed) AS m FROM t GROUP BY 1)
+    SELECT w.batter, round(coalesce(o.m, (SELECT m FROM c)), 6) AS launch_speed FROM w LEFT JOIN o ON w.batter = o.batter""",
+)
+def hit_training_sets(spark, folder):
+    """Mean launch speed of what batters train on."""
+    batters = read_table(spark, folder, "customer").where("c_custkey % 5 = 0").select(F.col("c_custkey").alias("batter"))
+    sets, rows = feat.hit_characteristic_training(pitches(spark, folder), batters, limit=25)
+    means = rows.groupBy("training_set").agg(F.round(F.avg("launch_speed"), 6).alias("launch_speed"))
+    return sets.join(means, "training_set", "left").select("batter", "launch_speed")

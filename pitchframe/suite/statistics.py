@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from pitchframe.functions.numbers import plain
 from pitchframe.operators import encode, metrics, sampling, synth
-from pitchframe.operators.aggregate import frequencies
+from pitchframe.operators.aggregate import conditional_distribution, frequencies
 from pitchframe.operators.standardize import min_max_scale, standard_scale
 from pitchframe.sources.tables import read_table
 from pitchframe.suite import register
@@ -170,6 +170,50 @@ def goodness_of_fit_p_values(spark, folder):
     return test.select(F.round("statistic", 6).alias("statistic"), "dof", F.round("p_value", 9).alias("p_value"))
 
 
+def _chain_sql(classes: int) -> str:
+    """Counts drawn class by class: the first count whose cumulative binomial probability reaches the draw's number."""
+    steps = []
+    for j in range(1, classes):
+        steps.append(
+            f"""t{j} AS (SELECT DISTINCT d.g, d.left_n, c.p / c.rest AS share FROM d{j - 1} d JOIN cells c ON c.g = d.g AND c.j = {j}),
+            q{j} AS (SELECT g, left_n, k, sum(exp(lgamma(left_n + 1) - lgamma(k + 1) - lgamma(left_n - k + 1) + k * ln(share) + (left_n - k) * ln(1 - share)))
+                OVER (PARTITION BY g, left_n ORDER BY k) AS upto FROM (SELECT *, unnest(range(left_n + 1)) AS k FROM t{j})),
+            d{j} AS (SELECT d.*  EXCLUDE (left_n), q.k AS k{j}, d.left_n - q.k AS left_n FROM d{j - 1} d ASOF JOIN q{j} q
+                ON d.g = q.g AND d.left_n = q.left_n AND {_draw_number("draw", j)} <= q.upto)"""
+        )
+    return ",\n".join(steps)
+
+
+def _draw_number(draw, position):
+    """An arithmetic number in (0, 1) for both engines."""
+    return f"((({draw}) * 104729 + ({position}) * 1299709) % 1000003 + 0.5E0) / 1000003"
+
+
+_TYPES_SQL = "SELECT user_id % 3 AS g, event_type, count(*) AS n FROM events WHERE ts {sign} TIMESTAMP '" + _CUT + "' GROUP BY ALL"
+
+
+@register(
+    "M19",
+    f"""WITH e AS ({_TYPES_SQL.format(sign="<")}), o AS ({_TYPES_SQL.format(sign=">=")}),
+    cells AS (SELECT e.g, e.event_type, row_number() OVER w AS j, e.n / sum(e.n) OVER (PARTITION BY e.g) AS p, coalesce(o.n, 0) AS o,
+        sum(e.n) OVER (PARTITION BY e.g ORDER BY e.event_type ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) / sum(e.n) OVER (PARTITION BY e.g) AS rest
+      FROM e LEFT JOIN o ON e.g = o.g AND e.event_type = o.event_type WINDOW w AS (PARTITION BY e.g ORDER BY e.event_type)),
+    d0 AS (SELECT g, draw, left_n FROM (SELECT g, CAST(sum(o) AS BIGINT) AS left_n FROM cells GROUP BY g), (SELECT unnest(range(1, 1001)) AS draw)),
+    {_chain_sql(5)},
+    long AS (SELECT g, draw, unnest([k1, k2, k3, k4, left_n]) AS d, unnest([1, 2, 3, 4, 5]) AS j FROM d4),
+    x AS (SELECT l.g, draw, sum((o - d) ** 2 / d) AS x, count(*) FILTER (d = 0) AS none FROM long l JOIN cells c ON l.g = c.g AND l.j = c.j WHERE o > 0 GROUP BY ALL)
+    SELECT g, count(*) AS draws, count(*) FILTER (none > 0 OR exp(-x / 2) * (1 + x / 2) < 0.05) AS different,
+      count(*) FILTER (none > 0 OR exp(-x / 2) * (1 + x / 2) < 0.05) / count(*) AS share_different FROM x GROUP BY g""",
+)
+def repeated_goodness_of_fit(spark, folder):
+    """How many of 1000 drawn samples of the later events differ from the observed ones, with arithmetic uniform numbers."""
+    events = read_table(spark, folder, "events").withColumn("g", F.col("user_id") % 3)
+    count = lambda rows: rows.groupBy("g", "event_type").agg(F.count(F.lit(1)).alias("n"))
+    shares = conditional_distribution(events.where(_before_cut()), ["g"], ["event_type"])
+    number = lambda draw, position: ((draw * 104729 + position * 1299709) % 1000003 + 0.5) / 1000003.0
+    return metrics.repeated_goodness_of_fit(count(events.where(~_before_cut())), shares, ["g"], "event_type", u=number)
+
+
 @register(
     "M20",
     f"""WITH c AS (SELECT ts < TIMESTAMP '{_CUT}' AS early, event_type, count(*) AS o FROM events GROUP BY ALL),
@@ -247,11 +291,34 @@ def tophat_log_density_by_flag(spark, folder):
     return dens.withColumn("log_density", F.round("log_density", 6))
 
 
-@register("M25")
+@register(
+    "M25",
+    """WITH f AS (SELECT CASE WHEN event_id = 0 THEN 1e6 ELSE value END AS x, CAST(floor((row_number() OVER (ORDER BY ts, event_id) - 1) * 5.0E0 / count(*) OVER ()) AS INTEGER) AS fold FROM events),
+    c AS (SELECT fold, x, count(*) AS n FROM f GROUP BY ALL), t AS (SELECT unnest([0.5E0, 1.0E0, 2.0E0, 5.0E0, 10.0E0]) AS bandwidth),
+    s AS (SELECT fold, sum(n) AS held FROM c GROUP BY fold),
+    d AS (SELECT bandwidth, a.fold, a.x, any_value(a.n) AS n, sum(b.n * exp(-((a.x - b.x) ** 2) / (2 * bandwidth ** 2)) / (bandwidth * sqrt(2 * pi()))) AS d
+          FROM t, c a JOIN c b ON a.fold <> b.fold GROUP BY ALL)
+    SELECT bandwidth, round(sum(n * ln(greatest(d / ((SELECT sum(n) FROM c) - held), 1e-300))) / sum(n), 2) AS mean_log_likelihood FROM d JOIN s USING (fold) GROUP BY bandwidth""",
+)
 def bandwidth_choice(spark, folder):
-    """Held-out log likelihood of the event value for several kernel widths."""
+    """Held-out log likelihood of the event value, one of them far off, for several kernel widths."""
     events = read_table(spark, folder, "events")
-    return synth.bandwidth_scores(events, "value", [0.5, 1.0, 2.0, 5.0, 10.0], ["ts", "event_id"])
+    events = events.withColumn("value", F.when(F.col("event_id") == 0, 1e6).otherwise(F.col("value")))
+    scores = synth.bandwidth_scores(events, "value", [0.5, 1.0, 2.0, 5.0, 10.0], ["ts", "event_id"])
+    return scores.withColumn("mean_log_likelihood", F.round("mean_log_likelihood", 2))
+
+
+@register(
+    "M25",
+    """SELECT p_partkey, round(ln(sum(exp(-((value - p_size) ** 2 + (k - p_partkey % 90) ** 2) / (2.0E0 * 2.0E0 ** 2))) / (count(*) * 2 * pi() * 2.0E0 ** 2)), 5) AS log_density
+       FROM part, (SELECT value, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k FROM events) e GROUP BY p_partkey""",
+)
+def event_density_at_parts(spark, folder):
+    """Density of the events at points that are rows of another table."""
+    events = read_table(spark, folder, "events").select("value", F.get_json_object("props", "$.k").cast("double").alias("k"))
+    points = read_table(spark, folder, "part").select("p_partkey", F.col("p_size").alias("value"), (F.col("p_partkey") % 90).alias("k"))
+    dens = synth.log_density_at(events, ["value", "k"], points, ["p_partkey"], bandwidth=2.0)
+    return dens.withColumn("log_density", F.round("log_density", 5))
 
 
 _COLUMNS = ["l_quantity", "l_extendedprice", "l_discount"]
