@@ -156,6 +156,23 @@ class Boosted(ClassScores):
     rounds: list[list[Tree]] = field(default_factory=list)
     gains: np.ndarray | None = None
 
+    def document(self) -> dict:
+        """Everything a copy needs, as plain values."""
+        trees = [[{k: v.tolist() for k, v in vars(t).items()} for t in trees] for trees in self.rounds]
+        cuts = {c: v.tolist() for c, v in self.binning.cuts.items()}
+        binning = {"numeric": self.binning.numeric, "text": self.binning.text, "cuts": cuts, "values": self.binning.values}
+        gains = None if self.gains is None else self.gains.tolist()
+        own = {"target": self.target, "classes": self.classes, "first": self.first.tolist(), "setting": vars(self.setting)}
+        return own | {"binning": binning, "rounds": trees, "gains": gains}
+
+    @classmethod
+    def from_document(cls, stored: Mapping) -> Boosted:
+        kept = stored["binning"]
+        binning = Binning(kept["numeric"], kept["text"], {c: np.array(v, np.float64) for c, v in kept["cuts"].items()}, kept["values"])
+        rounds = [[Tree(*[np.array(t[k]) for k in ("feature", "cut", "missing_left", "value")]) for t in trees] for trees in stored["rounds"]]
+        gains = None if stored["gains"] is None else np.array(stored["gains"])
+        return cls(stored["target"], stored["classes"], binning, np.array(stored["first"]), Setting(**stored["setting"]), rounds, gains)
+
     def raw(self, bins: np.ndarray, rounds: Sequence[list[Tree]] | None = None) -> np.ndarray:
         out = np.tile(self.first, (len(bins), 1)) if rounds is None else np.zeros((len(bins), len(self.classes)))
         for trees in self.rounds if rounds is None else rounds:

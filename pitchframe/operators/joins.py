@@ -26,7 +26,7 @@ def only_new(
     look_back_days: int = 2,
     high_water: object = None,
 ) -> DataFrame:
-    """Incoming rows whose key is not stored yet, once per key.
+    """Incoming rows whose key is not stored yet, once per key: of rows that repeat a key, the one with the smallest values.
 
     With ``date`` and ``high_water`` only stored keys strictly later than
     ``high_water - look_back_days`` are read, which prunes the stored side.
@@ -35,7 +35,16 @@ def only_new(
         edge = F.date_sub(F.lit(high_water).cast("date"), look_back_days)
         stored = stored.where(F.col(date) > edge.cast(stored.schema[date].dataType))
     keys = stored.select(*key)
-    return incoming.join(keys, list(key), "left_anti").dropDuplicates(list(key))
+    return first_of_key(incoming.join(keys, list(key), "left_anti"), key)
+
+
+def first_of_key(df: DataFrame, key: Sequence[str]) -> DataFrame:
+    """One row per key, the one with the smallest other values, whatever order the rows come in."""
+    rest = [c for c in df.columns if c not in key]
+    if not rest:
+        return df.distinct()
+    picked = df.groupBy(*key).agg(F.min(F.struct(*rest)).alias("_row"))
+    return picked.select(*key, "_row.*").select(*df.columns)
 
 
 def merge_sides(left: DataFrame, right: DataFrame, key: Sequence[str], out: str = "side") -> DataFrame:
