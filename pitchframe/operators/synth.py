@@ -7,7 +7,7 @@ again.
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -36,18 +36,21 @@ def numbered(groups: DataFrame, keys: Sequence[str], n: int, out: str = "sample"
 
 
 def ball_samples(
-    df: DataFrame, keys: Sequence[str], columns: Sequence[str], n: int, *, bandwidth: float = BANDWIDTH, seed: int = 0
+    df: DataFrame, keys: Sequence[str], columns: Sequence[str], n: int, *, bandwidth: float = BANDWIDTH, seed: int = 0,
+    uniform: Callable[[str], Column] | None = None,
 ) -> DataFrame:
     """``n`` draws per group from a top-hat kernel density over the columns.
 
     A draw is a random row of the group plus a point from the ball of radius
     ``bandwidth``: a normal direction, and a radius that fills the volume evenly.
+    ``uniform`` gives the numbers behind a draw by name (``row``, ``radius`` and
+    each column); they are hashed by default.
     """
     rows = df.dropna(how="any", subset=[*keys, *columns]).select(*keys, *[F.col(c).cast("double").alias(c) for c in columns])
     placed = Ordered(rows, keys, columns).row_number("_at").build()
     sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     draws = numbered(sizes, keys, n)
-    u = lambda name: hashed_uniform(*keys, "sample", F.lit(name), seed=seed)
+    u = uniform or (lambda name: hashed_uniform(*keys, "sample", F.lit(name), seed=seed))
     draws = draws.withColumn("_at", (F.floor(u("row") * F.col("_n")) + 1).cast("long"))
     picked = draws.join(placed, [*keys, "_at"])
     for c in columns:

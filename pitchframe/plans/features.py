@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pitchframe.functions.categories import OUTCOME_CLASSES, PITCH_CLASSES, choose, collapse, has_class, presence
 from pitchframe.functions.numbers import spray_angle
 from pitchframe.operators.joins import lookup
-from pitchframe.operators.ordered import Ordered
+from pitchframe.operators.ordered import Ordered, written
 from pitchframe.operators.shape import as_of, bounded_cohort, exclude, in_ranges, latest_distinct, require_all
 from pitchframe.operators.standardize import fill_with_mean
 from pitchframe.plans.scores import wide_scores
@@ -111,9 +111,9 @@ def pitch_sequence_set(
         "on_1b", "on_2b", "on_3b",
     ]
     rows = rows.select(*base).withColumns({b: presence(b) for b in ("on_1b", "on_2b", "on_3b")})
-    # At-bats follow each other in a pitcher's game, so one order serves both columns.
+    # At-bats follow each other in a pitcher's game, so one order serves both columns. A pitcher's game is a few hundred rows.
     rows = (
-        Ordered(rows, ["game_pk", "pitcher"], ["at_bat_number", "pitch_number"])
+        Ordered(rows, ["game_pk", "pitcher"], ["at_bat_number", "pitch_number"], bounded=True)
         .lag("_pitch", "pitch_type")
         .lag("_at_bat", "at_bat_number")
         .row_number("cumulative_pitch_number")
@@ -169,7 +169,8 @@ def hit_class_set(
         {"game_year": "year", "fielding_team": "team"},
         ["oaa_rhh_standardized", "oaa_lhh_standardized"],
     )
-    rows = fill_with_mean(rows, "speed", ["venue_id"])
+    # The joined rows are used twice, for the means and for themselves.
+    rows = fill_with_mean(written(rows, "balls-in-play"), "speed", ["venue_id"])
     rows = rows.withColumn("oaa", choose(F.col("stand") == "R", "oaa_rhh_standardized", "oaa_lhh_standardized"))
     return rows.select(
         "venue_id", *PITCH_KEY, "simplified_outcome", "game_year", "outs_when_up", "stand", "on_1b", "on_2b", "on_3b",

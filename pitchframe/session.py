@@ -8,7 +8,8 @@ import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Observation, SparkSession
 
 # Runtime re-planning does the work of hand tuning: it coalesces small shuffle
 # partitions, turns joins with a small measured side into broadcast joins and
@@ -64,3 +65,15 @@ def ship(spark: SparkSession) -> None:
                 file.write(path, os.path.relpath(path, os.path.dirname(root)))
     context.addPyFile(archive)
     context._pitchframe_shipped = True
+
+
+def observed(observation: Observation, *names: str) -> dict[str, int]:
+    """The counts of an observation whose action has ended.
+
+    A plan that turns out to have no rows may be replaced by an empty one, which
+    counts nothing at all: all of ``names`` are 0 then.
+    """
+    try:
+        return dict(observation.get)
+    except Py4JJavaError:
+        return dict.fromkeys(names, 0)

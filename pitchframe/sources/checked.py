@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pitchframe.session import observed
+
 # Texts that stand for a missing number or date in exported files.
 MISSING = ["", "NaN", "nan", "null", "NULL", "None"]
 PROBLEM = "array<struct<column:string,value:string,reason:string>>"
@@ -159,7 +161,7 @@ def load(source: Checked, target: str, partition_by: Sequence[str] = (), mode: s
     out = counted.drop("names").withColumn("state", state)
     parts = ["state", *partition_by]
     out.hint("rebalance", *[F.col(c) for c in parts]).write.mode(mode).partitionBy(*parts).parquet(target)
-    return {name: n for name, n in seen.get.items() if n or name in ("read", "rejected")}
+    return {name: n for name, n in observed(seen, "read", "rejected").items() if n or name in ("read", "rejected")}
 
 
 def accepted(df: DataFrame, target: str) -> DataFrame:

@@ -20,6 +20,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from pitchframe.operators.aggregate import attach
 from pitchframe.operators.state import COUNT_SUMS, count_sums, finish_count
+from pitchframe.session import observed
 from pitchframe.streaming.ingest import stored_rows
 
 GENERATION = 50
@@ -90,7 +91,7 @@ def count_batch(
             untouched = attach(_open(carried, horizon), fresh.select(*at_bat).distinct(), at_bat, "left_anti")
             fresh = fresh.unionByName(untouched)
         fresh.write.mode("overwrite").parquet(f"{state}/generation={current}/batch={number}")
-        return {"carried": before, **seen.get}
+        return {"carried": before, **observed(seen, "rows", "out_of_order")}
     finally:
         sums.unpersist()
         if carried is not None:

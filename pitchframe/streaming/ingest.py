@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from pitchframe.operators.joins import first_of_key, only_new
+from pitchframe.session import observed
 from pitchframe.sources.tables import append_rows
 
 LOOK_BACK_DAYS = 2
@@ -112,7 +113,7 @@ def append_batch(
                 counts["late"] = batch.where(F.col(date) < F.lit(mark)).count()
         seen = Observation()
         append_rows(fresh.observe(seen, F.count(F.lit(1)).alias("n")), target, partition_by)
-        counts["appended"] = seen.get["n"]
+        counts["appended"] = observed(seen, "n")["n"]
         return counts
     finally:
         batch.unpersist()

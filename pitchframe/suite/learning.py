@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pitchframe.operators import boosting, metrics, models
 from pitchframe.operators.encode import balance_classes
 from pitchframe.operators.split import ordered_split
+from pitchframe.operators.standardize import standard_scale
 from pitchframe.plans.features import pitch_outcome_set
 from pitchframe.plans.scores import contact_scores, strike_scores, strike_zones
 from pitchframe.sources.tables import read_table
@@ -30,6 +31,24 @@ def strike_zone_clusters(spark, folder):
     return models.cluster(zones, ["sz_top", "sz_bot"], 10, seed=1).select("batter", "cluster")
 
 
+@register(
+    "M6 A1 M4",
+    f"""WITH {PITCH_SQL} SELECT batter, true AS is_nearest FROM pitches WHERE sz_top IS NOT NULL AND sz_bot IS NOT NULL GROUP BY batter""",
+)
+def strike_zone_centres(spark, folder):
+    """Every batter's zone is nearest to the mean of its own cluster, in standardised columns."""
+    names = ["sz_top", "sz_bot"]
+    found = standard_scale(models.cluster(strike_zones(pitches(spark, folder), digits=None), names, 10, seed=1), names)
+    scaled = [f"{c}_scaled" for c in names]
+    centres = found.groupBy("cluster").agg(*[F.avg(c).alias(c) for c in scaled])
+    listed = centres.agg(F.collect_list(F.struct("cluster", *scaled))).scalar()  # ten entries
+    far = lambda c: F.pow(F.col(scaled[0]) - c[scaled[0]], 2) + F.pow(F.col(scaled[1]) - c[scaled[1]], 2)
+    placed = found.withColumn("_centres", listed)
+    least = F.array_min(F.transform("_centres", far))
+    own = F.filter("_centres", lambda c: c["cluster"] == F.col("cluster"))
+    return placed.select("batter", (far(F.get(own, F.lit(0))) <= least + 1e-9).alias("is_nearest"))
+
+
 @register("M11 M15")
 def pitch_outcome_probabilities(spark, folder):
     """Class probabilities of the later fifth of the pitches, one row per pitch and class."""
@@ -163,17 +182,38 @@ def cross_validated_search(spark, folder):
     return spark.createDataFrame([(str(sorted(s.items())), m) for s, m in results], "setting string, log_loss double")
 
 
-@register("M18 M17 M11")
+_LATER_SQL = f"""p AS (SELECT game_pk, at_bat_number, pitch_number, game_date, {_OUTCOME_SQL} AS c FROM pitches
+      WHERE release_speed IS NOT NULL AND release_spin_rate IS NOT NULL AND plate_x IS NOT NULL AND plate_z IS NOT NULL AND p_throws IS NOT NULL),
+    o AS (SELECT *, row_number() OVER (ORDER BY game_date, game_pk, at_bat_number, pitch_number) > count(*) OVER () - ceil(count(*) OVER () * 0.2E0) AS later FROM p WHERE c IS NOT NULL)"""
+
+
+@register(
+    "M11 M15",
+    f"""WITH {PITCH_SQL}, {_LATER_SQL} SELECT game_pk, at_bat_number, pitch_number, CAST(5 AS BIGINT) AS classes, 1.0E0 AS total FROM o WHERE later""",
+)
+def pitch_outcome_totals(spark, folder):
+    """The class probabilities of every later pitch add up to one."""
+    keys = ["game_pk", "at_bat_number", "pitch_number"]
+    inside = F.count_if(F.col("probability").between(0, 1)).alias("classes")
+    return pitch_outcome_probabilities(spark, folder).groupBy(*keys).agg(inside, F.round(F.sum("probability"), 9).alias("total"))
+
+
+@register(
+    "M18 M17 M11",
+    f"""WITH {PITCH_SQL}, {_LATER_SQL},
+    b AS (SELECT c, count(*) / (SELECT count(*) FROM o WHERE NOT later) AS p FROM o WHERE NOT later GROUP BY c)
+    SELECT count(*) AS n, round(sum(ln(greatest(coalesce(p, 1e-15), 1e-15))), 4) AS baseline_log_likelihood, true AS model_is_better FROM o LEFT JOIN b ON o.c = b.c WHERE later""",
+)
 def model_against_baseline(spark, folder):
-    """Log likelihood of the classifier and of the training frequencies on the later pitches."""
+    """Log likelihood of the training frequencies on the later pitches, and whether the classifier's is higher."""
     train, test = _split(spark, folder)
     fitted = models.fit_classifier(train, _TARGET, _NUMERIC, ["p_throws"])
     scored = metrics.with_baseline_probability(train, fitted.with_true_probability(test), _TARGET)
     floor = F.lit(1e-15)
+    likelihood = lambda p: F.sum(F.log(F.greatest(p, floor)))
+    base = likelihood("p_baseline")
     return scored.agg(
-        F.sum(F.log(F.greatest("p_true", floor))).alias("model_log_likelihood"),
-        F.sum(F.log(F.greatest("p_baseline", floor))).alias("baseline_log_likelihood"),
-        F.count(F.lit(1)).alias("n"),
+        F.count(F.lit(1)).alias("n"), F.round(base, 4).alias("baseline_log_likelihood"), (likelihood("p_true") > base).alias("model_is_better")
     )
 
 
@@ -196,13 +236,22 @@ def regression_quality(spark, folder):
     return reports[0].unionByName(reports[1])
 
 
-@register("M23")
+@register(
+    "M23",
+    """WITH m AS (SELECT avg(l_extendedprice) AS my, stddev_pop(l_extendedprice) AS sy, avg(l_quantity) AS ma, stddev_pop(l_quantity) AS sa, avg(l_discount) AS mb, stddev_pop(l_discount) AS sb,
+           corr(l_extendedprice, l_quantity) AS ya, corr(l_extendedprice, l_discount) AS yb, corr(l_quantity, l_discount) AS ab, 1 + 0.1E0 / stddev_pop(l_extendedprice) AS d FROM lineitem),
+    w AS (SELECT *, (ya * d - ab * yb) / (d * d - ab * ab) * sy / sa AS wa, (yb * d - ab * ya) / (d * d - ab * ab) * sy / sb AS wb FROM m),
+    h AS (SELECT l_orderkey, l_linenumber, l_extendedprice, my + wa * (l_quantity - ma) + wb * (l_discount - mb) AS y FROM lineitem, w)
+    SELECT l_orderkey, l_linenumber, l_extendedprice, round(y, 3) AS l_extendedprice_hat, round(l_extendedprice - y, 3) AS l_extendedprice_residual FROM h""",
+)
 def price_residuals(spark, folder):
+    """Ridge regression, the same as the normal equations of standardised columns give it."""
     lines = read_table(spark, folder, "lineitem")
     features = ["l_quantity", "l_discount"]
     fitted = models.fit_regressors(lines, ["l_extendedprice"], features, "ridge", regParam=0.1)
     scored = models.residuals(lines, fitted, features)
-    return scored.select("l_orderkey", "l_linenumber", "l_extendedprice", "l_extendedprice_hat", "l_extendedprice_residual")
+    rounded = [F.round(c, 3).alias(c) for c in ("l_extendedprice_hat", "l_extendedprice_residual")]
+    return scored.select("l_orderkey", "l_linenumber", "l_extendedprice", *rounded)
 
 
 @register("M11 M22")

@@ -41,6 +41,27 @@ def incremental_batch(spark, folder):
     return stored.unionByName(fresh).select("event_id", "event_type")
 
 
+@register(
+    "X1 J1",
+    """WITH e AS (SELECT *, CASE WHEN value < 10 THEN ts - INTERVAL 2 YEAR ELSE ts END AS moved FROM events),
+       m AS (SELECT max(moved) AS mark FROM e WHERE moved >= TIMESTAMP '2024-01-10')
+       SELECT 0 AS batch, 2 * count(*) AS arrived, CAST(0 AS BIGINT) AS late, count(*) AS appended FROM e WHERE moved >= TIMESTAMP '2024-01-10'
+       UNION ALL SELECT 1, count(*), count(*) FILTER (moved < (SELECT mark FROM m)), count(*) FILTER (moved < TIMESTAMP '2024-01-10') FROM e
+       UNION ALL SELECT 2, count(*), count(*) FILTER (moved < (SELECT mark FROM m)), 0 FROM e""",
+)
+def late_batches(spark, folder):
+    """What three batches met: rows that come twice, rows of days and of a year long stored, and a batch that came before."""
+    target = f"{shared_dir(spark, 'late')}/table"
+    moved = F.when(F.col("value") < 10, F.col("ts") - F.expr("INTERVAL 2 YEARS")).otherwise(F.col("ts"))
+    events = read_table(spark, folder, "events").withColumn("at", moved).withColumn("day", F.date_format("at", "yyyy-MM-dd"))
+    recent = events.where(F.col("at") >= F.lit("2024-01-10").cast("timestamp_ntz"))
+    rows = []
+    for number, batch in enumerate((recent.unionByName(recent), events, events)):
+        seen = ingest.append_batch(batch, target, ["event_id"], "at", ["day"])
+        rows.append((number, seen["arrived"], seen["late"], seen["appended"]))
+    return spark.createDataFrame(rows, "batch int, arrived long, late long, appended long")
+
+
 @register("X2 W12", SQL[running_counts.__name__])
 def streamed_counts(spark, folder):
     work = shared_dir(spark, "counts")

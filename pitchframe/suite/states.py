@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import functions as F
 
 from pitchframe.functions.categories import OUTCOME_CLASSES, collapse
 from pitchframe.operators import markets, state
+from pitchframe.plans.classifiers import stored_transitions
 from pitchframe.plans.transitions import transition_table
+from pitchframe.session import shared_dir
+from pitchframe.sources.registry import TABLE_DAYS
+from pitchframe.sources.store import Store
 from pitchframe.sources.tables import read_table
-from pitchframe.suite import register
+from pitchframe.suite import SQL, register
 from pitchframe.suite.standin import PITCH_SQL, pitches
 
 _OUTCOME = """CASE WHEN events IN ('single', 'double', 'triple', 'home_run', 'field_out', 'triple_play', 'fielders_choice') THEN events
@@ -37,6 +43,15 @@ def transition_probabilities(spark, folder):
     return transition_table(pitches(spark, folder)).withColumn("p", F.round("p", 6))
 
 
+@register("G1 S11 S12", SQL[transition_probabilities.__name__])
+def stored_transition_probabilities(spark, folder):
+    """The table as a second caller gets it: fitted and stored by the first, read back while it is valid."""
+    store, rows, today = Store(spark, shared_dir(spark, "store")), pitches(spark, folder), datetime.date(2024, 5, 1)
+    stored_transitions(store, today, rows)
+    again = stored_transitions(store, today + datetime.timedelta(days=TABLE_DAYS), rows.limit(0))
+    return again.withColumn("p", F.round("p", 6))
+
+
 @register(
     "A10 G1",
     """WITH t AS (SELECT event_type AS before, lead(event_type, 1, 'END') OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) AS after FROM events),

@@ -324,6 +324,23 @@ def event_density_at_parts(spark, folder):
 _COLUMNS = ["l_quantity", "l_extendedprice", "l_discount"]
 
 
+@register(
+    "M24",
+    """WITH r AS (SELECT l_returnflag, l_quantity, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_quantity) AS at, count(*) OVER (PARTITION BY l_returnflag) AS n FROM lineitem),
+    d AS (SELECT sample, ((sample * 7919) % 10007 + 0.5E0) / 10007 AS a, ((sample * 104729) % 10007 + 0.5E0) / 10007 AS b, ((sample * 1299709) % 10007 + 0.5E0) / 10007 AS c
+          FROM (SELECT unnest(range(1, 501)) AS sample)),
+    n AS (SELECT DISTINCT l_returnflag, n FROM r)
+    SELECT n.l_returnflag, CAST(sample AS BIGINT) AS sample, round(l_quantity + CASE WHEN c >= 0.5 THEN b ELSE -b END * 0.4E0, 6) AS l_quantity
+    FROM d, n JOIN r ON r.l_returnflag = n.l_returnflag AND r.at = CAST(floor(a * n.n) AS BIGINT) + 1""",
+)
+def resampled_quantities(spark, folder):
+    """500 draws per flag from a top-hat kernel, from arithmetic uniform numbers."""
+    factor = {"row": 7919, "radius": 104729, "l_quantity": 1299709}
+    number = lambda name: ((F.col("sample") * factor[name]) % 10007 + 0.5) / 10007.0
+    drawn = synth.ball_samples(read_table(spark, folder, "lineitem"), ["l_returnflag"], ["l_quantity"], 500, bandwidth=0.4, uniform=number)
+    return drawn.withColumn("l_quantity", F.round("l_quantity", 6))
+
+
 @register("M26 W7 F9 A15 M27")
 def copula_lines(spark, folder):
     return synth.copula_samples(read_table(spark, folder, "lineitem"), _COLUMNS, 5000, seed=11)
