@@ -12,6 +12,7 @@ again, so the walk is linear and gives the ids of the merges exactly.
 from __future__ import annotations
 
 import base64
+import hashlib
 from functools import lru_cache
 
 import pyarrow as pa
@@ -21,6 +22,7 @@ from pitchframe.llm.common import map_arrow, texts
 from pitchframe.llm.vocabularies import Memo, encoder, id_bytes
 
 PAIRS = 250_000
+PARTS = 500_000
 
 
 class ByteBpe:
@@ -53,7 +55,7 @@ class ByteBpe:
         self.compatible = Memo(lambda pair: self._compatible(divmod(pair, len(ranks))), PAIRS)
         self.ranks = len(ranks)
         self.matches = Memo(lambda match: id_bytes(self.encode_match(match.encode())), 100_000)
-        self.parts = Memo(self._part)
+        self.parts = Memo(self._part, PARTS)
 
     def _learn(self, token: bytes) -> None:
         """Find the two tokens whose merge makes ``token``."""
@@ -95,8 +97,8 @@ class ByteBpe:
                 left = inner
 
     def _part(self, part: str) -> bytes:
-        if part.isascii() and part.isalpha():  # one match, whatever follows
-            return self.matches[" " + part]
+        if part.isascii() and part.isalpha():  # one match, whatever follows, and kept as a part already
+            return id_bytes(self.encode_match(b" " + part.encode()))
         return b"".join(map(self.matches.__getitem__, self.find(" " + part)))
 
     def encode_match(self, raw: bytes) -> list[int]:
@@ -141,6 +143,11 @@ def token_table(path: str) -> dict[int, bytes]:
         return {int(rank): base64.b64decode(token) for token, rank in map(bytes.split, file.read().splitlines())}
 
 
+@lru_cache(maxsize=2)
+def id_names(path: str) -> dict[int, str]:
+    return {rank: str(rank) for rank in token_table(path)}
+
+
 def encode_documents(docs: DataFrame, ranks: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, ids (array), n_tokens`` of each row by the rank file ``ranks``.
 
@@ -171,3 +178,24 @@ def decode_documents(encoded: DataFrame, ranks: str) -> DataFrame:
 
     fields = ", ".join(f"`{name}` {kind}" for name, kind in encoded.dtypes)
     return map_arrow(encoded, decode, f"{fields}, decoded binary")
+
+
+def coded_digests(docs: DataFrame, ranks: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of each row: encoded, decoded again from the ids, and digested in one pass.
+
+    ``ids_sha256`` is that of the decimal ids joined by a space, both are
+    lowercase hex. The cases are those of :func:`encode_documents`.
+    """
+
+    def code(batch: pa.RecordBatch) -> pa.RecordBatch:
+        coder, tokens, names = encoder(ranks), token_table(ranks), id_names(ranks)
+        counts, ids_hex, decoded_hex = [], [], []
+        for text in batch.column("text").to_pylist():
+            ids = memoryview(coder(text)).cast("I").tolist()
+            counts.append(len(ids))
+            ids_hex.append(hashlib.sha256(" ".join(map(names.__getitem__, ids)).encode()).hexdigest())
+            decoded_hex.append(hashlib.sha256(b"".join(map(tokens.__getitem__, ids))).hexdigest())
+        columns = [batch.column("doc_id").cast(pa.int64()), pa.array(counts, pa.int64()), pa.array(ids_hex, pa.string()), pa.array(decoded_hex, pa.string())]
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return map_arrow(texts(docs, id_col, text_col), code, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -91,14 +91,7 @@ def op9_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
 
 @register
 def op10_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
-    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    coded = byte_bpe.decode_documents(byte_bpe.encode_documents(table(spark, folder, "documents"), ranks), ranks)
-    return coded.select(
-        "doc_id",
-        "n_tokens",
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    return byte_bpe.coded_digests(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
 @register

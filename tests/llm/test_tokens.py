@@ -4,6 +4,7 @@ import random
 
 import public_tokenizers
 import tiktoken
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from pitchframe.llm import byte_bpe, packing, token_counts
@@ -117,3 +118,12 @@ def test_packed_documents(odd, nothing):
             at += length
         assert at <= 512
     assert packing.pack(nothing, WORD).count() == 0
+
+
+def test_digests_of_one_pass_equal_the_two_operators(spark, odd, nothing):
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    coded = byte_bpe.decode_documents(byte_bpe.encode_documents(odd, ranks), ranks)
+    ids = F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256)
+    plain = lambda df: sorted(str(tuple(r)) for r in df.collect())
+    assert plain(byte_bpe.coded_digests(odd, ranks)) == plain(coded.select("doc_id", "n_tokens", ids, F.sha2("decoded", 256)))
+    assert byte_bpe.coded_digests(nothing, ranks).count() == 0
