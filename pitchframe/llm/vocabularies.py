@@ -69,7 +69,7 @@ class WordPieces:
         self.special = any("<|" not in t["content"] for t in rule.get("added_tokens", []))
         if self.blank_safe:
             self.find = re.compile(self.ascii_rule).findall
-            self.pieces = Memo(self._piece, 100_000)
+            self.pieces = Memo(self._piece, 400_000)
             self.parts = Memo(self._part)
 
     def _piece(self, piece: str) -> bytes:
