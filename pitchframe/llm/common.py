@@ -47,13 +47,13 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
-def map_arrow(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """Apply ``function`` to pieces of each partition that hold a bounded amount of the column ``text``."""
+def map_arrow(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, step: int = STEP_CHARS) -> DataFrame:
+    """Apply ``function`` to pieces of each partition that hold at most ``step`` bytes of the column ``text``."""
     ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in pieces(batch):
+            for piece in pieces(batch, step):
                 done = function(piece)
                 if done is not None and done.num_rows:
                     yield done
@@ -61,7 +61,7 @@ def map_arrow(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch
     return df.mapInArrow(run, schema)
 
 
-def pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+def pieces(batch: pa.RecordBatch, step: int = STEP_CHARS) -> Iterator[pa.RecordBatch]:
     if "text" not in batch.schema.names:
         yield batch
         return
@@ -69,7 +69,7 @@ def pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     first, held = 0, 0
     for i, size in enumerate(sizes):
         size = size or 0
-        if i > first and held + size > STEP_CHARS:
+        if i > first and held + size > step:
             yield batch.slice(first, i - first)
             first, held = i, 0
         held += size
