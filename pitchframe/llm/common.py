@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pitchframe.session import shared_dir
 
 # Characters of text that one step of an operator holds at a time; a longer single text is taken alone.
-STEP_CHARS = 2_000_000
+STEP_CHARS = 1_000_000
 
 
 def ship(spark: SparkSession) -> None:

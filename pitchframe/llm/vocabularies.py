@@ -69,8 +69,8 @@ class WordPieces:
         self.special = any("<|" not in t["content"] for t in rule.get("added_tokens", []))
         if self.blank_safe:
             self.find = re.compile(self.ascii_rule).findall
-            self.pieces = Memo(self._piece, 400_000)
-            self.parts = Memo(self._part)
+            self.pieces = Memo(self._piece, 250_000)
+            self.parts = Memo(self._part, 150_000)
 
     def _piece(self, piece: str) -> bytes:
         return id_bytes(t.id for t in self.tokenizer.model.tokenize(piece))
