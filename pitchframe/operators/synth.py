@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pitchframe.functions.normal import add_normal_cdf, add_normal_quantile
-from pitchframe.operators.aggregate import pair_matrix
+from pitchframe.operators.aggregate import attach, pair_matrix
 from pitchframe.operators.ordered import Ordered, written
 from pitchframe.operators.quantiles import histogram, histogram_quantile, long_values, per_column, quantiles_at
 from pitchframe.operators.sampling import hashed_uniform
@@ -119,34 +119,53 @@ def log_density_at(
 
     Space is cut into cells as wide as the kernel reaches (the bandwidth of a
     top-hat, eight of a Gaussian, beyond which a row adds less than 1e-13 of its
-    peak). Equal rows are counted first, every point looks into its own and the
-    neighbouring cells, and a cell with more than ``rows_per_cell`` distinct rows
-    is split, with its points copied to each part. Where no row reaches a point
-    the result is NULL; points with a missing coordinate are left out.
+    peak). Equal rows are counted and equal points asked once; a point looks into
+    its own and the neighbouring cells, and a cell with more than
+    ``rows_per_cell`` distinct rows is split, with its points copied to each part.
+    A Gaussian is a product over the columns, so the rows of a part are summed
+    along one column after the other: each step meets the points' distinct
+    coordinates so far and keeps one sum per coordinate and what is left of the
+    row, never more than all pairs of the cell. Where no row reaches a point the
+    result is NULL; points with a missing coordinate are left out.
     """
     reach = bandwidth * (8.0 if kernel == "gaussian" else 1.0)
+    sides = range(len(columns))
     values = {f"_r_{i}": F.col(c).cast("double") + F.lit(0.0) for i, c in enumerate(columns)}
     present = df.dropna(how="any", subset=list(columns))
     counted = present.select(*[v.alias(k) for k, v in values.items()]).groupBy(*values).agg(F.count(F.lit(1)).alias("_n"))
-    cells = [f"_c_{i}" for i in range(len(columns))]
+    cells = [f"_c_{i}" for i in sides]
     place = {c: F.floor(F.col(f"_r_{i}") / reach) for i, c in enumerate(cells)}
-    counted = counted.withColumns(place)
+    counted = written(counted.withColumns(place), "rows")
     crowded = counted.groupBy(*cells).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > rows_per_cell)
     crowded = crowded.select(*cells, F.ceil(F.col("_rows") / rows_per_cell).cast("int").alias("_parts"))
     parts = F.coalesce("_parts", F.lit(1))
     rows = counted.join(crowded, cells, "left").withColumn("_part", F.pmod(F.xxhash64(*values), parts).cast("int")).drop("_parts")
-    asked = points.dropna(how="any", subset=list(columns)).select(*point_keys, *[F.col(c).cast("double").alias(f"_x_{i}") for i, c in enumerate(columns)])
-    for i, c in enumerate(cells):
-        own = F.floor(F.col(f"_x_{i}") / reach)
-        asked = asked.withColumn(c, F.explode(F.array(own - 1, own, own + 1)))
-    asked = asked.join(crowded, cells, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
-    squared = F.lit(0.0)
-    for i in range(len(columns)):
-        squared = squared + (F.col(f"_r_{i}") - F.col(f"_x_{i}")) ** 2
-    value, constant = _kernel(kernel, squared, bandwidth, len(columns))
-    sums = asked.join(rows, [*cells, "_part"], "left").groupBy(*point_keys).agg(F.sum(F.col("_n") * value).alias("_s"))
+    at = [f"_x_{i}" for i in sides]
+    asked = points.dropna(how="any", subset=list(columns)).select(*point_keys, *[(F.col(c).cast("double") + F.lit(0.0)).alias(x) for x, c in zip(at, columns, strict=True)])
+    looked = asked.select(*at).distinct()
+    for x, c in zip(at, cells, strict=True):
+        own = F.floor(F.col(x) / reach)
+        looked = looked.withColumn(c, F.explode(F.array(own - 1, own, own + 1)))
+    looked = looked.join(crowded, cells, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    part = [*cells, "_part"]
+    if kernel == "gaussian":
+        sums = rows
+        for i in sides:
+            met = looked.select(*part, *at[: i + 1]).distinct().join(sums, [*part, *at[:i]])
+            value, _ = _kernel(kernel, (F.col(f"_r_{i}") - F.col(at[i])) ** 2, bandwidth, 1)
+            left = [f"_r_{j}" for j in sides if j > i]
+            sums = met.groupBy(*(part if left else []), *at[: i + 1], *left).agg(F.sum(F.col("_n") * value).alias("_n"))
+        sums = sums.withColumnRenamed("_n", "_s")
+    else:
+        squared = F.lit(0.0)
+        for i in sides:
+            squared = squared + (F.col(f"_r_{i}") - F.col(at[i])) ** 2
+        value, _ = _kernel(kernel, squared, bandwidth, len(columns))
+        sums = looked.join(rows, part).groupBy(*at).agg(F.sum(F.col("_n") * value).alias("_s"))
+    _, constant = _kernel(kernel, F.lit(0.0), bandwidth, len(columns))
+    found = attach(asked, sums, at, "left").groupBy(*point_keys).agg(F.sum("_s").alias("_s"))
     density = F.col("_s") / (present.agg(F.count(F.lit(1))).scalar() * F.lit(constant))
-    return sums.select(*point_keys, F.when(density > 0, F.log(density)).alias("log_density"))
+    return found.select(*point_keys, F.when(density > 0, F.log(density)).alias("log_density"))
 
 
 def bandwidth_scores(

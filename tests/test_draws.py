@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -69,6 +70,27 @@ def test_density_at_rows_with_split_cells(spark):
                 assert got[i] == (pytest.approx(math.log(total / len(whole)), abs=1e-6) if total > 0 else None)
 
 
+def test_density_asks_equal_points_once_and_sums_by_column(spark):
+    """Sixty thousand points at six places over forty thousand rows of one cell: the pairs of all would take minutes."""
+    df = spark.range(40_000).selectExpr("id / 40000 AS x", "CAST(id % 4 AS DOUBLE) AS y")
+    at = spark.range(60_000).selectExpr("id", "CAST(id % 3 AS DOUBLE) AS x", "CAST(id % 2 AS DOUBLE) AS y")
+    start = time.monotonic()
+    got = {r["id"]: r["log_density"] for r in synth.log_density_at(df, ["x", "y"], at, ["id"], bandwidth=1.0, rows_per_cell=100_000).collect()}
+    assert time.monotonic() - start < 40 and len(got) == 60_000
+    k = np.arange(40_000)
+    for i in range(6):
+        want = np.mean(np.exp(-((k / 40000 - i % 3) ** 2 + (k % 4 - i % 2) ** 2) / 2)) / (2 * math.pi)
+        assert {round(got[j], 6) for j in range(i, 60_000, 6)} == {round(math.log(want), 6)}
+
+
+def test_density_of_repeated_and_missing_keys(spark):
+    df = spark.createDataFrame([(0.0, 0.0), (1.0, 0.0)], "x double, y double")
+    at = spark.createDataFrame([(1, 0.0, 0.0), (1, 1.0, 0.0), (None, -0.0, 0.0)], "id int, x double, y double")
+    got = {r["id"]: r["log_density"] for r in synth.log_density_at(df, ["x", "y"], at, ["id"], bandwidth=1.0).collect()}
+    one = (1 + math.exp(-0.5)) / (4 * math.pi)
+    assert got == {1: pytest.approx(math.log(2 * one)), None: pytest.approx(math.log(one))}
+
+
 def test_first_rows_after_a_counted_cut(spark, monkeypatch):
     monkeypatch.setattr(ordered, "ROWS_PER_TASK", 20)
     draw = random.Random(8)
