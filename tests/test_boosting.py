@@ -124,3 +124,19 @@ def test_rates_leave_out_the_own_fold(spark):
         own = [r for r in others if r[0] == e]
         assert rate == pytest.approx((sum(r[1] == "a" for r in own) + 2 * overall) / (len(own) + 2))
     assert len(got) == 5
+
+
+def test_models_with_the_same_trees_share_their_sums(spark):
+    df = frame(spark, made(12))
+    binning, classes = boosting.fit_binning(df, ["x", "z"], ["s"]), boosting.class_names(df, "y")
+    binned = boosting._binned(df, binning, classes, "y")
+    assert len(binned.inputFiles()) > 1
+    settings = [Setting(max_depth=2), Setting(max_depth=3), Setting(max_depth=2, subsample=0.5), Setting(max_depth=2, n_estimators=2)]
+    grown = boosting.fit_many(binned, "y", classes, binning, settings)
+    for model, setting in zip(grown, settings, strict=True):
+        assert same_trees(model, boosting.fit_many(binned, "y", classes, binning, [setting])[0])
+    growing = {m: [boosting.Tree.empty(s.max_depth) for _ in classes] for m, s in enumerate(settings)}
+    empty = [boosting.Boosted("y", classes, binning, grown[0].first, s, gains=np.zeros(3)) for s in settings]
+    tables = boosting._histograms(binned, empty, growing, 0, 0, 0)
+    assert np.shares_memory(tables[0, 1], tables[1, 1]) and np.shares_memory(tables[0, 1], tables[3, 1])
+    assert not np.shares_memory(tables[0, 1], tables[2, 1]) and tables[2, 1][..., 1].sum() < tables[0, 1][..., 1].sum()
