@@ -173,3 +173,12 @@ def test_quantiles_with_one_dominant_value(spark):
     for u in us:
         assert fixed[u] == pytest.approx(np.quantile(data, u))
         assert varying[u] == pytest.approx(np.quantile(data, u))
+
+
+def test_a_split_is_ordered_once_and_read_by_all_fits(spark):
+    from pitchframe.suite import learning
+
+    rows = spark.range(50).selectExpr("id AS game_date", "id AS game_pk", "id AS at_bat_number", "id AS pitch_number", "id % 3 AS x")
+    train, test = learning._later(rows, learning._ORDER)
+    assert {r["game_pk"] for r in train.collect()} == set(range(40)) and {r["game_pk"] for r in test.collect()} == set(range(40, 50))
+    assert all("split-" in f for f in train.inputFiles()) and train.inputFiles()
