@@ -15,6 +15,8 @@ from pitchframe.operators import ordered
 from pitchframe.operators.aggregate import attach
 from pitchframe.operators.ordered import Ordered, written
 
+HOT_TIES = 50_000  # cells of one value that a task may have to join
+
 
 def z_scores(
     df: DataFrame,
@@ -103,14 +105,19 @@ def pseudo_observations(
     column, value) moves: distinct values of all columns are counted and ranked
     together, every cell finds its rank by its value, and the ranks of a row come
     back as one row, so the wide rows are shuffled once whatever the number of
-    columns. A value that very many rows share is one key of that join, which
-    adaptive execution splits.
+    columns. A value that more than ``HOT_TIES`` cells share would be one large
+    key of that join: there are few of those, so their ranks go to the cells.
     """
     rows = written(df.select("*", F.monotonically_increasing_id().alias("_row")), "rows")
     cells = F.array(*[F.struct(F.lit(i).alias("_c"), F.col(c).cast("double").alias("_v")) for i, c in enumerate(columns)])
     long = rows.select("_row", *within, F.inline(cells)).where(F.col("_v").isNotNull()).withColumn("_v", F.col("_v") + F.lit(0.0))
     ranks = value_ranks(long, "_v", [*within, "_c"], bounded=rows.count() <= ordered.ROWS_PER_TASK)
     score = F.col("rank") / (F.col("size") + 1.0)
-    found = attach(long, ranks.select(*within, "_c", "_v", score.alias("_u")), [*within, "_c", "_v"])
+    keys = [*within, "_c", "_v"]
+    ranks = written(ranks.select(*keys, "ties", score.alias("_u")), "ranks")
+    hot = F.col("ties") > HOT_TIES
+    met = attach(long, F.broadcast(ranks.where(hot).drop("ties")), keys, "left")
+    rest = attach(met.where("_u IS NULL").drop("_u"), ranks.where(~hot).drop("ties"), keys)
+    found = met.where("_u IS NOT NULL").select("_row", "_c", "_u").unionByName(rest.select("_row", "_c", "_u"))
     by_row = found.groupBy("_row").agg(*[F.max(F.when(F.col("_c") == i, F.col("_u"))).alias(f"{c}{suffix}") for i, c in enumerate(columns)])
     return rows.join(by_row, "_row", "left").select(*df.columns, *[f"{c}{suffix}" for c in columns])
