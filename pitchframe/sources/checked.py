@@ -11,12 +11,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pitchframe.session import observed
+from pitchframe.session import compiled_small, observed
 
 # Texts that stand for a missing number or date in exported files.
 MISSING = ["", "NaN", "nan", "null", "NULL", "None"]
@@ -58,7 +60,8 @@ def converted(value: Column, have: T.DataType, want: T.DataType) -> Column:
         exact = value.try_cast(_WHOLE)
         whole = F.when(exact == F.floor(exact), exact.try_cast(want))
         if isinstance(have, T.StringType):
-            return F.coalesce(direct, whole)
+            # A text with a point never is a whole number as it stands; trying would cost an exception for each.
+            return F.coalesce(F.when(~F.contains(value, F.lit(".")), direct), whole)
         return F.when(value == F.floor(value), whole)
     return direct
 
@@ -108,7 +111,14 @@ def checked(
     """
     df = df.drop(*extras)
     stored = {f.name: f.dataType for f in df.schema.fields}
-    columns, problems, fallible = [], [], []
+    columns, problems, troubled, fallible = [], [], [], []
+
+    def problem(test: Column, what: Column) -> None:
+        troubled.append(test)
+        problems.append(F.when(test, what))
+
+    # Present values and then typed ones have steps of their own, so that each is made once.
+    presents, values, taken = [], [], {name.lower() for name in df.columns}
     required = [f.name for f in schema.fields if not f.nullable]
     for f in schema.fields:
         have = stored.get(f.name)
@@ -118,27 +128,41 @@ def checked(
         elif passes(have, f.dataType):
             value = raw if have == f.dataType else raw.cast(f.dataType)
         else:
-            present = _present(raw, have, f.dataType)
-            value = converted(present, have, f.dataType)
+            made = [_unused(f"{step}_{f.name}", taken) for step in ("present", "typed")]
+            present, value = (F.col(f"`{name}`") for name in made)
+            presents.append(_present(raw, have, f.dataType).alias(made[0]))
+            values.append(converted(present, have, f.dataType).alias(made[1]))
             fallible.append(f.name)
             lost = F.struct(F.lit(f.name).alias("column"), raw.cast("string").alias("value"), F.lit(f"not a {f.dataType.simpleString()}").alias("reason"))
-            problems.append(F.when(present.isNotNull() & value.isNull(), lost))
+            problem(present.isNotNull() & value.isNull(), lost)
             if f.name in required:
-                problems.append(F.when(present.isNull(), _missing(f.name)))
+                problem(present.isNull(), _missing(f.name))
             columns.append(value.alias(f.name))
             continue
         if f.name in required:
-            problems.append(F.when(value.isNull(), _missing(f.name)))
+            problem(value.isNull(), _missing(f.name))
         columns.append(value.alias(f.name))
-    found = F.array_compact(F.array(*problems)) if problems else F.array().cast(PROBLEM)
+    found = F.array().cast(PROBLEM)
+    if problems:
+        # Gathering is interpreted; a row without problems is spared it.
+        found = F.when(reduce(or_, troubled), F.array_compact(F.array(*problems)).cast(PROBLEM)).otherwise(found)
     if already:
         found = F.concat(F.col(already), found)
         fallible.append(already)
     kept = [F.col(c) for c in keep if c not in schema.names]
+    if presents:
+        df = df.select("*", *presents).select("*", *values)
     frame = df.select(*kept, *columns, found.cast(PROBLEM).alias("problems"))
     return Checked(frame, list(schema.names), required, fallible, [c for c in keep if c not in schema.names])
 
 
+def _unused(name: str, taken: set[str]) -> str:
+    while name.lower() in taken:
+        name += "_"
+    taken.add(name.lower())
+    return name
+
+
 def _missing(name: str) -> Column:
     return F.struct(F.lit(name).alias("column"), F.lit(None).cast("string").alias("value"), F.lit("missing").alias("reason"))
 
@@ -160,7 +184,8 @@ def load(source: Checked, target: str, partition_by: Sequence[str] = (), mode: s
     state = F.when(F.size("problems") > 0, "rejected").otherwise("accepted")
     out = counted.drop("names").withColumn("state", state)
     parts = ["state", *partition_by]
-    out.hint("rebalance", *[F.col(c) for c in parts]).write.mode(mode).partitionBy(*parts).parquet(target)
+    with compiled_small(out.sparkSession):
+        out.hint("rebalance", *[F.col(c) for c in parts]).write.mode(mode).partitionBy(*parts).parquet(target)
     return {name: n for name, n in observed(seen, "read", "rejected").items() if n or name in ("read", "rejected")}
 
 

@@ -9,16 +9,27 @@ from pitchframe.session import shared_dir
 from pitchframe.sources import checked, payloads, registry, tables
 from pitchframe.sources.tables import read_table
 from pitchframe.suite import register
-from pitchframe.suite.standin import FEED_SQL, PITCH_SQL, SPOILT, feed
+from pitchframe.suite.standin import FEED_SQL, PITCH_SQL, SPOILT, as_feed
 
 
 _GOOD = " AND ".join(f"NOT ({test})" for _, test, _, _ in SPOILT)
 
 
+# Rows of a file of the export: some 40 MB of text.
+EXPORT_ROWS = 100_000
+
+
+def _export(spark, folder, rows=EXPORT_ROWS):
+    """The stand-in feed as CSV files of about ``rows`` rows, however the events are stored: one large row group is one task otherwise."""
+    events = read_table(spark, folder, "events")
+    target = shared_dir(spark, "feed")
+    tables.write_csv(as_feed(events.repartition(events.count() // rows + 1)), target)
+    return target
+
+
 def _loaded(spark, folder):
     """The stand-in feed as a CSV export, checked and loaded into a table by year; its folder and what was counted."""
-    export, target = shared_dir(spark, "feed"), shared_dir(spark, "pitches")
-    tables.write_csv(feed(spark, folder), export)
+    export, target = _export(spark, folder), shared_dir(spark, "pitches")
     source = tables.check_pitches(spark, export, "csv", keep=["row_id"])
     return target, source, checked.load(source, target, ["game_year"])
 

@@ -1,6 +1,7 @@
 """Hand-written rows for the rules that are easy to get wrong."""
 
 import datetime
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from pitchframe.operators.aggregate import conditional_distribution, distributio
 from pitchframe.plans import scores
 from pitchframe.plans.features import arsenals, pitch_outcome_set
 from pitchframe.sources import checked, payloads, registry, tables
+from pitchframe.suite import landing, standin
 from pitchframe.suite.landing import days_of_pitches
 from pitchframe.suite.standin import pitches
 
@@ -416,6 +418,28 @@ def test_values_that_do_not_fit_are_rejected(spark, tmp_path):
     assert [r["value"] for r in found.rejects().orderBy("k").collect()] == ["5.5", "1.0E30"]
 
 
+def test_each_value_is_typed_once(spark, tmp_path):
+    """One conversion of a text feeds its column, the test for a problem and both counts; texts with a point raise nothing on the way."""
+    (tmp_path / "p.csv").write_text("k,x,typed_x\n1,7.0,a\n2,7.5,b\n3, 8 ,c\n4,1e2,d\n5,9.,e\n6,.0,f\n7,no,g\n8,-0.0,h\n")
+    df = spark.read.csv(str(tmp_path / "p.csv"), header=True)
+    source = checked.checked(df, T.StructType.fromDDL("k long not null, x long"), keep=["typed_x"])
+    assert sorted(values(source.rows(), "typed_x", "k", "x")) == [("a", 1, 7), ("c", 3, 8), ("d", 4, 100), ("e", 5, 9), ("f", 6, 0), ("h", 8, 0)]
+    assert sorted(values(source.rejects(), "k", "column", "value", "reason")) == [(2, "x", "7.5", "not a bigint"), (7, "x", "no", "not a bigint")]
+    plan = source.frame._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("as decimal(38,9)") <= 6  # at most three per column: before, the problems converted again
+
+
+def test_export_is_dealt_out(spark, tmp_path):
+    """A single row group of events becomes several files of the export, with the same rows."""
+    target = landing._export(spark, DATA, rows=300)
+    made = spark.read.csv(target, header=True)
+    assert made.rdd.getNumPartitions() > 0 and len([f for f in os.listdir(target) if f.endswith(".csv")]) > 1
+    want = standin.feed(spark, DATA).select(*[F.col(f"`{c}`").cast("string").alias(c.replace(".", "_")) for c in made.columns])
+    got = made.select(*[F.col(f"`{c}`").alias(c.replace(".", "_")) for c in made.columns]).drop("game_date")
+    assert got.exceptAll(want.drop("game_date")).isEmpty() and got.count() == want.count()
+    assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") != "8000"
+
+
 def test_declared_types_prune_the_scan(spark, tmp_path):
     rows = checked.checked(pitches(spark, DATA), schemas.PITCH_SCHEMA).rows()
     rows.write.parquet(str(tmp_path / "t"))
