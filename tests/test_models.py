@@ -5,6 +5,7 @@ from statistics import NormalDist
 
 import numpy as np
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from pitchframe.functions.normal import add_normal_cdf, add_normal_quantile
@@ -59,6 +60,15 @@ def test_unseen_text_and_class_still_score(spark):
     assert len(rows) == 2 and rows[1]["p_true"] == 0.0 and {r["predicted"] for r in rows} <= {"a", "b"}
 
 
+def test_scores_after_an_observed_query(spark):
+    seen = Observation()
+    spark.range(3).observe(seen, F.count(F.lit(1)).alias("n")).collect()
+    assert seen.get == {"n": 3}
+    train = spark.createDataFrame([(float(i), "ab"[i % 2]) for i in range(40)], "x double, y string")
+    fitted = models.fit_classifier(train, "y", ["x"], [], models.forest(numTrees=3, maxDepth=2))
+    assert len(fitted.with_true_probability(train.limit(2)).collect()) == 2
+
+
 def test_entity_rates_shrink_to_the_overall_shares(spark):
     train = spark.createDataFrame([(1, "a")] * 30 + [(2, "b")] * 10, "e int, y string")
     test = spark.createDataFrame([(1,), (2,), (3,)], "e int")
