@@ -144,6 +144,80 @@ def test_planted_passages(spark, nothing):
     assert repeated_passages.repeated_passages(nothing).count() == 0
 
 
+def in_order(spark, texts):
+    rows = repeated_passages.repeated_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6)).collect()
+    return {r["doc_id"]: r for r in rows}
+
+
+def test_passages_that_the_first_document_lacks(spark):
+    """A first document has most of a passage, not enough of it: the later two that have all of it are linked all the same."""
+    texts = []
+    for k in range(12):
+        words = prose(2000 + k, 54).split()
+        part = words[:47] if k % 2 else words[7:]
+        texts += [" ".join([prose(2100 + 9 * k, 30), *part, prose(2101 + 9 * k, 30)])]
+        texts += [" ".join([prose(2102 + 9 * k + i, 30), *words, prose(2105 + 9 * k + i, 30)]) for i in range(2)]
+    of = in_order(spark, texts)
+    for k in range(0, len(texts), 3):
+        assert [of[k + i]["class_id"] for i in range(3)] == [k, k + 1, k + 1]
+        assert [of[k + i]["n_links"] for i in range(3)] == [0, 0, 1] and [tuple(s) for s in of[k + 2]["spans"]] == [(30, 84)]
+
+
+def test_passages_with_words_more_or_less(spark):
+    texts = []
+    for k in range(10):
+        words = prose(3000 + k, 60).split()
+        other = words[:30] + ["added"] * (k % 2) + words[30 + (k + 1) % 2 :]
+        texts += [" ".join([prose(3100 + 4 * k, 30), *words, prose(3101 + 4 * k, 30)]), " ".join([prose(3102 + 4 * k, 30), *other, prose(3103 + 4 * k, 30)])]
+    of = in_order(spark, texts)
+    assert all(of[k]["class_id"] == of[k + 1]["class_id"] == k and len(of[k + 1]["spans"]) == 1 for k in range(0, len(texts), 2))
+
+
+def test_links_in_frequent_minima(spark):
+    """More documents than are all compared share a part that is too short; some share all of the passage, some with changes."""
+    words, sides = prose(4000, 66).split(), 20
+    texts = [" ".join([prose(4100 + k, 20), *words[10:50], prose(4300 + k, 20)]) for k in range(repeated_passages.SMALL + 10)]
+    short = len(texts)
+    texts += [" ".join([prose(4500 + k, sides), *words, prose(4600 + k, sides)]) for k in range(5)]
+    changed = [w + "x" if i == 40 else w for i, w in enumerate(words)]
+    texts += [" ".join([prose(4700 + k, sides), *changed, prose(4800 + k, sides)]) for k in range(5)]
+    of = in_order(spark, texts)
+    assert all(of[k]["class_id"] == k and not of[k]["n_links"] for k in range(short))
+    assert {of[k]["class_id"] for k in range(short, len(texts))} == {short}
+    assert all(tuple(of[k]["spans"][0]) == (sides, sides + 66) for k in range(short + 1, len(texts)))
+
+
+@pytest.mark.parametrize("small", [1000, 3])
+def test_repeats_against_plain_search(spark, monkeypatch, small):
+    """Documents cut from few sources: each pair with 50 words in a row in common is connected; if all are compared, it counts and its words are in the spans."""
+    monkeypatch.setattr(repeated_passages, "SMALL", small)
+    draw = random.Random(11)
+    sources = [prose(5000 + k, 200).split() for k in range(4)] + [["same"] * 200, (prose(5100, 9).split() * 30)[:200]]
+    texts = []
+    for _ in range(70):
+        words = []
+        for _ in range(draw.randint(1, 5)):
+            at = draw.randint(0, 130)
+            words += draw.choice(sources)[at : at + draw.randint(20, 70)] + prose(draw.randint(6000, 10**6), draw.randint(0, 20)).split()
+        texts.append(" ".join(words))
+    of, seen, pairs = in_order(spark, texts), {}, set()
+    for i, text in enumerate(texts):
+        words = text.split()
+        runs = [tuple(words[k : k + 50]) for k in range(len(words) - 49)]
+        for k, run in enumerate(runs):
+            pairs |= {(other, i) for other in seen.get(run, ())}
+            if run in seen:
+                assert any(s["start"] <= k and k + 50 <= s["end"] for s in of[i]["spans"])
+        for run in runs:
+            seen.setdefault(run, set()).add(i)
+    assert pairs and all(of[a]["class_id"] == of[b]["class_id"] for a, b in pairs)
+    assert small < 1000 or all(of[i]["n_links"] >= len({a for a, b in pairs if b == i}) for i in of)
+
+
+def test_common_run():
+    assert repeated_passages.common_run(46, 5, (80, 100)) == 20 and repeated_passages.common_run(46, 5, (100, 100)) == 46
+
+
 def test_cut_passages(spark, odd):
     found = {r["doc_id"]: r for r in repeated_passages.repeated_passages(odd).collect()}
     assert found[5]["class_id"] == found[7]["class_id"] == 1 and found[None]["class_id"] is None
