@@ -214,6 +214,17 @@ def test_repeats_against_plain_search(spark, monkeypatch, small):
     assert small < 1000 or all(of[i]["n_links"] >= len({a for a, b in pairs if b == i}) for i in of)
 
 
+def test_passages_within_one_that_falls_short():
+    """Each stretch that meets the threshold by itself counts whole, though the text goes on with too many changes."""
+    draw = np.random.default_rng(5)
+    a = draw.integers(1, 2**62, 200)
+    b = a.copy()
+    changed = [*range(95, 101), *range(130, 136), *range(150, 160), *range(170, 180), *range(190, 199)]
+    b[changed] = draw.integers(1, 2**62, len(changed))
+    spans = repeated_passages.passages(a, np.insert(b, 132, 9), 46, (80, 100))
+    assert (0, 130) in spans and all(end <= 150 for _, end in spans)
+
+
 def test_common_run():
     assert repeated_passages.common_run(46, 5, (80, 100)) == 20 and repeated_passages.common_run(46, 5, (100, 100)) == 46
 
