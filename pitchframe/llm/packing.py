@@ -18,9 +18,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitchframe.llm.common import batch_of, map_arrow, save, texts
-from pitchframe.llm.vocabularies import encoder
+from pitchframe.llm.vocabularies import encoder, id_column
 
 PIECES = {"doc_id": pa.int64(), "piece": pa.int32(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64()}
+STEP = 2_000_000  # bytes of text whose distinct words are encoded together
 RUNS = "length long, first_rank long, n long, layers long, first_sequence long, base long"
 
 
@@ -29,10 +30,9 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id
     end = end_id.to_bytes(4, "little")
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
-        encode = encoder(tokenizer)
         out = {name: [] for name in PIECES}
-        for key, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            ids = encode(text) + end
+        for key, ids in zip(batch.column("doc_id").to_pylist(), id_column(encoder(tokenizer), batch.column("text")), strict=True):
+            ids += end
             for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                 part = ids[at : at + 4 * capacity]
                 for name, value in zip(PIECES, (key, piece, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
@@ -40,7 +40,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id
         return batch_of(PIECES, out)
 
     rows = texts(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    return map_arrow(rows, cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return map_arrow(rows, cut, "doc_id long, piece int, start long, length long, ids_crc32 long", STEP)
 
 
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:

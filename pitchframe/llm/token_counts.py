@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pitchframe.llm.common import batch_of, map_arrow, save, texts
-from pitchframe.llm.vocabularies import encoder
+from pitchframe.llm.vocabularies import encoder, id_column
 
 CACHE = "digest binary, n_tokens long"
 
@@ -44,8 +44,7 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str, limit: int = 2048,
     kinds = {"digest": pa.binary(), "n_tokens": pa.int64()}
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
-        encode = encoder(tokenizer)
-        return batch_of(kinds, {"digest": batch.column("digest").to_pylist(), "n_tokens": [len(encode(t)) // 4 for t in batch.column("text").to_pylist()]})
+        return batch_of(kinds, {"digest": batch.column("digest").to_pylist(), "n_tokens": [len(ids) // 4 for ids in id_column(encoder(tokenizer), batch.column("text"))]})
 
     map_arrow(misses, count, CACHE).write.mode("append").parquet(stored)
     counts = spark.read.schema(CACHE).parquet(stored).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))

@@ -3,12 +3,13 @@ import hashlib
 import random
 
 import public_tokenizers
+import pyarrow as pa
 import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from pitchframe.llm import byte_bpe, packing, token_counts
-from pitchframe.llm.vocabularies import encoder
+from pitchframe.llm.vocabularies import Memo, WordPieces, encoder, id_column
 from pitchframe.session import shared_dir
 
 WORD, BYTES = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -22,6 +23,22 @@ def test_word_encoder_is_the_library():
     assert [list(memoryview(own(t)).cast("I")) for t in texts] == [library.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_word_column_is_the_library_and_meets_each_piece_once():
+    library, own = Tokenizer.from_file(WORD), WordPieces(WORD, open(WORD, "rb").read())
+    draw = random.Random(5)
+    letters = [chr(c) for c in range(0xA0, 0x260)]
+    texts = ODD + ["".join(draw.choice([*"ab' \n'stLé9.🙂<|>", "\u0301", draw.choice(letters)]) for _ in range(50)) for _ in range(600)] + ["x" * 60, "é" * 49, "\n", " "]
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    column = pa.array(["left out", *texts]).slice(1)
+    assert [list(memoryview(ids).cast("I")) for ids in id_column(own, column)] == want
+    assert [list(memoryview(own(t)).cast("I")) for t in texts] == want
+    assert id_column(own, pa.array([], pa.string())) == [] and id_column(own, pa.array([""])) == [b""]
+    met = []
+    own.pieces, own.parts = Memo(lambda piece: met.append(piece) or WordPieces._piece(own, piece)), Memo(lambda part: met.append(part) or b"")
+    id_column(own, pa.array(["Oneaï (oneaï) oneaï, ONEAÏ.", "oneaï; Oneaï"]))
+    assert sorted(met) == sorted([" ", "oneaï", "(", ")", ",", ".", ";"])
+
+
 def test_sentence_pieces_are_the_library():
     import sentencepiece
 
