@@ -1,11 +1,13 @@
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
 from pitchframe.llm import near_duplicates, repeated_passages
+from pitchframe.llm.common import map_arrow, save
 from pitchframe.llm.groups import components
 
 from .conftest import WORDS, prose
@@ -246,3 +248,35 @@ def test_word_hashes_follow_words():
     assert np.diff(words.first).tolist() == [0, 2, 0, 2]
     whole = Words(column)
     assert whole.hashes[:3].tolist() == [*Words(pa.array(["a b c"])).hashes.tolist()] and whole.hashes[3] == whole.hashes[1]
+
+
+def test_saved_tables_leave_no_shuffles_and_hold_settings(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffles() -> set[str]:
+        names = files.getAllFiles()
+        return {n for n in (names.apply(i).getName() for i in range(names.size())) if n.startswith("shuffle_")}
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, limit = shuffles(), spark.conf.get(key)
+    wide = spark.range(1000).repartition(3).groupBy("id").count()
+    sizes = map_arrow(wide, lambda batch: pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"]), "n long")
+    out = save(sizes, "sizes", spark__sql__execution__arrow__maxRecordsPerBatch=repeated_passages.ROWS)
+    rows = [r["n"] for r in out.collect()]
+    assert sum(rows) == 1000 and max(rows) <= int(repeated_passages.ROWS)
+    assert spark.conf.get(key) == limit
+    until = time.time() + 20
+    while shuffles() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not shuffles() - before
+
+
+def test_alignments_far_apart_keep_their_places(spark):
+    draw = random.Random(11)
+    fresh = lambda n: [f"w{draw.randrange(10**9)}" for _ in range(n)]
+    one, two, three = fresh(60), fresh(70), fresh(80)
+    texts = {1: one + fresh(5000) + two + fresh(40) + three, 2: fresh(30) + three + fresh(4200) + one + fresh(9) + two}
+    docs = spark.createDataFrame([(k, " ".join(v)) for k, v in texts.items()], "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in repeated_passages.repeated_passages(docs).collect()}
+    assert [tuple(s) for s in rows[2]["spans"]] == [(30, 110), (4310, 4370), (4379, 4449)]
+    assert (rows[2]["class_id"], rows[2]["n_links"], rows[1]["spans"]) == (1, 1, [])
