@@ -280,3 +280,36 @@ def test_alignments_far_apart_keep_their_places(spark):
     rows = {r["doc_id"]: r for r in repeated_passages.repeated_passages(docs).collect()}
     assert [tuple(s) for s in rows[2]["spans"]] == [(30, 110), (4310, 4370), (4379, 4449)]
     assert (rows[2]["class_id"], rows[2]["n_links"], rows[1]["spans"]) == (1, 1, [])
+
+
+def test_slices_give_the_passages_of_their_bands(monkeypatch):
+    """Random runs, copies with changes and words over and over: each band of a pair of slices gives what its own parts give."""
+    draw, least, share, seen = np.random.default_rng(8), 46, (80, 100), 0
+    for k in range(300):
+        a = draw.integers(1, 2**62, 300)
+        if k % 3 == 0:
+            a = np.repeat(draw.integers(1, 6, 40), draw.integers(1, 70, 40))[: draw.integers(1, 400)]
+        b = np.concatenate([draw.integers(1, 2**62, draw.integers(0, 90)), a])
+        for place in draw.integers(0, len(b), draw.integers(0, 8)):
+            b = np.concatenate([b[:place], draw.integers(1, 9, draw.integers(0, 12)), b[place + draw.integers(0, 12) :]])
+        if not len(b):
+            continue
+        x, u = (int(n) for n in draw.integers(0, 50, 2))
+        bands, want = [], []
+        for _ in range(3):
+            start, until = sorted(int(n) for n in draw.integers(x, x + len(a) + 60, 2))
+            shift = int(draw.integers(-120, max(start - u, -119)))
+            if until == start or start - shift < u:
+                continue
+            bands.append({"shift": shift, "x": start, "y": until})
+            parts = a[start - x : until - x], b[start - shift - u : until - shift - u]
+            want += [(shift, i + start, j + start) for i, j in repeated_passages.passages(*parts, least, share, 0)]
+        seen += len(want)
+        assert repeated_passages.aligned_passages(a, b, bands, x, u, least, share) == want
+    assert seen > 100
+    # One word over and over on both sides, among other words, is not compared place by place.
+    monkeypatch.setattr(repeated_passages, "_grown", None)
+    for n, m in ((10, 80), (46, 9), (80, 46), (45, 45)):
+        a, b = (np.concatenate([draw.integers(10, 2**62, 140), np.full(size, 7), draw.integers(10, 2**62, 140)]) for size in (n, m))
+        found = repeated_passages.aligned_passages(a, b, [{"shift": 0, "x": 0, "y": 400}], 0, 0, least, share)
+        assert found == ([(0, 140, 140 + n)] if n >= least else [])
