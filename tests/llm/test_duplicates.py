@@ -1,3 +1,4 @@
+import os
 import random
 import re
 import time
@@ -313,3 +314,23 @@ def test_slices_give_the_passages_of_their_bands(monkeypatch):
         a, b = (np.concatenate([draw.integers(10, 2**62, 140), np.full(size, 7), draw.integers(10, 2**62, 140)]) for size in (n, m))
         found = repeated_passages.aligned_passages(a, b, [{"shift": 0, "x": 0, "y": 400}], 0, 0, least, share)
         assert found == ([(0, 140, 140 + n)] if n >= least else [])
+
+
+def test_second_comparison_goes_in_turns_and_leaves_no_tables(spark, monkeypatch):
+    """Documents that share a part that is too short, and some that share all of it: with few pairs held at a time all are found too, and spent tables go."""
+    words = prose(8000, 66).split()
+    texts = [" ".join([prose(8100 + k, 20), *words[10:50], prose(8300 + k, 20)]) for k in range(20)]
+    texts += [" ".join([prose(8500 + k, 20), *words, prose(8600 + k, 20)]) for k in range(8)]
+    whole = in_order(spark, texts)
+    saved = []
+
+    def keep(df, purpose, **settings):
+        saved.append((purpose, save(df, purpose, **settings)))
+        return saved[-1][1]
+
+    monkeypatch.setattr(repeated_passages, "save", keep)
+    monkeypatch.setattr(repeated_passages, "AT_ONCE", 0)
+    monkeypatch.setattr(repeated_passages, "TURN", 1000)
+    assert in_order(spark, texts) == whole and {whole[k]["class_id"] for k in range(20, 28)} == {20}
+    assert sum(purpose == "passages" for purpose, _ in saved) > 2
+    assert {purpose for purpose, table in saved if os.path.exists(table._saved_as)} == {"passages"}
